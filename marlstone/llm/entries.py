@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, packing
+from . import decontaminate, language_id, lm, packing, substrings
 from .common import table
 from .packing import public_vocabulary
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
 
@@ -21,5 +25,15 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op8_decontaminate": op8_decontaminate, "op9_pack": op9_pack}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op5_language_id": op5_language_id,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_pack": op9_pack,
+    "op10_substrings": op10_substrings,
+}
 ORACLE_SQL: dict[str, str] = {}
