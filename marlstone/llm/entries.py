@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm, packing, substrings
+from . import decontaminate, language_id, lm, near_dup, packing, substrings
 from .common import table
 from .packing import public_vocabulary
 
@@ -13,6 +13,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
 
@@ -31,6 +35,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_near_dup": op2_near_dup,
     "op5_language_id": op5_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
