@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm, near_dup, packing, pii, spotsigs, substrings, url_filter
+from . import decontaminate, language_id, licenses, lm, near_dup, packing, pii, spotsigs, substrings, url_filter
 from .common import table
 from .packing import public_vocabulary
 
@@ -21,6 +22,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's place is source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
 
@@ -49,6 +56,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_near_dup": op2_near_dup,
     "op3_fingerprint": op3_fingerprint,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,

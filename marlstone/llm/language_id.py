@@ -194,33 +194,55 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> t
     return pieces, *learn(pieces, sample_counts(training, sample_docs))
 
 
+def scorer(model: tuple[Pieces, list[str], np.ndarray]):
+    """A function from texts to their languages and posteriors."""
+    pieces, langs, probs = model
+
+    def score(texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+        ids: dict[bytes, int] = {}
+        new = ids.setdefault
+        tokens = [np.array([new(w, len(ids)) for w in words_of(t)] if t else [], np.int64) for t in texts]
+        words = [as_word(w) for w in ids]
+        letters = np.array([any(c.isalpha() for c in w[1:]) for w in words], bool)
+        of_word = log_scores(pieces, words, probs) * letters[:, None] if langs and words else np.zeros((len(words), 1))
+        pred, conf = [], []
+        for t in tokens:
+            if not langs or not len(t) or not letters[t].any():
+                pred.append("und"), conf.append(0.0)
+                continue
+            total = of_word[t].sum(axis=0)
+            share = np.exp(total - total.max())
+            pred.append(langs[int(total.argmax())]), conf.append(float(1 / share.sum()))
+        return pred, conf
+
+    return score
+
+
 def predict(docs: DataFrame, model: tuple[Pieces, list[str], np.ndarray]) -> DataFrame:
     """Language and posterior for every row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # vocabulary x languages, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages, whatever the corpus
 
-    def score(batches):
-        pieces, langs, probs = shared.value
+    def label(batches):
+        score = scorer(shared.value)
         for batch, texts in blocks(batches):
-            ids: dict[bytes, int] = {}
-            new = ids.setdefault
-            tokens = [np.array([new(w, len(ids)) for w in words_of(t)] if t else [], np.int64) for t in texts]
-            words = [as_word(w) for w in ids]
-            letters = np.array([any(c.isalpha() for c in w[1:]) for w in words], bool)
-            of_word = log_scores(pieces, words, probs) * letters[:, None] if langs and words else np.zeros((len(words), 1))
-            pred, conf = [], []
-            for t in tokens:
-                if not langs or not len(t) or not letters[t].any():
-                    pred.append("und"), conf.append(0.0)
-                    continue
-                total = of_word[t].sum(axis=0)
-                share = np.exp(total - total.max())
-                pred.append(langs[int(total.argmax())]), conf.append(float(1 / share.sum()))
+            pred, conf = score(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(conf, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return picked.mapInArrow(score, OUT)
+    return picked.mapInArrow(label, OUT)
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
     return predict(docs, train(docs, vocabulary))
+
+
+def accepted(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose language can be told with a posterior of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary))
+
+    def sift(batches):
+        score = scorer(shared.value)
+        for batch, texts in blocks(batches):
+            yield batch.filter(pa.array([p != "und" and c >= least for p, c in zip(*score(texts))], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)
