@@ -13,19 +13,24 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import byte_rows, partitions
+from .common import blocks, partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 #: Words that a worker remembers with their ids, and the longest it remembers.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: Marks that part words but are not part of a contraction.
+MARKS = b".,;:!?|%$#&*"
+#: Bytes of text that are encoded together.
+TOGETHER = 2_000_000
 
 
 def public_vocabulary(name: str) -> str:
@@ -35,35 +40,43 @@ def public_vocabulary(name: str) -> str:
 
 
 class WordEncoder(dict):
-    """UTF-8 words to little-endian 32-bit ids; white space always parts tokens in this vocabulary."""
+    """UTF-8 words to little-endian 32-bit ids, with a second generation of words that may be forgotten; white space always parts tokens in this vocabulary."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        self.update((w, pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"") for w, e in zip(words, found))
-
-    def encode(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self) > REMEMBERED:
-            self.clear()
-        self.learn([w for w in dict.fromkeys(words) if w not in self])
-        ids = b"".join(map(self.__getitem__, words))
+        """Add words; marks after a last letter are tokens of their own, so such a word needs its stem alone."""
+        cut = {}
         for w in words:
+            stem = w.rstrip(MARKS)
+            if stem != w and stem and stem.decode("utf-8", "replace")[-1].isalpha():
+                cut[w] = stem, w[len(stem) :]
+        new = list({w for w in words if w not in cut}.union(*cut.values()).difference(self))
+        found = self.batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found))
+        self.update((w, self[stem] + self[marks]) for w, (stem, marks) in cut.items())
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text; the words that are new go to the tokenizer together."""
+        words = [t.lower().split() if t else [] for t in texts]
+        new = set().union(*words).difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+            new = set().union(*words)
+        self.update((w, self.older[w]) for w in new if w in self.older)
+        self.learn([w for w in new if w not in self.older])
+        ids = [b"".join(map(self.__getitem__, w)) for w in words]
+        for w in new:
             if len(w) > LONGEST:
-                self.pop(w, None)
+                del self[w]
         return ids
 
 
@@ -81,11 +94,11 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in batches:
+        encode_all = encoder(vocabulary).encode_all
+        for batch, texts in blocks(batches, limit=TOGETHER):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_rows(batch.column("text"))):
-                ids = encode(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_all(texts)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
