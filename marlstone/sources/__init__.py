@@ -1 +1 @@
-
+"""Readers and writers of attempt tables."""
