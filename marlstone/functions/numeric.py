@@ -31,8 +31,13 @@ def to_double(token: Column) -> Column:
     return F.when(number, bare.try_cast("double"))
 
 
+def number(token: Column) -> Column:
+    """The number of a token that a number pattern has matched."""
+    return F.replace(token, F.lit(","), F.lit("")).try_cast("double")
+
+
 def doubles(tokens: Column) -> Column:
-    return F.filter(F.transform(tokens, to_double), lambda v: v.isNotNull())
+    return F.transform(tokens, number)
 
 
 def is_close(a: Column, b: Column, rel: float, abs_: float) -> Column:
@@ -54,7 +59,7 @@ def value_in(value: Column, pool: Column, tol: float) -> Column:
 
 
 def gold_checkpoints(solution: Column) -> Column:
-    return doubles(all_of(solution, CHECKPOINT, 2))
+    return F.filter(F.transform(all_of(solution, CHECKPOINT, 2), to_double), lambda v: v.isNotNull())
 
 
 def operands(expression: Column) -> Column:
@@ -98,7 +103,7 @@ def equations(text: Column, values: Column, tol: float) -> Column:
     rows = F.transform(
         parts,
         lambda p: F.struct(
-            p["a"].alias("a"), F.lit("expr").alias("op"), F.lit(0.0).alias("b"), to_double(F.replace(p["rhs"], F.lit("$"), F.lit(""))).alias("c"), strip(p["raw"]).alias("raw"), operands(p["lhs"]).alias("operands"), operators(p["lhs"]).alias("ops")
+            p["a"].alias("a"), F.lit("expr").alias("op"), F.lit(0.0).alias("b"), number(F.translate(p["rhs"], "$ \t\r\n", "")).alias("c"), strip(p["raw"]).alias("raw"), operands(p["lhs"]).alias("operands"), operators(p["lhs"]).alias("ops")
         ),
     )
     whole = F.filter(rows, lambda r: r["a"].isNotNull() & r["c"].isNotNull())
@@ -123,7 +128,7 @@ def final_answer(trace: Column) -> Column:
 
     text = F.coalesce(trace, F.lit(""))
     marked, boxed, said = F.regexp_extract(text, HASH, 1), F.regexp_extract(text, BOXED, 1), last(all_of(text, ANSWER_IS, 1))
-    return F.when(marked != "", bare(marked)).when(boxed != "", to_double(boxed)).when(said.isNotNull(), bare(said)).otherwise(to_double(last(all_of(text, NUM))))
+    return F.when(marked != "", bare(marked)).when(boxed != "", to_double(boxed)).when(said.isNotNull(), bare(said)).otherwise(number(last(all_of(text, NUM))))
 
 
 def is_correct(answer: Column, gold: Column) -> Column:

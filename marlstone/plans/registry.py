@@ -2,5 +2,527 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import question as Q
+from ..functions import rules as L
+from ..functions import statistics as P
+from ..functions import steps as E
+from ..functions import text as T
+from ..operators import aggregates as A
+from ..operators import prompts, retrieve, retry, route, seeds, stats
+from ..operators.score import diagnosis_counts, score
+from ..sources.tables import staged
+from . import attempts as source
+from .oracle import scored
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
+    return rows.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
+
+
+def first_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored first attempts; several parts of a query read them, so they are staged."""
+    return staged(score(source.attempts(spark, sf_dir)).withColumn("category", Q.category_type(F.col("question"))))
+
+
+# ---------------------------------------------------------------- scored attempts
+SIGNAL_COLUMNS = ["id", "category", "E", "V", "R", "A", "G", "E_struct", "A_struct", "coherent", "correct", "final_answer", "misses", "bad_eqs", "n_steps", "n_checkpoints", "n_equations", "label", "diagnosis"]
+DOUBLES = ("E", "V", "R", "A", "G", "E_struct", "A_struct")
+
+
+@query(scored("select " + ", ".join(f"round({c}, 6) as {c}" if c in DOUBLES else c for c in SIGNAL_COLUMNS) + " from first_tries"))
+def score_signals(spark, sf_dir):
+    return rounded(first_tries(spark, sf_dir).select(*SIGNAL_COLUMNS))
+
+
+@query(scored("select label, count(*) as n from first_tries group by label"))
+def label_histogram(spark, sf_dir):
+    return first_tries(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(scored("select coalesce(diagnosis, 'GOOD') as ftype, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from first_tries group by 1"))
+def diagnosis_histogram(spark, sf_dir):
+    return diagnosis_counts(first_tries(spark, sf_dir))
+
+
+@query(scored("select category, count(*) filter (correct) as correct, count(*) as total, round(avg(correct::int), 4) as acc from first_tries group by category"))
+def category_accuracy(spark, sf_dir):
+    return A.by_category(first_tries(spark, sf_dir))
+
+
+TYPED_SQL = "typed as (select * from first_tries where not correct and diagnosis in ('NR', 'ST', 'SM', 'CE'))"
+
+
+@query(scored(f", {TYPED_SQL} select category as r, diagnosis as c, grouping_id(category, diagnosis)::int as level, count(*) as n from typed group by cube (category, diagnosis)").replace(" , typed as", ", typed as"))
+def category_failure_crosstab(spark, sf_dir):
+    return A.crosstab_totals(A.typed_failures(first_tries(spark, sf_dir)), "category", "diagnosis")
+
+
+@query(
+    scored(
+        f""", {TYPED_SQL},
+cells as (select category as r, diagnosis as c, count(*) as n, min(key) as first from typed group by all),
+grid as (select r, c, (select sum(n) from cells x where x.r = a.r) * (select sum(n) from cells x where x.c = b.c) / (select sum(n) from cells)::double as e
+  from (select distinct r from cells) a, (select distinct c from cells) b),
+chi as (select sum(power(coalesce(n, 0) - e, 2) / e) as x2, (count(distinct r) - 1) * (count(distinct c) - 1) as dof, min(e) as min_expected,
+  least(count(distinct r), count(distinct c)) - 1 as k from grid left join cells using (r, c)),
+tot as (select sum(n) as n from cells),
+looked as (select sum(n) as n from (select n, row_number() over (partition by r order by n desc, first) as k from cells) where k = 1),
+major as (select max(n) as n from (select sum(n) as n from cells group by c)),
+stat as (select x2 as chi2, dof::bigint as dof, exp(-x2 / 2) * list_sum(list_transform(range(0, (dof // 2)::bigint), lambda i: power(x2 / 2, i) / gamma(i + 1))) as p,
+  sqrt(x2 / (tot.n * k)) as cramers_v, min_expected, major.n / tot.n::double as majority_acc, looked.n / tot.n::double as lookup_acc,
+  (looked.n - major.n) / tot.n::double as lift, tot.n::bigint as n from chi, tot, looked, major)
+select round(chi2, 6) as chi2, dof, round(p, 6) as p, round(cramers_v, 6) as cramers_v, round(min_expected, 6) as min_expected, round(majority_acc, 6) as majority_acc,
+  round(lookup_acc, 6) as lookup_acc, round(lift, 6) as lift, n,
+  case when n < 30 then 'INCONCLUSIVE' when p < 0.05 and cramers_v >= 0.2 and lift >= 0.05 then 'GO' when p < 0.05 and (cramers_v >= 0.2 or lift >= 0.05) then 'WEAK' else 'NO-GO' end as verdict
+from stat"""
+    ).replace(" , typed as", ", typed as")
+)
+def chi_square_gate(spark, sf_dir):
+    return rounded(stats.gate(A.typed_failures(first_tries(spark, sf_dir)), "category", "diagnosis", "eval_index"))
+
+
+@query(
+    scored(
+        """select in_band, case when in_band then 'E=' || format('{:.3f}', round(E, 3))
+  when E >= 0.3::double and V >= 0.85::double and n_steps >= 0.7::double * n_checkpoints then 'CE blocked by V>=V_MAX  (valid arithmetic, wrong answer -> 5th type ''WP'')'
+  when E >= 0.3::double and not n_steps >= 0.7::double * n_checkpoints then 'CE blocked by not full_length  (terse trace; split_steps undercount)'
+  when E < 0.3::double and not n_steps >= 0.7::double * n_checkpoints then 'SM blocked by not full_length  (terse trace; split_steps undercount)'
+  when E < 0.3::double and V <= 0.4::double then 'SM blocked by V<=V_MIN  (low E AND broken arithmetic)'
+  when E < 0.3::double and not coalesce(coherent, false) then 'SM blocked by incoherent  (answer != last equation)'
+  when E < 0.3::double and G < 0.5::double then 'SM blocked by G<G_MIN  (ungrounded)' else 'other / no rule matched' end as cause, count(*) as n
+from first_tries where diagnosis = 'UNCLASSIFIED' group by all"""
+    )
+)
+def abstain_breakdown(spark, sf_dir):
+    return A.abstain_breakdown(first_tries(spark, sf_dir).where("diagnosis is not null")).drop("fraction")
+
+
+WHAT_IF_SQL = """select scenario, case when wp and t = 'UNCLASSIFIED' and E >= 0.3::double and V >= 0.85::double and n_steps >= 0.7::double * n_checkpoints then 'WP' else t end as ftype, count(*) as n
+from (select *, case when E < 0.3::double and n_equations = 0 then 'NR'
+    when n_checkpoints >= 2 and n_steps < 0.6::double * n_checkpoints and E < 0.6::double then 'ST'
+    when margin > 0 and abs(E - 0.3::double) < margin then 'UNCLASSIFIED'
+    when E < 0.3::double and V > 0.4::double and n_steps >= 0.7::double * n_checkpoints and G >= 0.5::double and coalesce(coherent, false) then 'SM'
+    when E >= 0.3::double and V < 0.85::double and n_steps >= 0.7::double * n_checkpoints then 'CE' else 'UNCLASSIFIED' end as t
+  from first_tries, (values ('current', 0.05::double, false), ('margin=0.02', 0.02::double, false), ('margin=0.00', 0.0::double, false), ('margin=0.02 + WP 5th type', 0.02::double, true)) s(scenario, margin, wp)
+  where diagnosis is not null) group by all"""
+
+
+@query(scored(WHAT_IF_SQL))
+def whatif_margin(spark, sf_dir):
+    return A.what_if_margins(first_tries(spark, sf_dir).where("diagnosis is not null"))
+
+
+@query(scored("select cast(floor((key - 1) / 1000) as bigint) as batch, count(*) as n, count(*) filter (correct) as correct, round(avg(E), 6) as mean_e, round(avg(V), 6) as mean_v, round(avg(G), 6) as mean_g from first_tries group by 1"))
+def batch_report(spark, sf_dir):
+    return rounded(A.batches(first_tries(spark, sf_dir), "eval_index", 1000)).withColumn("batch", F.col("batch").cast("long"))
+
+
+@query(scored("select id, count(*) over w as seen, (count(*) filter (correct) over w) as solved from first_tries window w as (partition by category order by key)"))
+def running_accuracy(spark, sf_dir):
+    return A.running_accuracy(first_tries(spark, sf_dir), "eval_index", "category").select("id", "seen", "solved")
+
+
+# ---------------------------------------------------------------- retries
+def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of retries of what was not good, with what they changed."""
+    first = first_tries(spark, sf_dir).where("label != 'GOOD'")
+    origin = F.when(F.col("label") == L.BAD_WRONG, "BAD").otherwise("MEDIUM")
+    queue = first.select("id", origin.alias("origin"), F.col("label").alias("prev_label"), F.col("diagnosis").alias("prev_diagnosis"), F.col("correct").alias("before"))
+    one, two = (staged(score(source.second_attempts(spark, sf_dir, k)).select("id", "label", "correct")) for k in (3, 5))
+    r1 = queue.join(one, "id").withColumn("iter", F.lit(1)).withColumn("newly_correct", F.col("correct") & ~F.col("before"))
+    left = r1.where("label != 'GOOD'").select("id", "origin", "prev_label", "prev_diagnosis", (F.col("before") | F.col("correct")).alias("before"))
+    r2 = left.join(two, "id").withColumn("iter", F.lit(2)).withColumn("newly_correct", F.col("correct") & ~F.col("before"))
+    return staged(r1.unionByName(r2).withColumn("became_good", F.col("label") == "GOOD"))
+
+
+RETRIES_SQL = """, clean as (select key, label, correct from scored where variant = 'clean'),
+queue as (select key, id, case when label = 'BAD_WRONG' then 'BAD' else 'MEDIUM' end as origin, label as prev_label, diagnosis as prev_diagnosis, correct as before from first_tries where label <> 'GOOD'),
+r1 as (select q.*, 1 as iter, case when q.key % 3 = 0 then c.label else q.prev_label end as label, case when q.key % 3 = 0 then c.correct else q.before end as correct from queue q join clean c using (key)),
+r2 as (select q.key, q.id, q.origin, q.prev_label, q.prev_diagnosis, q.before or q.correct as before, 2 as iter, case when q.key % 5 = 0 then c.label else f.label end as label,
+  case when q.key % 5 = 0 then c.correct else f.correct end as correct from r1 q join clean c using (key) join first_tries f using (key) where q.label <> 'GOOD'),
+retries as (select *, correct and not before as newly_correct, label = 'GOOD' as became_good from (select * from r1 union all by name select * from r2))
+"""
+
+
+def on_retries(select: str) -> str:
+    return scored(RETRIES_SQL + select).replace("(key) where variant = 'first')\n ,", "(key) where variant = 'first')\n,")
+
+
+@query(on_retries("select iter, origin, label, count(*) as n, count(*) filter (newly_correct) as newly_correct from retries group by all"))
+def retry_transitions(spark, sf_dir):
+    return A.retry_transitions(retries(spark, sf_dir))
+
+
+@query(on_retries("select prev_diagnosis, count(*) as tried, count(*) filter (newly_correct) as recovered from retries group by all"))
+def recovery_by_type(spark, sf_dir):
+    return A.recovery_by_type(retries(spark, sf_dir))
+
+
+@query(
+    on_retries(
+        """select round((count(*) filter (origin = 'MEDIUM' and newly_correct)) / greatest(count(*) filter (origin = 'MEDIUM'), 1)::double - (count(*) filter (origin = 'BAD' and newly_correct)) / greatest(count(*) filter (origin = 'BAD'), 1)::double, 4) as gap,
+round((count(*) filter (origin = 'MEDIUM' and newly_correct and prev_label <> 'MEDIUM_CORRECT')) / greatest(count(*) filter (origin = 'MEDIUM' and prev_label <> 'MEDIUM_CORRECT'), 1)::double
+  - (count(*) filter (origin = 'BAD' and newly_correct)) / greatest(count(*) filter (origin = 'BAD'), 1)::double, 4) as gap_wrong_only from retries"""
+    )
+)
+def retry_gap(spark, sf_dir):
+    return A.retry_gap(retries(spark, sf_dir))
+
+
+@query(
+    on_retries(
+        """select f.id, f.correct as pass1_correct, f.label as pass1_label, coalesce(bool_or(r.newly_correct), false) as recovered, bool_or(f.correct or coalesce(r.newly_correct, false)) as final_correct, count(r.id) as n_retries
+from first_tries f left join retries r on r.id = f.id group by f.id, f.correct, f.label"""
+    )
+)
+def final_outcomes(spark, sf_dir):
+    first = first_tries(spark, sf_dir).select(F.lit("pass1").alias("phase"), "id", "correct", "label", F.lit(None).cast("boolean").alias("newly_correct"), F.lit(None).cast("boolean").alias("became_good"), F.col("eval_index").alias("line_no"))
+    again = retries(spark, sf_dir).select(F.lit("retry").alias("phase"), "id", "correct", "label", "newly_correct", "became_good", (F.lit(1 << 40) + F.col("iter")).alias("line_no"))
+    return A.final_outcomes(first.unionByName(again))
+
+
+@query(
+    on_retries(
+        """, g as (select prev_diagnosis as "group", count(*) filter (newly_correct) as recovered, count(*) as n from retries group by 1)
+select "group", recovered, n, round(recovered / n::double, 6) as rate,
+  round(greatest(0, (recovered / n::double + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(recovered / n::double * (1 - recovered / n::double) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) as ci_lo,
+  round(least(1, (recovered / n::double + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(recovered / n::double * (1 - recovered / n::double) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) as ci_hi from g"""
+    ).replace("from r2))\n, g as", "from r2)),\n g as")
+)
+def recovery_wilson(spark, sf_dir):
+    return rounded(stats.recovery_table(retries(spark, sf_dir), "prev_diagnosis", "newly_correct"))
+
+
+# ---------------------------------------------------------------- tests and agreement
+ARMS = "select doc_id, quality = 1 as a, toxic = 1 as b from labels"
+
+
+@query(
+    f"""with c as (select count(*) as n_paired, count(*) filter (not a and b) as n01, count(*) filter (a and not b) as n10, avg(a::int) as acc_a, avg(b::int) as acc_b from ({ARMS}))
+select n_paired, n01, n10, least(n01, n10)::double as statistic,
+  round(least(1, 2 * list_sum(list_transform(range(0, least(n01, n10) + 1), lambda i: exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2))))), 6) as p,
+  round(acc_a, 6) as acc_a, round(acc_b, 6) as acc_b from c"""
+)
+def mcnemar_exact(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return rounded(stats.mcnemar(labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("correct")), labels.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("correct"))))
+
+
+@query(
+    """with c as (select count(*) filter (quality = 1 and toxic = 1) as a, count(*) filter (quality = 1 and toxic = 0) as b, count(*) filter (quality = 0 and toxic = 1) as c, count(*) filter (quality = 0 and toxic = 0) as d from labels),
+h as (select a, b, c, d, list_transform(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1), lambda x:   lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - (a + c) + x + 1)
+  - (lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1))) as logs from c)
+select a, b, c, d, round(least(1, list_sum(list_transform(list_filter(logs, lambda x: x <= logs[a - greatest(0, a + c - (c + d)) + 1] + 1e-9), lambda x: exp(x)))), 6) as p from h"""
+)
+def fisher_exact(spark, sf_dir):
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    counts = table(spark, sf_dir, "labels").agg(F.count_if(q & t).alias("a"), F.count_if(q & ~t).alias("b"), F.count_if(~q & t).alias("c"), F.count_if(~q & ~t).alias("d"))
+    return rounded(stats.fisher(counts))
+
+
+@query(
+    """with w as (select o_orderpriority = '1-URGENT' as u, count(*) filter (o_orderstatus = 'F') as k, count(*)::double as n from orders group by 1),
+i as (select u, k, n, k / n as p, greatest(0, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)) as l,
+  least(1, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)) as h from w)
+select x.k as k1, x.n::bigint as n1, y.k as k2, y.n::bigint as n2, round(x.p - y.p, 6) as difference, round(x.p - y.p - sqrt(power(x.p - x.l, 2) + power(y.h - y.p, 2)), 6) as diff_lo,
+  round(x.p - y.p + sqrt(power(x.h - x.p, 2) + power(y.p - y.l, 2)), 6) as diff_hi from i x, i y where x.u and not y.u"""
+)
+def newcombe_difference(spark, sf_dir):
+    u, f = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F"
+    counts = table(spark, sf_dir, "orders").agg(F.count_if(u & f).alias("k1"), F.count_if(u).alias("n1"), F.count_if(~u & f).alias("k2"), F.count_if(~u).alias("n2"))
+    return rounded(stats.difference(counts, "k1", "n1", "k2", "n2"))
+
+
+@query(
+    """with j as (select quality as a, toxic as b, count(*) as n from labels where quality is not null and toxic is not null group by all), t as (select sum(n) as n, sum(n) filter (a = b) as same from j),
+e as (select sum(x.n * y.n) as chance from (select a, sum(n) as n from j group by a) x join (select b, sum(n) as n from j group by b) y on x.a = y.b),
+k as (select t.n::bigint as n, same / n::double as po, chance / (n::double * n) as pe from t, e)
+select round((po - pe) / (1 - pe), 6) as kappa, round(po, 6) as p_observed, round(pe, 6) as p_expected, n,
+  case when (po - pe) / (1 - pe) < 0 then 'worse than chance' when (po - pe) / (1 - pe) <= 0.2 then 'slight' when (po - pe) / (1 - pe) <= 0.4 then 'fair' when (po - pe) / (1 - pe) <= 0.6 then 'moderate' when (po - pe) / (1 - pe) <= 0.8 then 'substantial' else 'almost perfect' end as interpretation from k"""
+)
+def cohen_kappa(spark, sf_dir):
+    return rounded(stats.cohen_kappa(table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+@query(
+    """with c as (select user_id, event_type, count(*) as n from events group by all), i as (select user_id, sum(n) as s, sum(n * n) as q from c group by all having sum(n) >= 2),
+m as (select event_type, sum(n) as n from c where user_id in (select user_id from i) group by all), a as (select avg((q - s) / (s * (s - 1))::double) as po, count(*) as n_items, sum(s)::bigint as n_ratings from i),
+e as (select sum(power(n / (select sum(n) from m)::double, 2)) as pe from m), k as (select (po - pe) / (1 - pe) as kappa, * from a, e)
+select round(kappa, 6) as kappa, round(po, 6) as p_observed, round(pe, 6) as p_expected, n_items, n_ratings, null::varchar as note,
+  case when kappa < 0 then 'worse than chance' when kappa <= 0.2 then 'slight' when kappa <= 0.4 then 'fair' when kappa <= 0.6 then 'moderate' when kappa <= 0.8 then 'substantial' else 'almost perfect' end as interpretation from k"""
+)
+def fleiss_kappa(spark, sf_dir):
+    return rounded(stats.fleiss_kappa(table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("rating"))))
+
+
+@query(
+    """with c as (select user_id as item, event_type, count(*) as n from events group by all), s as (select item, n / sum(n) over (partition by item)::double as q from c)
+select item, round(max(q), 6) as modal_share, round(sum(-q * log2(q)), 6) as entropy, count(*) = 1 as all_same from s group by item"""
+)
+def entropy_modal(spark, sf_dir):
+    return rounded(A.agreement_per_item(table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("rating"))))
+
+
+SAMPLES_SQL = "select user_id as item, row_number() over (partition by user_id order by ts, event_id) as pos, floor(value) % 5 as answer, (user_id % 5)::double as gold from events"
+
+
+def samples(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), pos.alias("pos"), (F.floor("value") % 5).cast("double").alias("answer"), (F.col("user_id") % 5).cast("double").alias("gold"))
+    return rows.where(F.col("pos") <= k).withColumn("correct", F.col("answer") == F.col("gold"))
+
+
+@query(
+    f"""with s as (select *, answer = gold as correct from ({SAMPLES_SQL}) where pos <= 8), v as (select item, answer, count(*) as n, min(pos) as f from s where answer is not null group by all),
+b as (select item, answer as vote from (select *, row_number() over (partition by item order by n desc, f) as k from v) where k = 1),
+i as (select item, min_by(correct, pos) as first, bool_or(correct) as anyc, any_value(gold) as gold from s group by item)
+select count(*) as n, round(avg(first::int), 6) as acc_at_1, round(avg((coalesce(abs(vote - gold) < 1e-6, false))::int), 6) as majority_at_k, round(avg(anyc::int), 6) as pass_at_k from i left join b using (item)"""
+)
+def pass_at_k(spark, sf_dir):
+    return rounded(A.stability_accuracy(samples(spark, sf_dir)))
+
+
+@query(
+    f"""with s as (select * from ({SAMPLES_SQL}) where pos <= 8), v as (select item, answer, count(*) as n, min(pos) as f from s where answer is not null group by all)
+select distinct s.item, b.answer as vote, b.n as votes from s left join (select *, row_number() over (partition by item order by n desc, f) as k from v) b on b.item = s.item and b.k = 1"""
+)
+def majority_vote(spark, sf_dir):
+    return A.majority_vote(samples(spark, sf_dir), "item", "answer", "pos")
+
+
+# ---------------------------------------------------------------- retrieval
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("category"), (F.col("vec_id") % 7 + 1).cast("int").alias("steps"))
+
+
+def query_vectors(v: DataFrame) -> DataFrame:
+    """The stated queries: every id that 100 divides."""
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec", "category")
+
+
+def candidate_vectors(v: DataFrame) -> DataFrame:
+    return v.select(F.col("vec_id").alias("cand_id"), "vec", "category", "steps", F.col("vec_id").alias("pos"))
+
+
+NEAREST_SQL = """s as (select a.vec_id as query_id, b.vec_id as cand_id, b.embedding as vec, (b.vec_id % 7 + 1)::int as steps, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)) as cos, a.label = b.label as same
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+n as (select query_id, cand_id, vec, steps, case when same then least(1, cos + 0.15) else cos end as score, row_number() over (partition by query_id order by case when same then least(1, cos + 0.15) else cos end desc, cand_id) as rank from s)"""
+
+
+@query(f"with {NEAREST_SQL} select query_id, cand_id, round(score, 6) as score, rank::int as rank from n where rank <= 10")
+def knn_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(retrieve.nearest(query_vectors(v), candidate_vectors(v), 10).select("query_id", "cand_id", "score", "rank"))
+
+
+@query(
+    f"""with recursive {NEAREST_SQL},
+short as (select *, row_number() over (partition by query_id order by 0.4 * score + 0.6 * (steps / mx::double) desc, rank) as o from (select *, max(steps) over (partition by query_id) as mx from n where rank <= 15)),
+walk as (select query_id, 0::bigint as o, []::bigint[] as chosen from (select distinct query_id from short)
+  union all select w.query_id, w.o + 1, case when len(w.chosen) < 5 and not exists (select 1 from short y where y.query_id = w.query_id and list_contains(w.chosen, y.cand_id)
+      and list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: z[1]::double * z[2]::double)) > 0.85) then list_append(w.chosen, x.cand_id) else w.chosen end
+  from walk w join short x on x.query_id = w.query_id and x.o = w.o + 1),
+done as (select query_id, max_by(chosen, o) as chosen from walk group by query_id),
+full_list as (select query_id, chosen || (select list(s.cand_id order by s.o) filter (not list_contains(d.chosen, s.cand_id)) from short s where s.query_id = d.query_id) as l from done d)
+select query_id, unnest(range(1, 6))::int as place, unnest(l[1:5]) as cand_id from full_list"""
+)
+def retrieve_3stage(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return retrieve.three_stage(query_vectors(v), candidate_vectors(v), 5)
+
+
+@query(
+    """select a.label as category, a.vec_id as i, b.vec_id as j, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)), 6) as cos
+from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id where list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)) > 0.9"""
+)
+def pairwise_similarity(spark, sf_dir):
+    return rounded(retrieve.pairwise(vectors(spark, sf_dir), "category", "vec_id").where("cos > 0.9"))
+
+
+# ---------------------------------------------------------------- questions and texts
+TYPE_SQL = "case " + " ".join(f"when {' or '.join(f'''contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')''' for w in Q.CATEGORIES[name])} then '{name}'" for name in reversed(Q.CATEGORIES)) + " else 'arithmetic' end"
+RICH_SQL = (
+    "round(0.35::double * case when length(text) < 40 then 0.3::double when length(text) <= 200 then 1.0::double else greatest(0.4::double, 1.0::double - (length(text) - 200) / 500.0::double) end"
+    r" + 0.35::double * least(1.0::double, len(regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\b')) / 5.0::double) + 0.30::double * least(1.0::double, ("
+    + " + ".join(f"contains(lower(text), '{w}')::int" for w in Q.STEP_WORDS)
+    + ") / 3.0::double), 4)"
+)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("original_index"), F.col("text").alias("question"))
+
+
+@query(f"select doc_id as original_index, {TYPE_SQL} as category_type, {RICH_SQL} as richness_score from documents")
+def question_richness(spark, sf_dir):
+    return questions(spark, sf_dir).select("original_index", Q.category_type(F.col("question")).alias("category_type"), Q.richness(F.col("question")).alias("richness_score"))
+
+
+ALLOT_SQL = f"""q as (select doc_id, {TYPE_SQL} as category_type, {RICH_SQL} as rich from documents),
+r as (select *, row_number() over (partition by category_type order by rich desc, doc_id) - 1 as rank, count(*) over (partition by category_type) as m from q),
+need(sid, n, o) as (values {', '.join(str(x) for x in seeds.offers(seeds.NEEDS, tuple(range(16))))}),
+d as (select *, least(o, m) as s0, least(n, m - least(o, m)) as fresh from r, need),
+a as (select sid as strategy_id, category_type, doc_id as original_index, rank < least(n - fresh, s0) and not (rank >= s0 and rank < s0 + fresh) as reused,
+  case when rank >= s0 and rank < s0 + fresh then rank - s0 else fresh + rank end as pos from d where (rank >= s0 and rank < s0 + fresh) or rank < least(n - fresh, s0))"""
+
+
+@query(f"with {ALLOT_SQL} select * from a")
+def seed_allotment(spark, sf_dir):
+    return seeds.allotted(questions(spark, sf_dir)).select("strategy_id", "category_type", "original_index", "reused", F.col("pos").cast("long").alias("pos"))
+
+
+CATEGORY_ORDER_SQL = "list_position([" + ", ".join(f"'{c}'" for c in Q.CATEGORY_ORDER) + "], category_type)"
+
+
+@query(f"with {ALLOT_SQL}, t as (select *, row_number() over (partition by strategy_id, category_type order by pos) - 1 as turn from a) select strategy_id, original_index, category_type, row_number() over (partition by strategy_id order by turn, {CATEGORY_ORDER_SQL}) - 1 as seq from t")
+def seed_interleave(spark, sf_dir):
+    return seeds.interleaved(seeds.allotted(questions(spark, sf_dir))).select("strategy_id", "original_index", "category_type", F.col("seq").cast("long").alias("seq"))
+
+
+@query(
+    "select doc_id, "
+    + r"greatest(1, len(regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\b')) // 2)::double as est_steps_qfree, length(text)::double as n_chars, len(regexp_extract_all(text, '[A-Za-z]+'))::double as n_tokens, "
+    + ", ".join(f"regexp_matches(text, '{p}')::int::double as {name}" for name, p in Q.CUES.items())
+    + f", {TYPE_SQL} as category_type from documents"
+)
+def question_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    found = Q.question_features(F.col("text"))
+    return rows.select("doc_id", *[found[c].alias(c) for c in ("est_steps_qfree", "n_chars", "n_tokens", *Q.CUES, "category_type")])
+
+
+SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+
+
+@query(
+    r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(translate(text, chr(160) || chr(8199) || chr(8201) || chr(8202) || chr(8239) || chr(8194) || chr(8195) || chr(65279), '       '), '‘’“”′″', '''''""''"'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^SPACE+|SPACE+$', '', 'g')) as cleaned from documents""".replace("SPACE", SPACE)
+)
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_question(F.col("text"))).alias("cleaned"))
+
+
+@query(
+    """with l as (select doc_id, k, line, trim(regexp_replace(lower(trim(regexp_replace(line, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g')) as key
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)),
+r as (select doc_id, min(k) as at from (select doc_id, k, row_number() over (partition by doc_id, key order by k) as n from l where length(key) >= 12) where n > 1 group by doc_id)
+select d.doc_id, coalesce(r.at - 1, len(string_split(text, chr(10))))::int as kept_lines from documents d left join r using (doc_id)"""
+)
+def repeated_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.size(F.split(T.cut_at_repeat(F.col("text")), "\n")).alias("kept_lines"))
+
+
+@query("""select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '####')))::int as n_lines from documents""")
+def step_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(T.lines(F.col("text")), lambda s: ~F.startswith(s, F.lit("####")))).alias("n_lines"))
+
+
+@query(
+    r"""select doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '-?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')::double)))::int as n_values from documents"""
+)
+def number_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.size(F.array_distinct(N.doubles(N.all_of(F.col("text"), N.NUM)))).alias("n_values"))
+
+
+@query("select event_id, json_extract_string(props, '$.k')::int as k from events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+# ---------------------------------------------------------------- stores
+@query("select case when turn % 3 = 0 then 'pool' when turn % 3 = 1 then 'medium' else 'bad' end as bucket, 'c' || conv_id as id, min(turn) as turn from conversations where not (turn % 3 = 0 and conv_id % 2 = 0) group by all")
+def dedupe_append(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    named = F.when(F.col("turn") % 3 == 0, "pool").when(F.col("turn") % 3 == 1, "medium").otherwise("bad")
+    records = rows.select(named.alias("bucket"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "turn")
+    stored = records.where("bucket = 'pool' and cast(substring(id, 2) as long) % 2 = 0")
+    return route.new_records(records, stored, "turn")
+
+
+@query("select doc_id as id from documents where doc_id not in (select doc_id from labels)")
+def resume_antijoin(spark, sf_dir):
+    return route.remaining(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query(scored("select case when label = 'GOOD' then 'pool' when label in ('MEDIUM_CORRECT', 'MEDIUM_WRONG') then 'medium' else 'bad' end as bucket, count(*) as n from first_tries group by 1"))
+def bucket_counts(spark, sf_dir):
+    return route.bucket_counts(route.routed(first_tries(spark, sf_dir)))
+
+
+@query(scored("select id, case when label = 'BAD_WRONG' then 'BAD' else 'MEDIUM' end as origin from first_tries where label <> 'GOOD'"))
+def retry_queue(spark, sf_dir):
+    return route.retry_queue(route.routed(first_tries(spark, sf_dir))).select("id", "origin")
+
+
+# ---------------------------------------------------------------- prompts
+def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = source.attempts(spark, sf_dir)
+    example = F.struct(F.col("question").alias("question"), F.col("trace").alias("trace"))
+    return rows.select("id", "question", F.array(example, example).alias("examples"), Q.categorize(F.col("question")).alias("category"), (F.col("eval_index") % 17).alias("strategy_id"))
+
+
+@query()
+def prompt_render(spark, sf_dir):
+    rows = prompt_rows(spark, sf_dir)
+    text = prompts.prompt_for(F.col("strategy_id"), F.col("question"), F.col("examples"), F.col("category"))
+    return rows.select("id", "strategy_id", F.md5(text).alias("prompt_md5"), *[c.alias(n) for n, c in prompts.prompt_stats(text).items()])
+
+
+@query()
+def chat_turns(spark, sf_dir):
+    rows = prompt_rows(spark, sf_dir)
+    turns = prompts.chat_turns(prompts.prompt(2, F.col("question"), F.col("examples"), F.col("category")), F.lit("Verify each computation."))
+    return rows.select("id", F.posexplode(turns).alias("pos", "t")).select("id", "pos", "t.role", F.length("t.content").alias("n_chars"))
+
+
+@query()
+def retry_prompts(spark, sf_dir):
+    rows = first_tries(spark, sf_dir)
+    pool = rows.where("label = 'GOOD'").select("question", "trace", F.col("eval_index").alias("pos"), F.struct("V", "n_equations", "n_steps", "n_checkpoints").alias("signals"))
+    own = seeds.allotted(questions(spark, sf_dir)).where("strategy_id = 2").select("question", F.lit("").alias("trace"), F.col("original_index").alias("pos"))
+    queue = rows.where("label != 'GOOD'").select("id", "question", "diagnosis")
+    return retry.retry_prompts(queue, retry.positives(pool, own, "typed"), "typed").select("id", "ftype", "typed_positives", F.md5("prompt").alias("prompt_md5"), "extra_system")
+
+
+@query()
+def redundancy_tfidf(spark, sf_dir):
+    steps = E.split_steps(F.col("text"))
+    rows = table(spark, sf_dir, "conversations")
+    return rounded(rows.select("conv_id", "turn", F.size(steps).alias("n_steps"), *[E.redundancy(steps, v).alias(v) for v in E.VARIANTS]))
+
+
+@query()
+def feature_probe(spark, sf_dir):
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    rows = A.typed_failures(first_tries(spark, sf_dir))
+    found = Q.question_features(F.col("question"))
+    rows = rows.select("id", "diagnosis", *[c.alias(n) for n, c in found.items()])
+    kinds = ["category_type", "main_operation", "complexity"]
+    indexed = [f"{k}_i" for k in kinds]
+    rows = StringIndexer(inputCols=kinds, outputCols=indexed, stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    rows = OneHotEncoder(inputCols=indexed, outputCols=[f"{k}_v" for k in kinds], dropLast=False).fit(rows).transform(rows)
+    rows = VectorAssembler(inputCols=[f"{k}_v" for k in kinds] + [n for n in found if n not in kinds], outputCol="features").transform(rows)
+    return stats.probe(rows.select("id", "diagnosis", "features"), "diagnosis", "id", max_iter=30)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -110,3 +112,16 @@ def one_document(row: DataFrame) -> str:
 def generated(prompts: DataFrame, generate: Callable, schema: str) -> DataFrame:
     """Traces from an external generator: a function from an iterator of pandas frames to the same."""
     return prompts.mapInPandas(generate, schema)
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back: what several consumers read is computed once,
+    and a lost executor costs no recomputation."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="marlstone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
