@@ -179,7 +179,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def similar(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of ``doc_id`` whose fingerprints have at least the given likeness, from whole sets of
     at most ``LEAST`` values; equal fingerprints are one class and paired with their least id only."""
-    values = F.transform(F.sequence(F.lit(0), F.length("fingerprint") / 8 - 1), lambda i: F.substring("fingerprint", (i * 8 + 1).cast("int"), F.lit(8)))
+    values = F.transform(F.sequence(F.lit(0), (F.length("fingerprint") / 8 - 1).cast("int")), lambda i: F.substring("fingerprint", i * 8 + 1, F.lit(8)))
     sets = prints.where("length(fingerprint) > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", values.alias("vs"), F.expr("length(fingerprint) div 8").alias("n"))
     sizes = sets.select("doc_id", "vs", "n", F.explode("vs").alias("v"))
     rare = sizes.groupBy("v").agg(F.count("*").alias("df"))

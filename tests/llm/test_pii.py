@@ -1,0 +1,86 @@
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.llm import pii
+
+BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def spelt(spans):
+    return ",".join("%s:%d:%d" % s for s in spans)
+
+
+def check(df):
+    got = {(r.doc_id, r.base_sha256): r for r in pii.find_personal(df).collect()}
+    for row in df.collect():
+        spans = brute(row.text)
+        r = got[row.doc_id, hashlib.sha256(spelt(spans).encode()).hexdigest()]
+        counts = Counter(k for k, _, _ in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in pii.KINDS)
+        assert set(spelt(spans).split(",")) <= set(r.spans.split(","))
+
+
+EDGES = [
+    "a@b.c_d@e.f.g", "x@y", "@a.b", "a@b.c.d..e@f.g", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.256", "0001.002.3.4", "4111-1111-1111-1111 4111 1111  1111 1111",
+    "41111111111111111111", "+1 (663) 555-6869 +1 (663)", "+1234567", "+12345678", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "😀 a@b.cd é 10.0.0.1", "\ue0004111\ue0001111", "5 4111 1111 1111 1111 5",
+    "a" * 5000 + "@" + "b." * 3000 + "c", "9" * 30000, "1-" * 20000, "1.1.1.1 " * 3000,
+]
+
+
+def test_base_spans_match_regular_expressions(documents):
+    check(documents)
+
+
+def test_edges(spark):
+    check(spark.createDataFrame(list(enumerate(EDGES)), "doc_id long, text string"))
+
+
+def test_odd_rows(odd_documents, no_documents):
+    check(odd_documents)
+    assert pii.find_personal(no_documents).count() == 0
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    rows = [(i, f"some text then phone: +1 (212) 555-{1000 + i} and more") for i in range(12)]
+    rows += [(100, "some text then phone: (212) 555-9876 and more"), (101, "a score of 212 555-9876 was kept")]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:22:36"
+    assert got[101] == ""
+
+
+def test_redaction_keeps_columns_and_clean_rows(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", 15), (2, "clean", 5), (None, None, None)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert pii.redacted(df).columns == df.columns
+    assert (got[1].text, got[1].n_chars) == ("mail [email] now", 16)
+    assert (got[2].text, got[2].n_chars, got[None].text) == ("clean", 5, None)
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1000])
+def test_running_sums(spark, n):
+    got = spark.range(1).select(pii.running(F.sequence(F.lit(1), F.lit(n)))).first()[0]
+    want = [k * (k + 1) // 2 for k in range(n)]
+    assert got == want
