@@ -44,7 +44,7 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM
 #: Suffixes with one lead that a task sorts; more are compared by aggregation.
 HEAVY = 20_000
-BLOCK, CHUNK, PLACE = 6_000_000, 1 << 16, 28
+BLOCK, CHUNK, PLACE = 3_000_000, 1 << 16, 28
 ONCE, REPEATED, SEVERAL = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15
 SIGN = U64(1 << 63)
@@ -67,7 +67,6 @@ class Anchors:
         if n >> PLACE:
             raise ValueError("a block of over 256 MB of text")
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        ends = np.repeat(self.offsets + self.lengths, self.lengths)
         for base in range(0, max(0, n - WINDOW + 1), CHUNK):
             stop = min(n, base + CHUNK + WINDOW - 1)
             h = OF_BYTE[whole[base:stop]]
@@ -83,7 +82,7 @@ class Anchors:
             least = np.minimum(least[: -(REACH + 1 - 64)], least[REACH + 1 - 64 :])[:count]
             place = (least & U64((1 << PLACE) - 1)).astype(np.int64)
             start = np.arange(base, base + count)
-            inside = start + WINDOW <= ends[base : base + count]
+            inside = start + WINDOW <= (self.offsets + self.lengths)[np.searchsorted(self.offsets, start, "right") - 1]
             place = np.where(inside, place, -1)
             edge = np.nonzero(np.diff(place, prepend=-2))[0]
             last = np.append(edge[1:], count) - 1
@@ -95,7 +94,8 @@ class Anchors:
         lo, hi, at, gram, first, final = (np.concatenate([np.zeros(0, np.int64 if k < 3 else np.uint64), *p]) for k, p in enumerate(parts))
         new = np.diff(at, prepend=-1) != 0  # an anchor's windows may lie in two chunks
         end = np.append(np.nonzero(new)[0][1:], len(at)) - 1 if len(at) else np.zeros(0, np.int64)
-        self.lo, self.hi, self.at, self.gram = lo[new], hi[end], at[new], gram[new]
+        self.lo, self.hi, self.at = lo[new], hi[end], at[new]
+        self.gram = mixed(gram[new] * ODD[0])  # the least hashes of windows are small numbers; buckets need even ones
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
         shape = (self.at - self.lo).astype(np.uint64) * ODD[2] + (self.hi - self.lo).astype(np.uint64) * ODD[3]
         self.context = mixed(first[new] * ODD[0] + final[end] * ODD[1] + shape) >> U64(16)
@@ -259,9 +259,10 @@ def by_suffixes(suffixes: DataFrame, parts: int) -> DataFrame:
     """Spans of repeated windows, from suffixes dealt by their leading bytes."""
 
     def sort(batches):
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        rows = pa.Table.from_batches(held)
         docs = np.array([NO_DOC if d is None else d for d in rows["doc_id"].to_pylist()], np.int64)
         block, row, start, at = (rows[c].to_numpy().astype(np.int64) for c in ("block", "row", "start", "at"))
         order = np.lexsort((start, row, block, docs))
@@ -320,7 +321,7 @@ def remove(left: pa.Table, right: pa.Table) -> pa.Table:
             base = offsets[unpack_numbers(s["rows"])]
             np.add.at(edge, base + unpack_numbers(s["starts"]), 1)
             np.add.at(edge, base + unpack_numbers(s["ends"]), -1)
-        gone = np.cumsum(edge[:n]) > 0
+        gone = np.cumsum(edge[:n], dtype=np.int32) > 0
         for doc, text, a, size in zip(docs.tolist(), texts, offsets.tolist(), lengths.tolist()):
             mine = gone[a : a + size]
             removed = int(mine.sum())
