@@ -133,6 +133,25 @@ def whatif_margin(spark, sf_dir):
     return A.what_if_margins(first_tries(spark, sf_dir).where("diagnosis is not null"))
 
 
+@query(scored("select margin, (select count(*) from first_tries where diagnosis = 'UNCLASSIFIED' and in_band and abs(E - 0.3::double) < margin) as n from (values (0.02::double), (0.01::double), (0.0::double)) m(margin)"))
+def still_abstaining(spark, sf_dir):
+    return A.still_abstaining(first_tries(spark, sf_dir).where("diagnosis is not null"))
+
+
+NOTES_SQL = """select case when correct then 'correct'
+  when exists (select 1 from vals v where v.key = f.key and v.variant = 'first' and v.v = f.gold_answer) then '** answer in trace, LOST'
+  when abs(final_answer - gold_answer) / gold_answer < 0.02::double then 'rounding (<2%)' when V >= 0.8::double then 'sound work, wrong ans' else 'reasoning error' end as note, count(*) as n
+from first_tries f group by 1"""
+
+
+@query(scored(NOTES_SQL))
+def outcome_notes(spark, sf_dir):
+    rows = score(source.attempts(spark, sf_dir), explain=True)
+    in_trace = F.exists("values__", lambda v: F.abs(v - F.col("gold_answer")) < F.lit(1e-6))
+    note = L.outcome_note(F.col("correct"), in_trace, F.col("final_answer"), F.col("gold_answer"), F.col("trace_scored").rlike("#{3,}"), F.col("V"))
+    return rows.groupBy(note.alias("note")).agg(F.count("*").alias("n"))
+
+
 @query(scored("select cast(floor((key - 1) / 1000) as bigint) as batch, count(*) as n, count(*) filter (correct) as correct, round(avg(E), 6) as mean_e, round(avg(V), 6) as mean_v, round(avg(G), 6) as mean_g from first_tries group by 1"))
 def batch_report(spark, sf_dir):
     return rounded(A.batches(first_tries(spark, sf_dir), "eval_index", 1000)).withColumn("batch", F.col("batch").cast("long"))
@@ -311,6 +330,13 @@ def majority_vote(spark, sf_dir):
     return A.majority_vote(samples(spark, sf_dir), "item", "answer", "pos")
 
 
+@query("""with l as (select event_type as method, user_id as id, max_by(value > 50, event_id) as correct from events group by all)
+select method, count(*) as n, count(*) filter (correct) as correct, round(avg(correct::int), 4) as acc from l group by method""")
+def method_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("user_id").alias("id"), (F.col("value") > 50).alias("correct"), F.col("event_id").alias("line_no"))
+    return A.method_table(rows)
+
+
 # ---------------------------------------------------------------- retrieval
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("category"), (F.col("vec_id") % 7 + 1).cast("int").alias("steps"))
