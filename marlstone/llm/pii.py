@@ -46,28 +46,39 @@ CHUNK = 256
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def running(lengths: Column) -> Column:
     """Sums of all entries before each entry, in chunks so that long arrays stay linear."""
-    size = F.size(lengths)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(CHUNK)), lambda at: F.slice(lengths, at + 1, F.lit(CHUNK)))
 
     def before(values: Column) -> Column:
         start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("total"))
         return F.aggregate(values, start, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["total"])).alias("out"), (acc["total"] + x).alias("total")), lambda acc: acc["out"])
 
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    bases = before(totals)
-    return F.flatten(F.transform(chunks, lambda c, i: F.transform(before(c), lambda x: x + F.element_at(bases, i + 1))))
+    def chunked(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK))
+        return F.transform(starts, lambda at: F.slice(values, at + 1, F.lit(CHUNK)))
+
+    def summed(chunks: Column) -> Column:
+        bases = before(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)))
+        return let(bases, lambda b: F.flatten(F.transform(chunks, lambda c, i: let(F.element_at(b, i + 1), lambda base: F.transform(before(c), lambda x: x + base)))))
+
+    return let(let(lengths, chunked), summed)
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """All leftmost non-overlapping matches with their places."""
-    values = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.length(g) + F.length(v))
-    ends = F.zip_with(running(lengths), lengths, lambda b, n: b + n)
-    found = F.zip_with(ends, values, lambda e, v: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value")))
-    return F.when(F.size(values) > 0, found).otherwise(F.array().cast(SPAN))
+
+    def placed(values: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(values)), values, lambda g, v: F.length(g) + F.length(v))
+        ends = let(lengths, lambda n: F.zip_with(running(n), n, lambda b, x: b + x))
+        found = F.zip_with(ends, values, lambda e, v: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).cast("int").alias("start"), e.cast("int").alias("end"), v.alias("value")))
+        return F.when(F.size(values) > 0, found).otherwise(F.array().cast(SPAN))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
 
 
 def joined_digits(text: Column) -> Column:
