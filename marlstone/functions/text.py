@@ -66,12 +66,19 @@ def line_key(line: Column) -> Column:
     return strip(F.regexp_replace(s, "[^a-z0-9 ]", ""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def cut_at_repeat(text: Column, min_len: int = 12) -> Column:
     """The lines before the first long line that has occurred before."""
     rows = F.split(text, "\n")
-    keys = F.transform(rows, line_key)
-    seen = F.transform(keys, lambda k, i: (F.length(k) >= min_len) & (F.array_position(keys, k) < i + 1))
-    first = F.array_position(seen, True)
+
+    def first_repeat(keys: Column) -> Column:
+        return F.array_position(F.transform(keys, lambda k, i: (F.length(k) >= min_len) & (F.array_position(keys, k) < i + 1)), True)
+
+    first = let(F.transform(rows, line_key), first_repeat)
     return F.when(first > 0, F.array_join(F.slice(rows, 1, first.cast("int") - 1), "\n")).otherwise(text)
 
 
