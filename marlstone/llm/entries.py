@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lm, near_dup, packing, pii, spotsigs, substrings, url_filter
+from . import decontaminate, language_id, licenses, lm, near_dup, oracle, packing, pii, spotsigs, substrings, url_filter
 from .common import table
 from .packing import public_vocabulary
 
@@ -64,4 +64,4 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_substrings": op10_substrings,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": oracle.NEAR_DUP}

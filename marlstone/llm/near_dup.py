@@ -11,9 +11,13 @@ What is wanted is the classes of linked documents, so not all pairs of a list ar
 * every list compares its members to its least member of about the same size;
 * links are joined to components; a list whose members are all in one component is done;
 * other short lists compare all their pairs that still lie in two components;
-* other long lists are parted by pairs of values - a list's value and one of the next values of the
-  document's sketch - and treated likewise, to a depth of ``DEPTH``; what then still is long and lies in
-  several components compares the pairs across components after all.
+* other long lists compare their members to a few pivots; the documents of those that then still lie in
+  several components, if enough of their sketch is not theirs alone, meet in an exact prefix join: with shingles in order of rarity a pair at the
+  threshold has a common shingle among the rarest of both, at places that leave room for the threshold.
+  So a document with much text of its own meets nobody, however many documents share the rest.
+
+A pair is compared only if its sizes and the first ``BRIEF`` values of its sketches allow the threshold;
+this is part of the join, so that other pairs never become rows.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows with the same id
 are one document; a row without an id is linked with nothing and kept; an empty table gives no rows;
@@ -31,11 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, blocks, cut, mixed
+from .common import U64, ascii_words, blocks, cut, mixed, trim
 from .components import components
 
 SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
-SKETCH, PROBES, NEXT, DEPTH, SHORT = 96, 8, 8, 3, 48
+SKETCH, BRIEF, PROBES, SHORT, PIVOTS = 64, 32, 8, 48, 4
 MISS = 1e-7
 ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
 
@@ -87,16 +91,19 @@ def least_overlap(percent: int, size: int = SKETCH) -> int:
     return size
 
 
+def may_link(sa, sb, percent: int, size: int):
+    """Whether the least ``size`` values of a union leave room for the threshold."""
+    union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, size)
+    common = F.size(F.array_intersect(union, F.array_intersect(sa, sb)))
+    whole = F.size(union) < size  # then both sketches are the full sets
+    return F.when(whole, 100 * common >= percent * F.size(union)).otherwise(common >= least_overlap(percent, size))
+
+
 def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose union's sketch leaves room for the threshold."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    joined = pairs.join(left, "a").join(right, "b").withColumn("union", union)
-    common = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
-    whole = F.size("union") < SKETCH  # then both sketches are the full sets
-    enough = F.when(whole, 100 * common >= percent * F.size("union")).otherwise(common >= least_overlap(percent))
-    return joined.where(enough).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(may_link(F.col("sa"), F.col("sb"), percent, SKETCH)).select("a", "b")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -127,6 +134,8 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) ->
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     ok.append(100 * both >= percent * (len(a) + len(b) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                del rows, own
+        trim()
 
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(compare, "a long, b long")
 
@@ -137,22 +146,38 @@ def lists(items: DataFrame) -> DataFrame:
     return items.join(sizes, "key")
 
 
+def compared(left: DataFrame, right: DataFrame, by: list[str], percent: int, also=None) -> DataFrame:
+    """Pairs of items with common keys that may reach the threshold."""
+    a = left.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("brief").alias("ba"), F.col("component").alias("ca"))
+    b = right.select(*by, F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("bb"), F.col("component").alias("cb"))
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col(f"{c}__") == F.col(c))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = F.col("ca") != F.col("cb")
+    room = may_link(F.col("ba"), F.col("bb"), percent, BRIEF)
+    joined = a.join(b, same & apart & sizes & room & (also if also is not None else F.lit(True)))
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def stars(items: DataFrame, percent: int) -> DataFrame:
     """Each member of a list with the least member of about its size."""
     step = float(np.log(100 / percent))
     out = None
     for shift in (0.0, 0.5):
-        kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(shift))
-        own = items.select("key", "doc_id", "n", kind.alias("kind"))
-        pivots = own.groupBy("key", "kind").agg(F.min(F.struct("doc_id", "n")).alias("pivot"))
-        pairs = own.join(pivots, ["key", "kind"]).where("doc_id != pivot.doc_id")
-        pairs = pairs.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"))
+        own = items.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(shift)))
+        pivots = own.groupBy("key", "kind").agg(F.min(F.struct("doc_id", "n", "brief", "component")).alias("p")).select("key", "kind", "p.*")
+        pairs = compared(pivots, own, ["key", "kind"], percent)
         out = pairs if out is None else out.unionByName(pairs)
-    return out.where(near_sizes(percent)).select("a", "b").distinct()
+    return out.distinct()
 
 
-def near_sizes(percent: int):
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def some_pivots(items: DataFrame, percent: int) -> DataFrame:
+    """Each member of a list with ``PIVOTS`` members that a hash picks."""
+    drawn = F.xxhash64("doc_id", F.lit("pivot"))
+    own = items.withColumn("draw", drawn).withColumn("turn", F.pmod(drawn, F.lit(PIVOTS)))
+    pivots = own.groupBy("key", "turn").agg(F.min(F.struct("draw", "doc_id", "n", "brief", "component")).alias("p")).select("key", "p.*")
+    return compared(pivots, items, ["key"], percent)
 
 
 def with_component(items: DataFrame, found: DataFrame) -> DataFrame:
@@ -166,18 +191,47 @@ def undecided(items: DataFrame) -> DataFrame:
     return items.join(open_keys, "key", "left_semi")
 
 
-def across(items: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in two components."""
-    a = items.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = items.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return a.join(b, "key").where("a < b and ca != cb").where(near_sizes(percent)).select("a", "b").distinct()
+def in_company(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The documents with enough sketch values that others of them have too for a pair at the threshold."""
+    rows = docs.join(reps, "doc_id").select("doc_id", "n", F.explode("sketch").alias("key"))
+    common = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    needed = F.when(F.col("n") < SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(least_overlap(percent, SKETCH))
+    return rows.join(common, "key").groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc_id")
+
+
+def full_sets(bodies: DataFrame, words: int) -> DataFrame:
+    """The shingle values of squeezed texts, a row each."""
+
+    def unfold(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = shingles([unpack(x) for x in part.column("body").to_pylist()], words)
+                sizes = [len(s) for s in sets]
+                ids = np.repeat(np.array(part.column("doc_id").to_pylist(), np.int64), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["doc_id", "n", "key"])
+
+    return bodies.select("doc_id", "body").mapInArrow(unfold, "doc_id long, n long, key long")
+
+
+def rarest(rows: DataFrame, percent: int) -> DataFrame:
+    """For each set the values of its prefix in order of rarity, with their places."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
+    ordered = rows.join(counts, "key").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("values"))
+    prefix = F.slice("values", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ordered.select("doc_id", "n", F.posexplode(prefix).alias("place", "v")).select("doc_id", "n", "place", "v.key")
 
 
-def refined(items: DataFrame, reps: DataFrame) -> DataFrame:
-    """Items of long lists under their key and each of the next values of their sketch."""
-    later = F.slice(F.filter("sketch", lambda x: x > F.col("value")), 1, NEXT)
-    joined = items.join(reps.select("doc_id", "sketch"), "doc_id")
-    return joined.select("key", "doc_id", "n", F.explode(later).alias("value")).select(F.xxhash64("key", "value").alias("key"), "value", "doc_id", "n")
+def prefix_pairs(items: DataFrame, percent: int) -> DataFrame:
+    """Pairs in two components with a common prefix value that leaves room for the threshold."""
+    a = items.select(F.col("key").alias("k"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
+    b = items.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+    room = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    enough = (100 + percent) * room >= percent * (F.col("na") + F.col("nb"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    joined = a.join(b, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & enough)
+    return joined.select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -188,29 +242,26 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFram
     classes = sets.groupBy(*by).agg(F.min("doc_id").alias("rep"))
     same = sets.select("doc_id", *by).join(classes, by).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = cut(sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sketch"))
-    items = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, PROBES)).alias("value")).select(F.col("value").alias("key"), "value", "doc_id", "n")
-    items = cut(lists(items))
+    bare = lists(reps.select("doc_id", F.explode(F.slice("sketch", 1, PROBES)).alias("key")))
+    brief = reps.select("doc_id", "n", F.slice("sketch", 1, BRIEF).alias("brief"), F.col("doc_id").alias("component"))
+    items = cut(bare.join(brief, "doc_id"))
     bodies = cut(squeezed(docs).join(items.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(confirmed(promising(pairs, reps, percent), bodies, words, percent))
 
+    later = F.col("a") < F.col("b")
     links = verified(stars(items, percent))
-    for depth in range(DEPTH + 1):
-        items = undecided(with_component(items, components(links)))
-        if depth < DEPTH:
-            items = cut(items)
-            short = items.where(F.col("size") <= SHORT)
-        else:
-            short = items
-        links = links.unionByName(verified(across(short, percent)))
-        if depth == DEPTH:
-            break
-        long = items.where(F.col("size") > SHORT)
-        if long.isEmpty():
-            break
-        items = cut(lists(refined(long, reps)))
-        links = links.unionByName(verified(stars(items, percent)))
+    items = cut(undecided(with_component(items, components(links))))
+    short, long = items.where(F.col("size") <= SHORT), items.where(F.col("size") > SHORT)
+    links = links.unionByName(verified(compared(short, short, ["key"], percent, later).unionByName(some_pivots(long, percent))))
+    long = undecided(with_component(long, components(links)))
+    left = cut(long.select("doc_id").distinct())
+    if not left.isEmpty():
+        left = cut(in_company(left, reps, percent))
+        own = rarest(full_sets(bodies.join(left, "doc_id", "left_semi"), words), percent)
+        rows = cut(undecided(with_component(lists(own), components(links))))
+        links = links.unionByName(verified(prefix_pairs(rows, percent)))
     return made, components(links.unionByName(same))
 
 
