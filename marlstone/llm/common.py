@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -64,6 +65,15 @@ def byte_rows(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def trim() -> None:
+    """Give freed memory back to the system; idle workers keep theirs otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``limit`` bytes of text, and their texts."""
     for batch in batches:
@@ -76,6 +86,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
                 start, held = i + 1, 0
         if start < len(rows):
             yield batch.slice(start), rows[start:]
+        del rows
+        trim()
 
 
 def block_ids() -> Iterator[int]:
