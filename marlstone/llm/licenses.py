@@ -27,7 +27,9 @@ from .common import byte_rows
 NOTICES = "doc_id long, path string, own string, own_score double, share double"
 THRESHOLD, MOSTLY = 0.55, 0.5
 TRIGGER = r"licen[cs]e|copyright|permission|warranty|redistribut|public domain|spdx"
-# Notices of well-known licences.
+CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+# Notices of well-known licences and titles of their texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -49,6 +51,40 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License, or any later version."),
+    ("Apache-2.0", "Licensed under Apache 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "BSD 2-Clause \"Simplified\" License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal Public Domain Dedication"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Licensed under MPL 2.0."),
+    ("MPL-2.0", "This Source Code Form is licensed under the Mozilla Public License, version 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Released under the Unlicense."),
+    ("Unlicense", "Licensed under The Unlicense"),
+    *((name, f"Licensed under {short}.") for short, name in (("AGPL 3.0", "AGPL-3.0"), ("AGPLv3", "AGPL-3.0"), ("GPL 2.0", "GPL-2.0"), ("GPLv2", "GPL-2.0"), ("GPL 3.0", "GPL-3.0"), ("GPLv3", "GPL-3.0"), ("LGPL 2.1", "LGPL-2.1"), ("LGPL 3.0", "LGPL-3.0"), ("LGPLv3", "LGPL-3.0"))),
+    *((f"CC-{code}-{v}", f"Licensed under CC {code} {v}.") for v in CC_VERSIONS for code in CC),
+    *((f"CC-{code}-{v}", f"This work is licensed under a Creative Commons {name} {v} International License.") for v in CC_VERSIONS for code, name in CC.items() if (code, v) not in (("BY", "4.0"), ("BY-SA", "4.0"))),
+    *((f"CC-{code}-{v}", f"Creative Commons {name} {v} International Public License") for v in CC_VERSIONS for code, name in CC.items()),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for end in ("", "-only", "-or-later") if (name, end) != ("GPL-3.0", "-only")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("BSD-2-Clause", "CC0-1.0", "ISC", "MPL-2.0", "Unlicense")),
+    *((f"CC-{code}-{v}", f"SPDX-License-Identifier: CC-{code}-{v}") for v in CC_VERSIONS for code in CC),
 )
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")

@@ -169,6 +169,37 @@ def test_licences_and_inheritance(spark):
     ]
 
 
+def test_every_notice_line_of_the_documents_is_found(spark):
+    import re
+
+    templates = licenses.Templates()
+    want = {
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    seen = set()
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where(f"text rlike '(?i){licenses.TRIGGER}'").select("text").collect():
+            lines = [x.strip() for x in r.text.split("\n") if re.search(licenses.TRIGGER, x.lower())]
+            held = {name for notice, name in want.items() for x in lines if notice in x}
+            assert held and templates.notice(r.text)[0] in held
+            seen |= held
+    assert seen == set(want.values())
+
+
+def test_notices_of_more_licences():
+    templates = licenses.Templates()
+    for text, name in [
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("licensed under CC BY-ND 3.0", "CC-BY-ND-3.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"), ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+        ("Licensed under MPL 2.0", "MPL-2.0"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("MIT License", "MIT"), ("no permission was given for it", None),
+        ("the driver's license was lost", None), ("Copyright 2020 A. Person", None),
+    ]:
+        assert templates.notice(text)[0] == name, text
+
+
 def test_licences_of_odd_rows(odd_documents, no_documents):
     assert licenses.scan_licenses(odd_documents.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))).count() == odd_documents.count()
     assert licenses.scan_licenses(no_documents.withColumn("path", F.col("source"))).count() == 0
