@@ -2,7 +2,10 @@
 
 Sentences and paragraphs with a word that notices use are compared with short template texts as sparse
 TF-IDF vectors of words and word pairs; the best template above ``THRESHOLD`` is the file's own licence.
-A file that is mostly notice is a licence file of its directory.  Files without a notice inherit from
+The whole file, and its part from the first to the last paragraph with such a word, are compared in the same
+way with full licence texts (``licence_texts``); one above ``WHOLE`` comes before any short notice, for full
+texts name other licences.  A file that is mostly notice or as a whole a licence text is a licence file of
+its directory.  Files without a notice inherit from
 their nearest ancestor directory that has a licence file.  Inheritance joins directories, not files: the
 distinct directories are resolved once, so a directory with very many files is one row.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from math import log, sqrt
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import byte_rows
 
 NOTICES = "doc_id long, path string, own string, own_score double, share double"
-THRESHOLD, MOSTLY = 0.55, 0.5
+THRESHOLD, WHOLE, MOSTLY = 0.55, 0.75, 0.5
 TRIGGER = r"licen[cs]e|copyright|permission|warranty|redistribut|public domain|spdx"
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
@@ -90,6 +94,12 @@ TEMPLATES = (
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _TRIGGER = re.compile(TRIGGER)
 _PIECE = re.compile(r"\n|(?<=[.!?])\s+")
+_PARAGRAPH = re.compile(r"\n[^\w\n]*\n")
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Names and full texts of licences and of their long notices; the AGPL is made from the GPL by their differences."""
+    return [(f.stem.removesuffix("_notice"), f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 
 def terms(text: str) -> Counter:
@@ -125,10 +135,35 @@ class Templates:
         top = max(scores.values())
         return top, min(self.names[k] for k, s in scores.items() if s >= top - 1e-12)
 
-    def notice(self, text: str) -> tuple[str | None, float | None, float]:
+    def notice(self, text: str, full: Templates | None = None) -> tuple[str | None, float | None, float]:
         """Licence and score of a text's best notice, and the share of its words that are in notices."""
+        paragraphs = _PARAGRAPH.split(text)
+        triggered = [k for k, paragraph in enumerate(paragraphs) if _TRIGGER.search(paragraph.lower())]
+        words = max(1, len(text.split()))
+        if full and triggered:
+            score, name = full.best(text)
+            if score >= WHOLE:
+                return name, score, 1.0
+            part = "\n\n".join(paragraphs[triggered[0] : triggered[-1] + 1])
+            score, name = full.best(part)
+            if score >= WHOLE:
+                return name, score, len(part.split()) / words
         found, held = (0.0, ""), 0
+        for k in triggered:
+            own, share = self.paragraph(paragraphs[k])
+            held += share
+            if own[0] > found[0] or own[0] == found[0] and own[1] < found[1]:
+                found = own
+        share = held / words
+        return (found[1], found[0], share) if found[0] >= THRESHOLD else (None, None, share)
+
+    def paragraph(self, text: str) -> tuple[tuple[float, str], int]:
+        """The best of a paragraph's notices, and the number of its words that are in notices."""
+        found, held = self.best(text), 0
+        if found[0] >= THRESHOLD:
+            held = len(text.split())
         pieces = _PIECE.split(text)
+        part = 0
         for k, piece in enumerate(pieces):
             if not _TRIGGER.search(piece.lower()):
                 continue
@@ -137,20 +172,20 @@ class Templates:
                 longer = self.best(piece + " " + pieces[k + 1])
                 own = longer if longer[0] > own[0] else own
             if own[0] >= THRESHOLD:
-                held += len(piece.split())
+                part += len(piece.split())
             if own[0] > found[0] or own[0] == found[0] and own[1] < found[1]:
                 found = own
-        share = held / max(1, len(text.split()))
-        return (found[1], found[0], share) if found[0] >= THRESHOLD else (None, None, share)
+        return found, max(held, part)
 
 
 def notices(files: DataFrame) -> DataFrame:
     """The own licence of each file (columns doc_id, path, text)."""
+    texts = full_texts()
 
     def find(batches):
-        templates = Templates()
+        templates, full = Templates(), Templates(texts)
         for batch in batches:
-            got = [templates.notice(t.decode("utf-8", "replace")) if t else (None, None, 0.0) for t in byte_rows(batch.column("text"))]
+            got = [templates.notice(t.decode("utf-8", "replace"), full) if t else (None, None, 0.0) for t in byte_rows(batch.column("text"))]
             columns = [batch.column("doc_id"), batch.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "own", "own_score", "share"])
 

@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -200,6 +201,22 @@ def test_notices_of_more_licences():
         assert templates.notice(text)[0] == name, text
 
 
+def test_whole_licence_texts_are_licence_files(spark):
+    full = dict(licenses.full_texts())
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.full_texts()):
+        held = "Copyright (c) 2021 Some Person and others\n\n" + text.split("END OF TERMS AND CONDITIONS")[0]
+        wrapped = "\n".join("\n".join(textwrap.wrap(p, 72)) for p in held.split("\n\n") for p in (p, ""))
+        rows += [(3 * k, f"r{k}/LICENSE", wrapped), (3 * k + 1, f"r{k}/src/a.py", "print(1)"), (3 * k + 2, f"r{k}/b.py", "some words")]
+        want |= {3 * k: (name, "header", None), 3 * k + 1: (name, "inherited", f"r{k}"), 3 * k + 2: (name, "inherited", f"r{k}")}
+    header = "\n".join("# " + line for line in textwrap.wrap(full["BSD-2-Clause"].replace("\n\n", " @ "), 70)).replace(" @ ", "\n#\n# ")
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i}) + other[{i}]" for i in range(200))
+    rows += [(900, "code/a.py", header + "\n\n" + code), (901, "code/b.py", code)]
+    want |= {900: ("BSD-2-Clause", "header", None), 901: (None, "none", None)}
+    got = {r.doc_id: (r.license, r.how, r.from_dir) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_licences_of_odd_rows(odd_documents, no_documents):
     assert licenses.scan_licenses(odd_documents.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))).count() == odd_documents.count()
     assert licenses.scan_licenses(no_documents.withColumn("path", F.col("source"))).count() == 0
