@@ -2,9 +2,8 @@
 
 A spot is a common word; its signature is the spot with the next ``CHAIN`` content words, ``DISTANCE``
 content words apart.  Navigation, tables and lists have few common words, so the signatures are those of
-running text.  The fingerprint of a text is the set of the ``LEAST`` least 32-bit values of its
-signatures, written in hex; the likeness of two fingerprints is the Jaccard measure of their union's
-least values, exact where both sets are whole.
+running text.  The fingerprint of a text is the whole set of the 32-bit values of its signatures,
+in order and written in hex; the likeness of two fingerprints is the Jaccard measure of the sets.
 
 ``similar`` joins fingerprints: sets are partitioned by length so that only partitions whose lengths
 allow the threshold meet, a prefix of rare values finds candidates, and the Jaccard measure is compared
@@ -32,7 +31,7 @@ from pyspark.sql import types as T
 from .common import U64, mixed, partitions
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-CHAIN, DISTANCE, LEAST = 2, 1, 128
+CHAIN, DISTANCE = 2, 1
 TOGETHER = 4_000_000
 FIRST = -(1 << 63)
 # Common words of English, French, German and Spanish that serve as spots.
@@ -48,7 +47,7 @@ _SPOTS = {w.encode() for w in SPOTS.split()}
 
 
 def signature_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The least 32-bit signature values of each text, sorted."""
+    """The distinct 32-bit signature values of each text, sorted."""
     number: dict[bytes, int] = {}
     new = number.setdefault
     rows = [np.array([new(w, len(number)) for w in t.lower().split()], np.int64) for t in texts]
@@ -75,7 +74,7 @@ def signature_sets(texts: list[bytes]) -> list[np.ndarray]:
         h = keys[spots]
         for k in range(CHAIN):
             h = mixed(h * ODD[k] + keys[content[first + k * DISTANCE]])
-        out.append(np.unique((h >> U64(32)).astype(np.uint32))[:LEAST])
+        out.append(np.unique((h >> U64(32)).astype(np.uint32)))
     return out
 
 
@@ -84,15 +83,11 @@ def as_text(values: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard measure of the least values of the union of two fingerprints."""
+    """Jaccard measure of two fingerprints."""
     if not len(a) and not len(b):
         return 1.0
-    union = np.union1d(a, b)
-    if len(a) == LEAST or len(b) == LEAST:  # beyond its largest value a full sketch says nothing
-        top = min(int(x[-1]) for x in (a, b) if len(x) == LEAST)
-        union = union[union <= top][:LEAST]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(union, common, assume_unique=True).sum() / len(union)) if len(union) else 0.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
 def edited(text: str, following: str) -> str:
@@ -177,14 +172,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def similar(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of ``doc_id`` whose fingerprints have at least the given likeness, from whole sets of
-    at most ``LEAST`` values; equal fingerprints are one class and paired with their least id only."""
+    """Pairs of ``doc_id`` whose fingerprints have at least the given likeness; equal fingerprints are
+    one class and paired with their least id only."""
     values = F.transform(F.sequence(F.lit(0), (F.length("fingerprint") / 8 - 1).cast("int")), lambda i: F.substring("fingerprint", i * 8 + 1, F.lit(8)))
     sets = prints.where("length(fingerprint) > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", values.alias("vs"), F.expr("length(fingerprint) div 8").alias("n"))
     sizes = sets.select("doc_id", "vs", "n", F.explode("vs").alias("v"))
     rare = sizes.groupBy("v").agg(F.count("*").alias("df"))
     ranked = sizes.join(rare, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"))
-    prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
     step = float(np.log(1 / threshold))
     by_length = ranked.select("doc_id", "n", F.explode(prefix).alias("p"), F.floor(F.log(F.col("n").cast("double")) / step).alias("part"))
     left = by_length.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("p.v").alias("v"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))

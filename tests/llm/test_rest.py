@@ -157,6 +157,39 @@ def test_similar_fingerprints(documents):
     assert got == want
 
 
+def spot_chains(text):
+    words = [w.strip(spotsigs.MARKS) for w in text.encode().lower().split()]
+    words = [w for w in words if w]
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs._SPOTS]
+    chains = set()
+    for i, w in enumerate(words):
+        if w in spotsigs._SPOTS:
+            after = [c for j, c in content if j > i][: spotsigs.CHAIN]
+            chains |= {(w, *after)} if len(after) == spotsigs.CHAIN else set()
+    return chains
+
+
+def test_long_texts_are_compared_by_their_whole_sets(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    pieces = [f"the {words[a]} {words[b]}" for a, b in rng.integers(0, 300, (1000, 2))]
+    texts = [" ".join(pieces[:850]), " ".join(pieces), " ".join(pieces[:400]), " ".join(pieces[72:400])]
+    sets = [spot_chains(t) for t in texts]
+    assert min(map(len, sets)) > 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = spotsigs.fingerprints(docs).orderBy("doc_id").collect()
+    for k, r in enumerate(got):
+        assert len(r.fingerprint) == 8 * len(sets[k])
+        following = sets[(k + 1) % 4]
+        changed = spot_chains(spotsigs.edited(texts[k], texts[(k + 1) % 4]))
+        assert r.near_next == pytest.approx(len(sets[k] & following) / len(sets[k] | following))
+        assert r.near_edited == pytest.approx(len(sets[k] & changed) / len(sets[k] | changed))
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(4) for b in range(a + 1, 4)}
+    want = {k: pytest.approx(v) for k, v in want.items() if v >= 0.8}
+    assert {(r.a, r.b): r.likeness for r in spotsigs.similar(docs.sparkSession.createDataFrame(got).select("doc_id", "fingerprint")).collect()} == want
+    assert set(want) == {(0, 1), (2, 3)}
+
+
 # ------------------------------------------------------------ licences
 def test_licences_and_inheritance(spark):
     rows = [
