@@ -191,11 +191,21 @@ def undecided(items: DataFrame) -> DataFrame:
     return items.join(open_keys, "key", "left_semi")
 
 
+def least_company(n: int, percent: int) -> int:
+    """Fewest values of a set of ``n`` < ``SKETCH`` that a partner at the threshold has in its sketch too.
+
+    A partner of ``m`` values hides at most ``m - SKETCH`` common ones.
+    """
+    sizes = range(-(-n * percent // 100), n * 100 // percent + 1)
+    return max(1, min(-(-percent * (n + m) // (100 + percent)) - max(0, m - SKETCH) for m in sizes))
+
+
 def in_company(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The documents with enough sketch values that others of them have too for a pair at the threshold."""
     rows = docs.join(reps, "doc_id").select("doc_id", "n", F.explode("sketch").alias("key"))
     common = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    needed = F.when(F.col("n") < SKETCH, F.ceil(F.col("n") * percent / 100)).otherwise(least_overlap(percent, SKETCH))
+    small = F.array(*[F.lit(least_company(n, percent)) for n in range(1, SKETCH)])
+    needed = F.when(F.col("n") < SKETCH, F.get(small, F.col("n").cast("int") - 1)).otherwise(least_overlap(percent, SKETCH))
     return rows.join(common, "key").groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed).select("doc_id")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from marlstone.llm import near_dup
 from marlstone.llm.components import components
 
@@ -66,6 +68,44 @@ def test_large_group_of_near_copies_and_a_common_passage(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_short_text_inside_a_longer_one_in_a_long_list(spark, words, percent):
+    """All meet in long lists of the passage only; the longer text's sketch hides much of the shorter one."""
+    rng = random.Random(1)
+
+    def longer(text, many, low, high):
+        """Words are added so that the values of the new shingles lie between the given parts of their range."""
+        text = list(text)
+        for _ in range(many):
+            while True:
+                word = "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+                if len(text) < words - 1:
+                    break
+                value = int(near_dup.shingles([" ".join([*text[1 - words :], word]).encode()], words)[0][0])
+                if low <= value / 2**63 < high:
+                    break
+            text.append(word)
+        return text
+
+    passage = longer([], 40 + words - 1, 0, 0.4)
+    short = longer(passage, 23, 0.9, 1)
+    long = longer(short, 63 * 100 // percent - 63, 0.4, 0.8)
+    rows = [(i, " ".join(longer(passage, 24, 0.4, 0.8))) for i in range(70)] + [(500, " ".join(short)), (501, " ".join(long))]
+    want = brute(rows, words, percent)
+    assert want[500] == (63, 500) and want[501] == (63 * 100 // percent, 500)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_company_allows_for_what_a_partner_hides():
+    for percent in (80, 85):
+        for n in range(1, near_dup.SKETCH):
+            for m in range(1, 2 * n + 1):
+                for both in range(1, min(n, m) + 1):
+                    if 100 * both >= percent * (n + m - both):
+                        assert both - max(0, m - near_dup.SKETCH) >= near_dup.least_company(n, percent)
+
+
 def test_first_of_each_keeps_columns(documents, rows):
     kept = near_dup.first_of_each(documents)
     want = brute(rows, 5, 80)
