@@ -4,10 +4,11 @@ Every benchmark position is hashed under fixed masks that look at some of the ne
 the others, so a substituted word spoils only the seeds that look at it.  Document positions with the
 same hash are hits.  A hit fixes an alignment of document and item; the overlap around it is verified
 word by word: some window of ``WINDOW`` words (the whole item if it is shorter) must agree in at
-least ``AGREE`` of its words.
+least ``AGREE`` of its words.  The masks find all such windows of ``MASKED`` words and more; a shorter item
+is parted in one more piece than it may have other words, so that one piece is in the document as it is.
 
 Defined results: documents without such a window have no row; a null or empty text or item matches
-nothing; an item of fewer than ``SHORTEST`` words matches nothing; repeated rows of a document each
+nothing; an item of fewer than five words matches only as it is; repeated rows of a document each
 count, repeated items give one row an id; further columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from .common import U64, ascii_words, blocks, mixed
 OUT = "doc_id long, item_id long, matched long, compared long, doc_start long, item_start long"
 #: Offsets that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
-WINDOW, AGREE, SHORTEST = 16, 0.8, 5
+WINDOW, AGREE, MASKED = 16, 0.8, 12
 #: Benchmark words that one pass over the documents looks for.
 PASS_WORDS = 4_000_000
 ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
@@ -45,6 +46,13 @@ def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return np.where(known, h | U64(1), U64(0))
 
 
+def pieces(size: int) -> list[tuple[int, int]]:
+    """Start and length of the pieces of an item of fewer than ``MASKED`` words."""
+    other = next(k for k in range(size, -1, -1) if size - k >= AGREE * size)
+    ends = [size * i // (other + 1) for i in range(other + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
 class Benchmark:
     """Items as word numbers (0 stands for any word that no item has), and their seeds by hash."""
 
@@ -54,11 +62,17 @@ class Benchmark:
         new = self.number.setdefault
         self.words = [np.array([new(w, len(self.number) + 1) for w in words], np.int64) for _, words in items]
         self.masks = []
-        for mask in MASKS:
+        parted: dict[int, list[tuple[int, int]]] = {}  # item and place of the pieces by length
+        for k, ids in enumerate(self.words):
+            for start, size in pieces(len(ids)) if 0 < len(ids) < MASKED else ():
+                parted.setdefault(size, []).append((k, start))
+        looked = [(mask, [(k, np.arange(max(0, len(ids) - mask[-1]))) for k, ids in enumerate(self.words)]) for mask in MASKS]
+        looked += [(tuple(range(size)), [(k, np.array([start])) for k, start in sorted(places)]) for size, places in sorted(parted.items())]
+        for mask, places in looked:
             keys, item, at = [], [], []
-            for k, ids in enumerate(self.words):
-                s = seeds(ids, mask)
-                keys.append(s), item.append(np.full(len(s), k)), at.append(np.arange(len(s)))
+            for k, starts in places:
+                s = seeds(self.words[k], mask)[starts]
+                keys.append(s), item.append(np.full(len(s), k)), at.append(starts)
             key = np.concatenate([np.zeros(0, np.uint64), *keys])
             order = np.argsort(key, kind="stable")
             slots = np.zeros(1 << 22, bool)
@@ -83,7 +97,7 @@ class Benchmark:
         words = self.words[item]
         size = min(WINDOW, len(words))
         lo, hi = max(0, -diagonal), min(len(words), len(ids) - diagonal)
-        if len(words) < SHORTEST or hi - lo < size:
+        if not size or hi - lo < size:
             return None
         same = np.concatenate([[0], np.cumsum(words[lo:hi] == ids[lo + diagonal : hi + diagonal])])
         in_window = same[size:] - same[:-size]

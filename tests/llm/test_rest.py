@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import textwrap
 import zlib
 
@@ -106,6 +107,19 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_every_pattern_of_substitutions_of_short_items_is_found():
+    for size in range(1, 17):
+        words = [b"w%d" % i for i in range(size)]
+        index = decontaminate.Benchmark([(7, words)])
+        for other in range(size // 5 + 1):
+            for places in itertools.combinations(range(size), other):
+                ids = np.array([0, 0, *(0 if i in places else index.number[w] for i, w in enumerate(words)), 0], np.int64)
+                assert index.overlaps(ids) == [(0, (size - other, size, 2, 0))], (size, places)
+        if size < 5:
+            ids = np.array([0, *(index.number[w] for w in words[1:]), 0], np.int64)
+            assert not index.overlaps(ids)
+
+
 def test_blocks_of_items_give_the_same(documents, spark):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, bench).collect()}
