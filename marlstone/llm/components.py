@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _sum_up(links: DataFrame) -> tuple:
@@ -23,8 +23,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links from a node to itself and null ends are ignored; repeated links count once.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v and a is not null and b is not null").distinct()
-    edges = cut(edges)
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v and a is not null and b is not null").distinct())
     before = _sum_up(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,11 +32,26 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u != v").distinct())
+        old, edges = edges, cut(small.where("u != v").distinct())
+        drop(old)
         after = _sum_up(edges)
         if after == before:
             break
         before = after
     found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return found.unionByName(roots)
+    out = cut(found.unionByName(roots))
+    drop(edges)
+    return out
+
+
+def extended(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that gave ``known`` and of more; only what joins known components is walked anew."""
+    a, b = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = components(between)
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = known.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = cut(old.unionByName(more.join(known, "node", "left_anti").select("node", "component")))
+    drop(more)
+    return out

@@ -19,9 +19,14 @@ What is wanted is the classes of linked documents, so not all pairs of a list ar
 A pair is compared only if its sizes and the first ``BRIEF`` values of its sketches allow the threshold;
 this is part of the join, so that other pairs never become rows.
 
-Defined results: a null or empty text has no shingles and is linked with nothing; rows with the same id
-are one document; a row without an id is linked with nothing and kept; an empty table gives no rows;
-columns beside ``doc_id`` and ``text`` are ignored.
+Texts move only for verification: the pairs to verify are written first, and the documents of no pair are
+left out where they are read, by a broadcast of the ids if these are few and by a join if not.  Links that are
+found later extend the components of the earlier ones; exact copies follow their class.
+
+Defined results: a null or empty text has no shingles and is linked with nothing; texts of any length are
+compared as a whole; rows with the same id are one document, and of rows with the same id and text
+``first_of_each`` keeps one; a row without an id is linked with nothing and kept; an empty table gives no
+rows; columns beside ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, blocks, cut, mixed, trim
-from .components import components
+from .common import U64, ascii_words, blocks, cut, drop, fresh, mixed, trim
+from .components import components, extended
 
 SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
 SKETCH, BRIEF, PROBES, SHORT, PIVOTS = 64, 32, 8, 48, 4
 MISS = 1e-7
+#: Document ids that are broadcast at most; more are joined.
+FEW_IDS = 500_000
 ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
 
 
@@ -99,6 +106,16 @@ def may_link(sa, sb, percent: int, size: int):
     return F.when(whole, 100 * common >= percent * F.size(union)).otherwise(common >= least_overlap(percent, size))
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is in the written table ``ids``; few ids go to the rows, many are joined."""
+    return rows.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, "doc_id", "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The documents of written pairs, written."""
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+
 def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose union's sketch leaves room for the threshold."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
@@ -107,12 +124,14 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
+    """Compressed texts of (doc_id, text) rows."""
+
     def squeeze(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([packer.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, body binary")
+    return docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, body binary")
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
@@ -245,46 +264,87 @@ def prefix_pairs(items: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Sketch rows of all documents, and the component of each linked document."""
-    made = cut(sketches(docs, words))
-    sets = made.where("n_shingles > 0 and doc_id is not null")
+    """Id and set size of all rows, and the component of each document with shingles (columns node, component)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = cut(sketches(texts, words))
     by = ["n_shingles", "s1", "s2"]
-    classes = sets.groupBy(*by).agg(F.min("doc_id").alias("rep"))
-    same = sets.select("doc_id", *by).join(classes, by).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = cut(sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sketch"))
-    bare = lists(reps.select("doc_id", F.explode(F.slice("sketch", 1, PROBES)).alias("key")))
+    sizes = cut(made.select("doc_id", *by))
+    sets = sizes.where("n_shingles > 0 and doc_id is not null")
+    classes = cut(sets.groupBy(*by).agg(F.min("doc_id").alias("rep")))
+    heads = cut(classes.select(F.col("rep").alias("doc_id")).distinct())
+    reps = cut(only(made, heads).select("doc_id", F.col("n_shingles").alias("n"), "sketch"))
+    drop(made, heads)
+    probes = lists(reps.select("doc_id", F.explode(F.slice("sketch", 1, PROBES)).alias("key")))
     brief = reps.select("doc_id", "n", F.slice("sketch", 1, BRIEF).alias("brief"), F.col("doc_id").alias("component"))
-    items = cut(bare.join(brief, "doc_id"))
-    bodies = cut(squeezed(docs).join(items.select("doc_id").distinct(), "doc_id", "left_semi"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return cut(confirmed(promising(pairs, reps, percent), bodies, words, percent))
+    items = cut(probes.join(brief, "doc_id"))
+
+    def verified(found: DataFrame) -> DataFrame:
+        """Links among candidate pairs: by the sketch of the union, then by the full sets."""
+        pairs = cut(found)
+        own = ends(pairs)
+        left = cut(promising(pairs, only(reps, own), percent))
+        drop(pairs, own)
+        own = ends(left)
+        bodies = cut(squeezed(only(texts, own)))
+        links = cut(confirmed(left, bodies, words, percent))
+        drop(left, own, bodies)
+        return links
 
     later = F.col("a") < F.col("b")
     links = verified(stars(items, percent))
-    items = cut(undecided(with_component(items, components(links))))
+    known = components(links)
+    drop(links)
+    old, items = items, cut(undecided(with_component(items, known)))
+    drop(old)
     short, long = items.where(F.col("size") <= SHORT), items.where(F.col("size") > SHORT)
-    links = links.unionByName(verified(compared(short, short, ["key"], percent, later).unionByName(some_pivots(long, percent))))
-    long = undecided(with_component(long, components(links)))
-    left = cut(long.select("doc_id").distinct())
-    if not left.isEmpty():
-        left = cut(in_company(left, reps, percent))
-        own = rarest(full_sets(bodies.join(left, "doc_id", "left_semi"), words), percent)
-        rows = cut(undecided(with_component(lists(own), components(links))))
-        links = links.unionByName(verified(prefix_pairs(rows, percent)))
-    return made, components(links.unionByName(same))
+    links = verified(compared(short, short, ["key"], percent, later).unionByName(some_pivots(long, percent)))
+    old, known = known, extended(known, links)
+    drop(old, links)
+    open_docs = cut(undecided(with_component(long, known)).select("doc_id").distinct())
+    drop(items)
+    if not open_docs.isEmpty():
+        left = cut(in_company(open_docs, only(reps, open_docs), percent))
+        bodies = cut(squeezed(only(texts, left)))
+        rows = cut(undecided(with_component(lists(rarest(full_sets(bodies, words), percent)), known)))
+        drop(left, bodies)
+        links = verified(prefix_pairs(rows, percent))
+        old, known = known, extended(known, links)
+        drop(old, links, rows)
+    drop(open_docs, reps)
+    classed = cut(sets.join(classes, by).select("doc_id", "rep").distinct())
+    drop(classes)
+    several = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id", "a")
+    links = cut(classed.join(several, "doc_id").select("a", F.col("rep").alias("b")))  # ids that have several texts
+    if not links.isEmpty():
+        old, known = known, extended(known, links)
+        drop(old)
+    drop(links)
+    own = classed.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return sizes.select("doc_id", "n_shingles"), own.select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """Set size and component of every row of ``docs``; the least document of a component is kept."""
     made, found = linked(docs, words, percent)
-    known = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    joined = made.select("doc_id", "n_shingles").join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    known = found.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component_id"))
+    joined = made.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the least of their component, with their columns."""
-    _, found = linked(docs, words, percent)
-    copies = found.where("node != component").select(F.col("node").alias("copy"))
-    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    """The documents that are the least of their component, with their columns; of repeated rows the first by text and columns."""
+    made, found = linked(docs, words, percent)
+    own = fresh("copy", docs.columns)
+    copies = cut(found.groupBy("node").agg(F.min("component").alias("component")).where("node != component").select(F.col("node").alias("doc_id")))
+    again = cut(made.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+
+    def among(ids: DataFrame, how: str) -> DataFrame:
+        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+        named = ids.select(F.col("doc_id").alias(own))
+        return docs.join(F.broadcast(named) if few else named, F.col("doc_id").cast("long") == F.col(own), how)
+
+    kept = among(copies, "left_anti")
+    if again.isEmpty():
+        return kept
+    docs = kept
+    return among(again, "left_anti").unionByName(among(again, "left_semi").dropDuplicates(["doc_id", "text"]))

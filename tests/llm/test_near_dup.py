@@ -117,3 +117,16 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 90), (100, 90)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
+
+
+def test_ids_with_several_texts_and_repeated_rows(spark):
+    """Rows with an id are one document: groups of all its texts are one group, and one row of equal ones stays."""
+    words = "one two three four five six seven eight nine ten".split()
+    a, b = " ".join(words), " ".join(reversed(words))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (9, b, 5), (11, "else", 6), (11, "else", 7), (None, a, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Copy int")
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (11, 11), (None, None)}
+    kept = near_dup.first_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, a), (3, a), (11, "else")]
