@@ -3,11 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary.  A forward pass adds up
 the probabilities of all ways to cut a word into pieces; a text's score for a language is the sum over
 its words.  The piece probabilities come from a few rounds of expectation maximisation on the words
-of a bounded sample of labelled documents.
+of a bounded sample of labelled documents; each language is learnt by a task of its own, and the driver
+sees no words, only a probability for each piece and language.
 
 Defined results: ``und`` with score 0 if the text is null, has no letter or nothing could be learnt;
-ties go to the language that is first in the alphabet; repeated rows each get a row; columns beside
-``doc_id``, ``text`` and ``lang`` are ignored.
+ties go to the language that is first in the alphabet; words of any length are learnt and scored;
+repeated rows each get a row; an empty table gives no rows; columns beside ``doc_id``, ``text`` and
+``lang`` are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .common import U64, blocks, crc_mod, mixed
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 START = "▁"
-#: Most labelled documents a language is learnt from, and the longest word learnt from.
-SAMPLE_DOCS, LEARN_CHARS = 1500, 32
+#: Labelled documents that a language is learnt from, about.
+SAMPLE_DOCS = 1500
+DRAWS = 1 << 52
 ROUNDS, FLOOR, UNKNOWN = 3, 0.01, 1e-9
 #: ASCII letters in lower case; every other ASCII character parts words.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -125,12 +128,11 @@ def log_scores(pieces: Pieces, words: list[str], probs: np.ndarray) -> np.ndarra
     return out
 
 
-def learn(pieces: Pieces, counts: dict[str, dict[str, float]]) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities from word counts."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= LEARN_CHARS})
-    weight = np.array([[counts[g].get(w, 0.0) for g in langs] for w in words]).reshape(len(words), len(langs))
-    probs = np.full((len(pieces.keys), len(langs)), 1 / len(pieces.keys))
+def learn(pieces: Pieces, counts: dict[str, float]) -> np.ndarray:
+    """Piece probabilities of one language from its word counts."""
+    words = sorted(counts)
+    weight = np.array([counts[w] for w in words])
+    probs = np.full((len(pieces.keys), 1), 1 / len(pieces.keys))
     for _ in range(ROUNDS):
         got = np.zeros_like(probs)
         for part, chars in by_length(words):
@@ -141,16 +143,16 @@ def learn(pieces: Pieces, counts: dict[str, dict[str, float]]) -> tuple[list[str
             for start in range(n - 1, -1, -1):
                 step = np.where(single[:, start], -np.inf, np.log(UNKNOWN))[:, None] + beta[start + 1]
                 beta[start] = np.logaddexp(beta[start], step)
-                for end in range(start + 1, n + 1):
+                for end in range(start + 1, min(n, start + pieces.longest) + 1):
                     for size, row, which in arcs[end]:
                         if end - size == start:
                             beta[start][row] = np.logaddexp(beta[start][row], np.log(probs[which]) + beta[end][row])
             for end in range(1, n + 1):
                 for size, row, which in arcs[end]:
-                    share = np.exp(logs[end - size][row] + np.log(probs[which]) + beta[end][row] - logs[n][row]) * weight[part][row]
+                    share = np.exp(logs[end - size][row] + np.log(probs[which]) + beta[end][row] - logs[n][row]) * weight[part][row][:, None]
                     np.add.at(got, which, share)
         probs = (got + FLOOR) / (got + FLOOR).sum(axis=0)
-    return langs, probs
+    return probs[:, 0]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -161,15 +163,15 @@ def as_word(raw: bytes) -> str:
     return START + raw.decode("utf-8", "replace").lower()
 
 
-def sample_counts(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[str, float]]:
+def sample_counts(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame | None:
     """Word counts by language of about ``sample_docs`` documents a language, picked by a hash of their id."""
-    sizes = {r.lang: r.n for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
-        return {}
+        return None
     keep = F.lit(False)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS))
     for lang, n in sorted(sizes.items()):
-        keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, sample_docs / n))))
+        keep = keep | ((F.col("lang") == lang) & (draw < int(DRAWS * min(1.0, sample_docs / n))))
 
     def count(batches):
         for batch in batches:
@@ -179,19 +181,29 @@ def sample_counts(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[s
                     got[lang, w] = got.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.binary()), pa.array(got.values(), pa.int64())], ["lang", "word", "n"])
 
-    counted = training.where(keep).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
-    got = counted.toArrow()
-    for lang, word, n in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist()):
-        w = as_word(word)
-        out[lang][w] = out[lang].get(w, 0.0) + n
-    return out
+    return training.where(keep).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> tuple[Pieces, list[str], np.ndarray]:
+    """The model; each language's words, those of the bounded sample, are learnt in one task."""
     pieces = Pieces.load(vocabulary)
     training = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
-    return pieces, *learn(pieces, sample_counts(training, sample_docs))
+    counted = sample_counts(training, sample_docs)
+    if counted is None:
+        return pieces, [], np.zeros((len(pieces.keys), 0))
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary, whatever the corpus
+
+    def learnt(rows: pa.Table) -> pa.Table:
+        counts: dict[str, float] = {}
+        for word, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist()):
+            w = as_word(word)
+            counts[w] = counts.get(w, 0.0) + n
+        probs = learn(shared.value, counts)
+        return pa.table({"lang": rows["lang"].slice(0, 1), "probs": pa.array([probs.tobytes()], pa.binary())})
+
+    rows = sorted(counted.groupBy("lang").applyInArrow(learnt, "lang string, probs binary").collect(), key=lambda r: r.lang)  # a row a language
+    found = {r.lang: np.frombuffer(r.probs) for r in rows}
+    return pieces, list(found), np.stack(list(found.values()), axis=1) if found else np.zeros((len(pieces.keys), 0))
 
 
 def scorer(model: tuple[Pieces, list[str], np.ndarray]):
