@@ -16,7 +16,9 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -27,10 +29,12 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 #: Words that a worker remembers with their ids, and the longest it remembers.
 REMEMBERED, LONGEST = 300_000, 64
+#: Words of letters that are encoded as one text, and the digit between them.
+TIED, BAR = 100, "7"
 #: Marks that part words but are not part of a contraction.
 MARKS = b".,;:!?|%$#&*"
 #: Bytes of text that are encoded together.
-TOGETHER = 2_000_000
+TOGETHER = 4_000_000
 
 
 def public_vocabulary(name: str) -> str:
@@ -50,34 +54,85 @@ class WordEncoder(dict):
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        whole, (bar,), *parts = ([*e.ids] for e in self.batch([f"ab{BAR}cd", BAR, "ab", "cd"], add_special_tokens=False))
+        self.bar = bar if whole == [*parts[0], bar, *parts[1]] else None
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.batch(words, add_special_tokens=False)]
+
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only: many are one text, with a digit between them that is always an id of its own."""
+        if self.bar is None:
+            return self.ids_of(words)
+        found = []
+        for e in self.batch([BAR.join(words[k : k + TIED]) for k in range(0, len(words), TIED)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.nonzero(ids == self.bar)[0]).tolist()
+            raw = ids.tobytes()
+            found += [raw[i:j] for i, j in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)])]
+        return found
 
     def learn(self, words: list[bytes]) -> None:
         """Add words; marks after a last letter are tokens of their own, so such a word needs its stem alone."""
-        cut = {}
+        letters: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        cut = []
         for w in words:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha():
+                letters[w] = text
+                continue
             stem = w.rstrip(MARKS)
-            if stem != w and stem and stem.decode("utf-8", "replace")[-1].isalpha():
-                cut[w] = stem, w[len(stem) :]
-        new = list({w for w in words if w not in cut}.union(*cut.values()).difference(self))
-        found = self.batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found))
-        self.update((w, self[stem] + self[marks]) for w, (stem, marks) in cut.items())
-
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text; the words that are new go to the tokenizer together."""
-        words = [t.lower().split() if t else [] for t in texts]
-        new = set().union(*words).difference(self)
-        if len(self) + len(new) > REMEMBERED:
+            bare = text[: len(text) - (len(w) - len(stem))]
+            if len(stem) < len(w) and bare[-1:].isalpha():
+                marks = w[len(stem) :]
+                cut.append((w, stem, marks))
+                if stem not in self:
+                    (letters if bare.isalpha() else others)[stem] = bare
+                if marks not in self:
+                    others[marks] = marks.decode()
+            else:
+                others[w] = text
+        self.update(zip(letters, self.ids_of_letters(list(letters.values()))))
+        self.update(zip(others, self.ids_of(list(others.values()))))
+        for w, stem, marks in cut:
+            self[w] = self[stem] + self[marks]
+
+    def values(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words; those that are new go to the tokenizer together."""
+        if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            new = set().union(*words)
-        self.update((w, self.older[w]) for w in new if w in self.older)
-        self.learn([w for w in new if w not in self.older])
-        ids = [b"".join(map(self.__getitem__, w)) for w in words]
-        for w in new:
+        found = list(map(self.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        unknown, older = [], self.older.get
+        for i in missing:
+            w = words[i]
+            if value := older(w):
+                self[w] = value
+            else:
+                unknown.append(w)
+        self.learn(unknown)
+        for i in missing:
+            found[i] = self[words[i]]
+        for w in unknown:
             if len(w) > LONGEST:
-                del self[w]
-        return ids
+                self.pop(w, None)
+                self.pop(w.rstrip(MARKS), None)
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts in one row, and where each text's begin and the last one's end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        ids = self.values(coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist())
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[which] - ends[:-1], size) + np.arange(ends[-1])]
+        return flat, ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -95,13 +150,15 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int =
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(vocabulary).encode_all
-        for batch, texts in blocks(batches, limit=TOGETHER):
+        for batch, _ in blocks(batches, limit=TOGETHER):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_all(texts)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+            ids, edges = encode_all(batch.column("text"))
+            for doc, first, last in zip(batch.column("doc_id").to_pylist(), edges, edges[1:]):
+                for k, at in enumerate(range(first, last + 1, size)):
+                    part = ids[at : min(last, at + size)]
+                    ended = last < at + size  # the end id is in this piece
+                    check = zlib.crc32(end, zlib.crc32(part)) if ended else zlib.crc32(part)
+                    for column, value in zip(out, (doc, k, at - first, len(part) + ended, check)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
