@@ -2,9 +2,10 @@
 
 A block is a few megabytes of documents of one input partition.  It sends its distinct hashes, sorted
 and packed, to the buckets of a range partitioning of the hash space, one row per bucket; the buckets
-answer in the same order.  So a frequent key costs one entry a block, whatever its count, and no task
-holds more than its share of the distinct hashes.  Blocks are numbered by input partition and place;
-a checksum makes sure that answers meet the block that asked.
+answer in the same order.  So a frequent key costs one entry a block, whatever its count.  There are
+several buckets to a task, in proportion to the input; a task sorts its rows by bucket and holds those of
+one bucket at a time.  Blocks are numbered by input partition and place; a checksum makes sure that
+answers meet the block that asked.
 """
 
 from __future__ import annotations
@@ -24,21 +25,6 @@ PAYLOAD = "block long, checksum long, docs binary, lengths binary, flags binary,
 NO_DOC = np.iinfo(np.int64).min
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of as few bytes as the largest needs."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    packed = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    gaps = np.zeros((len(packed), 8), np.uint8)
-    gaps[:, :width] = packed
-    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
-
-
 def pack_numbers(values: np.ndarray) -> bytes:
     """Non-negative numbers, compressed byte plane by byte plane."""
     width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4 if values.max() < 1 << 32 else 8
@@ -52,9 +38,33 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64)
 
 
-def bucket_slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Edges of the buckets in sorted keys."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: low bytes as they are, as many as the mean gap has, and the differences of what is above."""
+    if not len(keys):
+        return b""
+    low = min(7, max(0, (int(keys[-1] - keys[0]) // len(keys)).bit_length() - 1) // 8)
+    tail = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low]).tobytes()
+    head = keys >> np.uint64(8 * low)
+    gaps = pack_numbers(np.diff(head))
+    return bytes([low]) + int(head[0]).to_bytes(8, "little") + len(gaps).to_bytes(8, "little") + gaps + tail
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    low, size = data[0], int.from_bytes(data[9:17], "little")
+    head = np.concatenate([np.frombuffer(data[1:9], "<u8"), unpack_numbers(data[17 : 17 + size]).astype(np.uint64)])
+    keys = np.cumsum(head, dtype=np.uint64) << np.uint64(8 * low)
+    if low:
+        wide = np.zeros((len(keys), 8), np.uint8)
+        wide[:, :low] = np.frombuffer(data, np.uint8, offset=17 + size).reshape(-1, low)
+        keys |= wide.reshape(-1).view(np.uint64)
+    return keys
+
+
+def bucket_slices(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Edges of the buckets in sorted keys of the given bits."""
+    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
@@ -101,13 +111,26 @@ def unpack_payload(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.frombuffer(row["docs"], np.int64), np.frombuffer(row["flags"], np.uint8), [whole[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
 
 
+def many_buckets(source: DataFrame) -> int:
+    """Buckets for the hashes of ``source``: in proportion to its input, so that a bucket's share does not grow with it."""
+    return 4 * max(partitions(source.sparkSession), source.rdd.getNumPartitions())
+
+
 def answered(requests: DataFrame, answer, schema: str) -> DataFrame:
-    """Deal request rows to one task per bucket and let ``answer`` treat each bucket's rows together."""
-    spark = requests.sparkSession
+    """Deal request rows by bucket; ``answer`` gets the rows of one bucket and kind after the other, in the order of blocks."""
 
     def treat(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        if rows:
-            yield from answer(sorted(rows, key=lambda r: (r["block"], r["kind"])))
-
-    return requests.repartitionById(partitions(spark), F.col("bucket")).mapInArrow(treat, schema)
+        own, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["bucket"], row["kind"]) != own and held:
+                    yield from answer(held)
+                    held = []
+                own = row["bucket"], row["kind"]
+                held.append(row)
+        if held:
+            yield from answer(held)
+
+    parts = partitions(requests.sparkSession)
+    dealt = requests.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket", "kind", "block").mapInArrow(treat, schema)
