@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +127,22 @@ def block_ids() -> Iterator[int]:
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Lower-cases A-Z and splits on space, tab, line feed, vertical tab, form feed and return."""
     return text.lower().split() if text else []
+
+
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of ``ascii_words`` of a block, which of them each word is, and where each text's words begin (and the last one's end)."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    coded = lists.flatten().dictionary_encode()
+    which = coded.indices.to_numpy().astype(np.int64)
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    words = byte_rows(coded.dictionary)
+    if b"" in words:  # at white space at a text's begin and end
+        real = which != words.index(b"")
+        edges = np.concatenate([[0], np.cumsum(real)])[edges]
+        which = which[real]
+    return words, which, edges
+
+
+def few_or_joined(ids: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``most`` rows and to be joined if not."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

@@ -2,48 +2,43 @@
 
 Every benchmark position is hashed under fixed masks that look at some of the next words and ignore
 the others, so a substituted word spoils only the seeds that look at it.  Document positions with the
-same hash are hits.  A hit fixes an alignment of document and item; the overlap around it is verified
-word by word: some window of ``WINDOW`` words (the whole item if it is shorter) must agree in at
-least ``AGREE`` of its words.  The masks find all such windows of ``MASKED`` words and more; a shorter item
-is parted in one more piece than it may have other words, so that one piece is in the document as it is.
+same hash are hits: the hashes of both sides are joined.  A hit fixes an alignment of document and item;
+the overlap around it is verified word by word: some window of ``WINDOW`` words (the whole item if it is
+shorter) must agree in at least ``AGREE`` of its words.  The masks find all such windows of ``MASKED`` words
+and more; a shorter item is parted in one more piece than it may have other words, so that one piece is in
+the document as it is.
+
+Neither side is held in one place.  Documents send only the neighbourhoods of hashes that a bitmap of the
+benchmark's hashes lets through; its size has a fixed bound, and when it fills up more is sent and nothing
+lost.  Items of one text are one item.  The join of hashes is of two tables of plain rows, so that Spark
+parts a frequent hash; its hits are counted once for each neighbourhood, item and alignment.
 
 Defined results: documents without such a window have no row; a null or empty text or item matches
-nothing; an item of fewer than five words matches only as it is; repeated rows of a document each
-count, repeated items give one row an id; further columns are ignored.
+nothing; an item of fewer than five words matches only as it is; texts of any length are looked at as a
+whole; repeated rows of a document give one row, as do repeated items of an id; empty tables give no rows;
+of equally good windows the first in document and item is reported; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, blocks, mixed
+from .common import U64, block_ids, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed
 
-OUT = "doc_id long, item_id long, matched long, compared long, doc_start long, item_start long"
 #: Offsets that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
 WINDOW, AGREE, MASKED = 16, 0.8, 12
-#: Benchmark words that one pass over the documents looks for.
-PASS_WORDS = 4_000_000
-ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
-
-
-def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """Hashes of all positions under a mask; 0 where it would look at an unknown word."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for odd, at in zip(ODD, mask):
-        part = ids[at : at + n]
-        known &= part > 0
-        h += part.astype(np.uint64) * odd
-    h = mixed(h)
-    return np.where(known, h | U64(1), U64(0))
+#: Bits of the bitmap, as powers of two, and its bits for a hash.
+LEAST_BITS, MOST_BITS, ROOM = 20, 26, 16
+FEW = 500_000
+SEED = "kind int, key long, item long, at int"
+NEAR = "region long, doc_id long, text_key long, start long, words binary, kinds array<int>, keys array<long>, ats array<long>"
+FOUND = "doc_id long, text_key long, item long, matched long, compared long, doc_start long, item_start long"
+ODD = mixed(np.arange(1, 65, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
 def pieces(size: int) -> list[tuple[int, int]]:
@@ -53,123 +48,178 @@ def pieces(size: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-class Benchmark:
-    """Items as word numbers (0 stands for any word that no item has), and their seeds by hash."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.names = [i for i, _ in items]
-        self.number: dict[bytes, int] = {}
-        new = self.number.setdefault
-        self.words = [np.array([new(w, len(self.number) + 1) for w in words], np.int64) for _, words in items]
-        self.masks = []
-        parted: dict[int, list[tuple[int, int]]] = {}  # item and place of the pieces by length
-        for k, ids in enumerate(self.words):
-            for start, size in pieces(len(ids)) if 0 < len(ids) < MASKED else ():
-                parted.setdefault(size, []).append((k, start))
-        looked = [(mask, [(k, np.arange(max(0, len(ids) - mask[-1]))) for k, ids in enumerate(self.words)]) for mask in MASKS]
-        looked += [(tuple(range(size)), [(k, np.array([start])) for k, start in sorted(places)]) for size, places in sorted(parted.items())]
-        for mask, places in looked:
-            keys, item, at = [], [], []
-            for k, starts in places:
-                s = seeds(self.words[k], mask)[starts]
-                keys.append(s), item.append(np.full(len(s), k)), at.append(starts)
-            key = np.concatenate([np.zeros(0, np.uint64), *keys])
-            order = np.argsort(key, kind="stable")
-            slots = np.zeros(1 << 22, bool)
-            slots[(key >> U64(42)).astype(np.int64)] = True
-            self.masks.append((mask, key[order], np.concatenate([np.zeros(0, int), *item])[order], np.concatenate([np.zeros(0, int), *at])[order], slots))
-
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """Items and diagonals (document position less item position) with a common seed."""
-        found: set[tuple[int, int]] = set()
-        for mask, key, item, at, slots in self.masks:
-            s = seeds(ids, mask)
-            where = np.nonzero((s != 0) & slots[(s >> U64(42)).astype(np.int64)])[0]
-            if not len(where):
+def offsets(kind: int) -> tuple[int, ...]:
+    """What seeds of a kind look at: a mask, or as many words as the kind says after the masks."""
+    return MASKS[kind] if kind < len(MASKS) else tuple(range(kind - len(MASKS) + 1))
+
+
+def seeds(words: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of all positions at which a seed of the kind fits."""
+    mask = offsets(kind)
+    n = len(words) - mask[-1]
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, U64(kind), np.uint64)
+    for odd, at in zip(ODD, mask):
+        h += words[at : at + n] * odd
+    return mixed(h)
+
+
+def item_seeds(size: int) -> list[tuple[int, range]]:
+    """The kinds of seeds of an item of ``size`` words, and the places that they are taken from."""
+    if size >= MASKED:
+        return [(k, range(size - mask[-1])) for k, mask in enumerate(MASKS)]
+    return [(len(MASKS) + n - 1, range(at, at + 1)) for at, n in pieces(size)] if size else []
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one row, and where each text's begin."""
+    words, which, edges = coded_words(texts)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[which] if len(which) else np.zeros(0, np.uint64), edges
+
+
+def distinct_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids and texts of the items by a key of their text: (item_id, item) and (item, words), written."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item"), "text")
+
+    def hashed(batches):
+        for batch, _ in blocks(batches):
+            words, edges = word_hashes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([words[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["item", "words"])
+
+    words = rows.select("item", "text").dropDuplicates(["item"]).mapInArrow(hashed, "item long, words binary")
+    return cut(rows.select("item_id", "item").distinct()), cut(words)
+
+
+def seeded(items: DataFrame) -> DataFrame:
+    """The seeds of all items."""
+
+    def make(batches):
+        for batch in batches:
+            for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
+                words = np.frombuffer(raw, np.uint64)
+                for kind, places in item_seeds(len(words)):
+                    key = seeds(words, kind)[places.start : places.stop].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(np.full(len(key), item, np.int64)), pa.array(np.array(places, np.int32))], ["kind", "key", "item", "at"])
+
+    return items.mapInArrow(make, SEED)
+
+
+def bitmap(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Which leading bits the hashes have; of ``2 ** MOST_BITS`` bits at most, however many hashes there are."""
+    n = rows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    words = rows.select((slot / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy()
+    return bits, out
+
+
+def neighbourhoods(docs: DataFrame, kinds: list[int], filter_: tuple[int, np.ndarray]) -> DataFrame:
+    """The parts of texts around hashes that may be the benchmark's, with those hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)  # of a fixed size at most
+
+    def scan(batches):
+        bits, held = shared.value
+        ids = block_ids()
+        for batch, _ in blocks(batches):
+            words, edges = word_hashes(batch.column("text"))
+            last = np.repeat(edges[1:], np.diff(edges))  # the end of each word's text
+            places, kind_of, key_of = [], [], []
+            for kind in kinds:
+                h = seeds(words, kind)
+                slot = h >> U64(64 - bits)
+                may = ((held[(slot >> U64(6)).astype(np.int64)].view(np.uint64) >> (slot & U64(63))) & U64(1)) > 0
+                at = np.nonzero(may)[0]
+                at = at[at + offsets(kind)[-1] < last[at]]
+                places.append(at), kind_of.append(np.full(len(at), kind, np.int32)), key_of.append(h[at].view(np.int64))
+            at = np.concatenate([np.zeros(0, np.int64), *places])
+            if not len(at):
                 continue
-            lo, hi = np.searchsorted(key, s[where], "left"), np.searchsorted(key, s[where], "right")
-            for p, a, b in zip(where.tolist(), lo.tolist(), hi.tolist()):
-                found.update((int(item[k]), p - int(at[k])) for k in range(a, b))
-        return found
-
-    def verify(self, ids: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """Best window on a diagonal: matched words, window length, place in document and item."""
-        words = self.words[item]
-        size = min(WINDOW, len(words))
-        lo, hi = max(0, -diagonal), min(len(words), len(ids) - diagonal)
-        if not size or hi - lo < size:
-            return None
-        same = np.concatenate([[0], np.cumsum(words[lo:hi] == ids[lo + diagonal : hi + diagonal])])
-        in_window = same[size:] - same[:-size]
-        best = int(in_window.argmax())
-        if in_window[best] < AGREE * size:
-            return None
-        return int(in_window[best]), size, lo + best + diagonal, lo + best
-
-    def overlaps(self, ids: np.ndarray) -> list[tuple[int, tuple[int, int, int, int]]]:
-        """Best window of each item that the document overlaps."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for item, diagonal in sorted(self.candidates(ids)):
-            got = self.verify(ids, item, diagonal)
-            if got and (item not in best or got[0] > best[item][0]):
-                best[item] = got
-        return sorted(best.items())
-
-
-def item_blocks(benchmark: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items in blocks of at most ``pass_words`` words, so that no pass broadcasts more than that."""
-    held, block = 0, []
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        words = ascii_words(row.text.encode())
-        block.append((row.item_id, words))
-        held += len(words)
-        if held >= pass_words:
-            yield block
-            held, block = 0, []
-    if block:
-        yield block
+            order = np.argsort(at, kind="stable")
+            at, kind, key = at[order], np.concatenate(kind_of)[order], np.concatenate(key_of)[order]
+            text = np.searchsorted(edges, at, "right") - 1
+            new = np.nonzero(np.diff(at, prepend=-(1 << 40)) > 2 * WINDOW)[0]
+            new = np.union1d(new, np.nonzero(np.diff(text, prepend=-1))[0])
+            docs_, keys_ = batch.column("doc_id"), batch.column("text_key")
+            out: list[tuple] = []
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
+                t = int(text[a])
+                first, end = max(int(edges[t]), int(at[a]) - WINDOW + 1), min(int(edges[t + 1]), int(at[b - 1]) + WINDOW)
+                out.append((next(ids), docs_[t].as_py(), keys_[t].as_py(), first - int(edges[t]), words[first:end].tobytes(), kind[a:b], key[a:b], at[a:b] - first))
+            types = (*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], [c.split()[0] for c in NEAR.split(", ")])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(scan, NEAR)
+
+
+def best_window(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
+    """Of an alignment (place in ``words`` less place in ``item``): matched words, window length, place in words and item."""
+    size = min(WINDOW, len(item))
+    lo, hi = max(0, -diagonal), min(len(item), len(words) - diagonal)
+    if not size or hi - lo < size:
+        return None
+    same = np.concatenate([[0], np.cumsum(item[lo:hi] == words[lo + diagonal : hi + diagonal])])
+    in_window = same[size:] - same[:-size]
+    best = int(in_window.argmax())
+    if in_window[best] < AGREE * size:
+        return None
+    return int(in_window[best]), size, lo + best + diagonal, lo + best
+
+
+def verified(candidates: DataFrame) -> DataFrame:
+    """The candidate alignments with a window that agrees."""
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                got = best_window(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64), r["diagonal"])
+                if got:
+                    out.append((r["doc_id"], r["text_key"], r["item"], got[0], got[1], r["start"] + got[2], got[3]))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in FOUND.split(", ")])
+
+    return candidates.mapInArrow(check, FOUND)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Alignments of texts and distinct items, and the ids of the items; nothing if no item has words."""
+    names, items = distinct_items(benchmark)
+    rows = cut(seeded(items))
+    kinds = sorted(r.kind for r in rows.select("kind").distinct().collect())  # a few masks and lengths
+    if not kinds:
+        drop(names, items, rows)
+        return None
+    near = cut(neighbourhoods(docs, kinds, bitmap(rows)))
+    hits = near.select("region", F.explode(F.arrays_zip("kinds", "keys", "ats")).alias("h")).select("region", F.col("h.kinds").alias("kind"), F.col("h.keys").alias("key"), F.col("h.ats").alias("place"))
+    aligned = cut(hits.join(rows, ["kind", "key"]).select("region", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct())
+    texts = near.select("region", "doc_id", "text_key", "start", "words")
+    found = cut(verified(aligned.join(texts, "region").join(items.select("item", F.col("words").alias("item_words")), "item").select("doc_id", "text_key", "start", "words", "item", "item_words", "diagonal")))
+    drop(items, rows, near, aligned)
+    return found, names
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that overlap."""
-    spark = docs.sparkSession
-    found = []
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def scan(batches, shared=shared):
-            index = Benchmark(shared.value)
-            get = index.number.get
-            for batch, texts in blocks(batches):
-                out = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
-                    ids = np.array([get(w, 0) for w in ascii_words(text)], np.int64)
-                    out += [(doc, index.names[i], *got) for i, got in index.overlaps(ids)]
-                columns = list(zip(*out)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "matched", "compared", "doc_start", "item_start"])
-
-        found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, OUT))
-    if not found:
-        return spark.createDataFrame([], OUT)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "compared", "doc_start", "item_start")).alias("best")).select("doc_id", "item_id", "best.*")
+    got = overlaps(docs, benchmark)
+    if got is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, compared long, doc_start long, item_start long")
+    found, names = got
+    first = F.struct((-F.col("matched")).alias("rank"), "doc_start", "item_start", "matched", "compared")
+    best = found.join(names, "item").groupBy("doc_id", "item_id").agg(F.min(first).alias("best"))
+    return best.select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in ("matched", "compared", "doc_start", "item_start")])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose own text overlaps no benchmark item, with their columns."""
-    spark = docs.sparkSession
-    out = docs
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def sift(batches, shared=shared):
-            index = Benchmark(shared.value)
-            get = index.number.get
-            for batch, texts in blocks(batches):
-                yield batch.filter(pa.array([not index.overlaps(np.array([get(w, 0) for w in ascii_words(t)], np.int64)) for t in texts], pa.bool_()))
-
-        out = out.mapInArrow(sift, docs.schema)
-    return out
+    got = overlaps(docs, benchmark)
+    if got is None:
+        return docs
+    found, names = got
+    own = fresh("text_key", docs.columns)
+    keys = cut(found.select(F.col("text_key").alias(own)).distinct())
+    drop(found, names)
+    return docs.join(few_or_joined(keys, FEW), F.xxhash64("text") == F.col(own), "left_anti")

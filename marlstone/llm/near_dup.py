@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, blocks, cut, drop, fresh, mixed, trim
+from .common import U64, ascii_words, blocks, cut, drop, few_or_joined, fresh, mixed, trim
 from .components import components, extended
 
 SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
@@ -108,7 +108,7 @@ def may_link(sa, sb, percent: int, size: int):
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose ``doc_id`` is in the written table ``ids``; few ids go to the rows, many are joined."""
-    return rows.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, "doc_id", "left_semi")
+    return rows.join(few_or_joined(ids, FEW_IDS), "doc_id", "left_semi")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -339,9 +339,7 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     again = cut(made.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
 
     def among(ids: DataFrame, how: str) -> DataFrame:
-        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-        named = ids.select(F.col("doc_id").alias(own))
-        return docs.join(F.broadcast(named) if few else named, F.col("doc_id").cast("long") == F.col(own), how)
+        return docs.join(few_or_joined(ids.select(F.col("doc_id").alias(own)), FEW_IDS), F.col("doc_id").cast("long") == F.col(own), how)
 
     kept = among(copies, "left_anti")
     if again.isEmpty():
