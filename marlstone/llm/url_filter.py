@@ -6,35 +6,53 @@ labelled URL table, in the same buckets.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, has no
 n-grams and is allowed; rules with an empty host fit nothing; of rules of one length the first listed
-wins; repeated rows and further columns do not matter.
+wins; urls of any length are read as a whole; repeated rows each get the same row; an empty table gives no
+rows; columns beside the id and ``url`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BUCKETS, GRAMS = 1024, (3, 4)
+BUCKETS, GRAMS = 1 << 14, (3, 4, 5)
 PENALTY, ROUNDS = 0.002, 60
 
-# The labelled URL table that the classifier is trained on (1: block).
-LABELLED = (
-    ("https://www.cheap-pills.example.com/en/1", 1), ("http://cheap-pills.example.net/buy-now", 1), ("http://online-pharmacy-pills.example.org/cheap", 1),
-    ("https://spam-farm.example.org/en/7", 1), ("http://spam-farm.example.com/links/page", 1), ("http://link-farm.example.net/seo/spam", 1),
-    ("https://casino-bonus.example.com/free-spins", 1), ("http://best-casino.example.org/poker/win", 1), ("http://free-poker.example.net/casino", 1),
-    ("http://xxx-adult.example.com/videos", 1), ("https://adult-cams.example.org/live-xxx", 1), ("http://hot-xxx.example.net/adult", 1),
-    ("http://win-free-money.example.com/prize", 1), ("https://free-prize-claim.example.net/winner", 1), ("http://get-rich-money.example.org/cash", 1),
-    ("http://payday-loan-cash.example.com/apply", 1), ("https://replica-watches.example.net/cheap-rolex", 1), ("http://weight-loss-pills.example.com/buy", 1),
-    ("https://www.news.example.com/en/24.html", 0), ("http://blog.writer.example.net/en/960", 0), ("https://m.reader.example.org/de/12", 0),
-    ("https://docs.library.example.com/fr/guide", 0), ("http://wiki.history.example.org/en/article", 0), ("https://www.university.example.net/research/paper", 0),
-    ("http://museum.example.org/es/exhibits", 0), ("https://blog.garden.example.com/en/853/", 0), ("http://www.weather.example.net/de/forecast", 0),
-    ("https://science.example.org/en/441", 0), ("http://m.travel.example.com/fr/825", 0), ("https://recipes.example.net/es/797", 0),
-    ("http://forum.code.example.org/en/thread/19", 0), ("https://www.thought.example.com/en/148.html", 0), ("http://theory.example.net/en/770", 0),
-    ("https://blog.motion.example.org/es/978", 0), ("http://thread.example.com/en/328/", 0), ("https://m.other.example.net/fr/414", 0),
+# The labelled URL table that the classifier is trained on, written by hand from what such
+# addresses commonly look like; none is taken from a table that it judges.
+BLOCKED = (
+    "http://online-casino-jackpot.test/slots/free-spins", "https://betting-bonus.invalid/sports-betting", "http://www.luckypoker.test/texas-holdem/play-now", "https://royal-vegas-slots.invalid/welcome-bonus",
+    "http://crazy-roulette.test/?ref=88", "https://sportsbook-odds.invalid/live-betting", "http://bingo-jackpots.test/win-big", "https://lotto-winners.invalid/claim-prize",
+    "http://cheapviagra.test/buy-viagra-online", "https://discount-pharmacy.invalid/cialis-no-prescription", "http://rx-pills-online.test/order/tramadol", "https://diet-pills-fast.invalid/lose-weight",
+    "http://weightloss-miracle.test/burn-fat-now", "https://hair-loss-cure.invalid/special-offer", "http://male-enhancement.test/pills/buy", "https://steroids-shop.invalid/cheap",
+    "http://xxxvideos.test/free-porn", "https://hot-singles.invalid/adult-dating", "http://sexcams-live.test/nude-girls", "https://escort-service.invalid/vip-escorts", "http://pornclips.test/xxx/movies", "https://adult-webcam.invalid/sex-chat",
+    "http://payday-loans-fast.test/apply-now", "https://quick-cash-advance.invalid/no-credit-check", "http://debt-relief-now.test/get-cash", "https://make-money-online.invalid/earn-5000-a-week",
+    "http://bitcoin-doubler.test/invest", "https://crypto-giveaway.invalid/free-btc", "http://forex-robot.test/instant-profit", "https://get-rich-quick.invalid/secret-system",
+    "http://replica-watches.test/rolex-cheap", "https://fake-handbags.invalid/louis-vuitton-outlet", "http://cheap-jerseys.test/wholesale", "https://designer-outlet-sale.invalid/90-off",
+    "http://free-iphone-winner.test/claim-now", "https://you-have-won.invalid/prize/verify", "http://account-verify-login.test/paypal/secure-update", "https://secure-bank-login.invalid/confirm-password",
+    "http://free-download-crack.test/keygen/serial", "https://warez-torrents.invalid/full-version-crack", "http://cheap-backlinks.test/buy-links", "https://seo-link-farm.invalid/submit-link/page-9",
+    "http://link-exchange-spam.test/directory/add-url", "https://blogspam-network.invalid/spun-content", "http://click-farm.test/buy-followers", "https://buy-likes-cheap.invalid/instagram-followers",
+    "http://spam-mailer.test/bulk-email", "https://popup-ads-farm.invalid/redirect", "http://parked-domains.test/search-ads", "https://essay-writing-cheap.invalid/buy-essay-now",
 )
+ALLOWED = (
+    "https://www.citylibrary.test/catalogue/novels", "http://museum.history.invalid/exhibitions/roman-coins", "https://www.university.test/departments/physics", "http://research.institute.invalid/papers/2019/climate.pdf",
+    "https://journal.biology.test/articles/cell-division", "http://www.observatory.invalid/news/comet", "https://docs.programming.test/tutorial/functions.html", "http://wiki.linguistics.invalid/wiki/Phoneme",
+    "https://forum.gardening.test/topic/4411-tomato-plants", "http://blog.cooking.invalid/2021/03/bread-recipe", "https://www.recipes.test/soups/lentil", "http://travel.mountains.invalid/guides/hiking-trails",
+    "https://www.weather.test/forecast/tomorrow", "http://news.daily.invalid/politics/election-results", "https://www.gazette.test/sport/football-report", "http://archive.newspaper.invalid/1987/05/12",
+    "https://www.parliament.test/bills/education", "http://www.ministry.invalid/health/vaccination", "https://statistics.office.test/tables/population", "http://www.court.invalid/judgments/2015/112",
+    "https://www.school.test/parents/calendar", "http://kindergarten.invalid/about", "https://courses.online.test/mathematics/algebra-1", "http://lecture.notes.invalid/calculus/chapter-3",
+    "https://www.hospital.test/patients/visiting-hours", "http://clinic.invalid/services/dentistry", "https://health.encyclopedia.test/asthma", "http://www.nutrition.invalid/vitamins",
+    "https://code.repository.test/project/readme", "http://developer.handbook.invalid/api/reference", "https://bugs.tracker.test/issue/1024", "http://packages.index.invalid/simple/numpy",
+    "https://www.orchestra.test/concerts/season", "http://theatre.invalid/programme/hamlet", "https://gallery.art.test/paintings/landscape", "http://poems.collection.invalid/authors/k",
+    "https://www.railway.test/timetable", "http://airport.invalid/arrivals", "https://maps.geography.test/rivers", "http://www.zoo.invalid/animals/elephant",
+    "https://birds.field-guide.test/species/robin", "http://www.oceanography.invalid/tides", "https://astronomy.club.test/meetings", "http://chess.society.invalid/openings/sicilian",
+    "https://www.bookshop.test/history/middle-ages", "http://bakery.invalid/opening-hours", "https://knitting.patterns.test/scarf", "http://woodwork.workshop.invalid/joints",
+    "https://family.genealogy.test/surnames/b", "http://www.philosophy.invalid/essays/reason",
+)
+LABELLED = (*((url, 1) for url in BLOCKED), *((url, 0) for url in ALLOWED))
 #: Rules of the query: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -49,10 +67,13 @@ def parts(url):
 
 
 def grams(kind: str, text, n: int):
-    """The buckets of the n-grams of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    hashed = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
-    return F.when(F.length(text) >= n, hashed).otherwise(F.array().cast("array<int>"))
+    """The buckets of the n-grams of a text; its characters are parted once, so that a long text is read once."""
+
+    def hashed(chars):
+        starts = F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(BUCKETS)).cast("int"))
+
+    return F.when(F.length(text) >= n, F.get(F.transform(F.array(F.split(text, "")), hashed), 0)).otherwise(F.array().cast("array<int>"))
 
 
 def buckets_of(host, path):
@@ -63,24 +84,23 @@ def buckets_of(host, path):
 
 def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
     """Bucket weights and intercept."""
-    values = ", ".join(f"('{url}', {label})" for url, label in labelled)
-    rows = spark.sql(f"select * from values {values} as t(url, label)")
-    host, path = parts(F.col("url"))
-    rows = rows.select(F.col("label").cast("double").alias("label"), buckets_of(host, path).alias("own"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains("own", i).cast("double"))
-    model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False).fit(rows.select("label", array_to_vector(dense).alias("features")).coalesce(1))
+    table = F.array(*[F.struct(F.lit(url).alias("url"), F.lit(float(label)).alias("label")) for url, label in labelled])
+    rows = spark.range(1).select(F.explode(table).alias("r")).select("r.label", "r.url")
+    own = rows.select("label", buckets_of(*parts(F.col("url"))).cast("array<string>").alias("own"))
+    vectors = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "own", "features").setBinary(True).transform(own)
+    model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False).fit(vectors.select("label", "features"))
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
 
 def rule_for(host, path, rules=RULES):
     """The rule that fits and is longest, as a struct of its text and verdict."""
-    chain = None
+    chain = F.when(F.lit(False), F.struct(F.lit("").alias("rule"), F.lit("").alias("verdict")))
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         if not rule_host:
             continue
         fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(rule_path))
         found = F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))
-        chain = F.when(fits, found) if chain is None else chain.when(fits, found)
+        chain = chain.when(fits, found)
     return chain
 
 
@@ -88,7 +108,7 @@ def judge(pages: DataFrame, model: tuple[list[float], float], rules=RULES, id_co
     weights, intercept = model
     host, path = parts(F.col("url"))
     split = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
-    table = F.lit(weights)  # one weight per bucket, whatever the input
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # a constant: one weight per bucket, whatever the input
     logit = F.aggregate(buckets_of(F.col("host"), F.col("path")), F.lit(intercept), lambda total, b: total + F.element_at(table, b + 1))
     scored = split.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn("block_score", F.when((F.col("host") == "") & (F.col("path") == ""), F.lit(0.0)).otherwise(1 / (1 + F.exp(-logit))))
     verdict = F.coalesce("found.verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))

@@ -107,25 +107,73 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [3, 4, 5]
 
 
-def test_every_pattern_of_substitutions_of_short_items_is_found():
-    for size in range(1, 17):
-        words = [b"w%d" % i for i in range(size)]
-        index = decontaminate.Benchmark([(7, words)])
-        for other in range(size // 5 + 1):
-            for places in itertools.combinations(range(size), other):
-                ids = np.array([0, 0, *(0 if i in places else index.number[w] for i, w in enumerate(words)), 0], np.int64)
-                assert index.overlaps(ids) == [(0, (size - other, size, 2, 0))], (size, places)
+def brute_overlaps(docs, bench):
+    """Documents and items with some aligned window that agrees, by looking at all alignments."""
+    number = {}
+    spelt = lambda t: np.array([number.setdefault(w, len(number)) for w in (t or "").encode().lower().split()], np.int32)
+    windows = lambda words, size: np.lib.stride_tricks.sliding_window_view(words, size)
+    items = [(i, x, min(decontaminate.WINDOW, len(x))) for i, x in ((i, spelt(t)) for i, t in bench)]
+    found = set()
+    for d, t in docs:
+        words = spelt(t)
+        for i, item, size in items:
+            if size and len(words) >= size:
+                of_doc = windows(words, size)
+                if any(((of_doc == w).sum(axis=1) >= decontaminate.AGREE * size).any() for w in windows(item, size)):
+                    found.add((d, i))
+    return found
+
+
+def test_every_pattern_of_substitutions_is_found(spark):
+    """All ways to change the words that a window may have changed, for items of 1 to 20 words."""
+    bench, docs, want = [], [], set()
+    for size in range(1, 21):
+        words = [f"w{size}x{i}" for i in range(size)]
+        bench.append((size, " ".join(words)))
+        window = min(size, 16)
+        for other in range(window // 5 + 1):
+            for places in itertools.combinations(range(window), other):
+                docs.append((len(docs), " ".join(["before", "it", *("zzz" if i in places else w for i, w in enumerate(words[:window])), "after"])))
+                want.add((docs[-1][0], size))
         if size < 5:
-            ids = np.array([0, *(index.number[w] for w in words[1:]), 0], np.int64)
-            assert not index.overlaps(ids)
-
-
-def test_blocks_of_items_give_the_same(documents, spark):
+            docs.append((len(docs), " ".join(["before", *words[1:], "after"])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.doc_start == 2 and r.item_start == 0 for r in got if r.item_id <= 16)
+
+
+def test_overlaps_match_brute_force(spark):
+    """Random passages with substitutions, common words, repeated items, and items in several documents."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"v{int(rng.zipf(1.3)) % 400}"
+    bench = [(i, " ".join(word() for _ in range(int(rng.integers(1, 40))))) for i in range(40)]
+    bench += [(100, bench[7][1]), (7, bench[7][1]), (101, None), (102, "")]
+    docs = []
+    for d in range(150):
+        words = [word() for _ in range(int(rng.integers(0, 120)))]
+        if d % 2:
+            item = bench[int(rng.integers(0, 40))][1].split()
+            words[len(words) // 2 : len(words) // 2] = [word() if rng.random() < 0.15 else w for w in item]
+        docs.append((d, " ".join(words)))
+    docs += [(200, None), (201, ""), docs[1], (202, docs[3][1])]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_overlaps(docs, bench)
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+    bad = {d for d, _ in want}
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(df, items).collect()) == sorted(d for d, _ in docs if d not in bad)
+
+
+def test_a_full_bitmap_loses_nothing(documents, rows, spark, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, bench).collect()}
-    parts = [b for b in decontaminate.item_blocks(bench, 200)]
-    assert len(parts) > 1 and sum(map(len, parts)) == bench.count()
-    assert whole
+    assert whole == brute_overlaps(rows, [(r.item_id, r.text) for r in bench.collect()]) and whole
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 8)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8)
+    monkeypatch.setattr(decontaminate, "FEW", 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, bench).collect()} == whole
+    left = {r.doc_id for r in decontaminate.clean_documents(documents, bench).collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in whole}
 
 
 def test_no_benchmark_or_documents(no_documents, odd_documents, spark):
@@ -287,6 +335,41 @@ def test_model_tells_the_labelled_urls_apart(spark):
     assert [got[i] == "block" for i in range(len(url_filter.LABELLED))] == [bool(y) for _, y in url_filter.LABELLED]
 
 
+HELD_OUT = (
+    ("http://casino-royal-slots.test/bonus", 1), ("https://vegas-poker-room.invalid/play", 1), ("http://betting-odds-live.test/sports", 1), ("https://cheap-pills-pharmacy.invalid/viagra", 1),
+    ("http://buy-cialis-cheap.test/order", 1), ("https://fast-weight-loss.invalid/diet-pills", 1), ("http://free-xxx-cams.test/sex", 1), ("https://adult-singles-dating.invalid/hot", 1),
+    ("http://instant-payday-loans.test/no-credit", 1), ("https://win-free-iphone.invalid/claim", 1), ("http://cheap-replica-rolex.test/watches", 1), ("https://buy-cheap-backlinks.invalid/seo", 1),
+    ("http://crypto-profit-robot.test/invest-now", 1), ("https://paypal-login-verify.invalid/confirm", 1), ("http://spam-link-network.test/submit", 1), ("https://torrents-crack.invalid/free-download", 1),
+    ("https://www.townlibrary.test/catalogue", 0), ("http://art.museum.invalid/exhibitions", 0), ("https://physics.university.test/research/papers", 0), ("http://www.news-gazette.invalid/politics", 0),
+    ("https://forum.cooking.test/topic/12-soups", 0), ("http://wiki.history.invalid/wiki/Rome", 0), ("https://docs.developer.test/api/functions.html", 0), ("http://weather.office.invalid/forecast", 0),
+    ("https://blog.travel.test/2020/06/mountains", 0), ("http://www.school.invalid/courses/mathematics", 0), ("https://hospital.services.test/patients", 0), ("http://journal.astronomy.invalid/articles/comet", 0),
+    ("https://www.concerts.test/orchestra/programme", 0), ("http://railway.museum.invalid/opening-hours", 0), ("https://statistics.ministry.test/population", 0), ("http://species.encyclopedia.invalid/birds", 0),
+)
+
+
+def test_urls_that_were_not_trained_on_are_told_apart(spark):
+    assert not {u for u, _ in HELD_OUT} & {u for u, _ in url_filter.LABELLED}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(HELD_OUT)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.train(spark), rules=()).collect()}
+    assert sum((got[i] == "block") == bool(y) for i, (_, y) in enumerate(HELD_OUT)) >= 0.9 * len(HELD_OUT)
+
+
+def test_the_labelled_urls_are_none_of_the_pages(spark):
+    urls = {u for sf in ("sf0.01", "sf0.1") for (u,) in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("url").collect()}
+    paths = {u.split("://")[1].partition("/")[2] for u in urls if u and "://" in u} - {""}
+    assert not {u for u, _ in url_filter.LABELLED} & urls and not {u.split("://")[1].partition("/")[2] for u, _ in url_filter.LABELLED} & paths
+
+
+def test_urls_of_odd_rows(spark):
+    schema = "page_id long, url string, HOST int, block_score string, own string, found int"
+    rows = [(1, "http://it's.test/a'b", 1, "x", "y", 2), (1, "http://it's.test/a'b", 1, "x", "y", 2), (2, "http://" + "a" * 50_000 + "/" + "é" * 50_000, None, None, None, None), (None, "http://com/", 0, "", "", 0), (3, "://", 0, "", "", 0)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and sum(r.page_id == 1 and r.host == "it's.test" and r.path == "/a'b" for r in got) == 2
+    assert {r.page_id: len(r.host) for r in got}[2] == 50_000 and [(r.host, r.rule, r.verdict) for r in got if r.page_id is None] == [("com", "com/", "allow")]
+    assert [(r.host, r.path, r.verdict) for r in got if r.page_id == 3] == [("", "", "allow")]
+    assert url_filter.filter_urls(spark.createDataFrame([], schema)).count() == 0
+
+
 # ------------------------------------------------------------ packed exchanges
 def test_packed_keys_and_numbers():
     rng = np.random.default_rng(2)
