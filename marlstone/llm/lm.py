@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, crc_mod, cut, mixed
+from .common import U64, coded_words, crc_mod, cut, mixed
 from .exchange import NO_DOC, answered, asked, bucket_slices, checksum, many_buckets, numbered, pack_keys, pack_numbers, payload, unpack_keys, unpack_numbers, unpack_payload
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -41,7 +41,7 @@ ANSWER = "block long, checksum long, kind int, bucket int, counts binary, sums a
 ANSWERED = ["block", "checksum", "kind", "bucket", "counts", "sums"]
 #: Length of the n-grams, bits of their hashes, and tokens of a lane.
 ORDER, BITS, LANE = 3, 56, 512
-BLOCK = 12_000_000
+BLOCK = 9_000_000
 BEGIN, END = 0, 1
 BEGIN_KEY, END_KEY = U64(0x1D8E4E27C47D124F), U64(0xEB44ACCAB455D165)
 ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
@@ -54,20 +54,14 @@ class Grams:
     """N-grams of a block: for each length the sorted distinct keys, and which one ends at each token (-1: none)."""
 
     def __init__(self, texts: list[bytes], order: int):
-        number: dict[bytes, int] = {}
-        new = number.setdefault
-        stream: list[int] = []
-        starts = []
-        for text in texts:
-            starts.append(len(stream))
-            stream.append(BEGIN)
-            stream += [new(w, len(number) + 2) for w in ascii_words(text)]
-            stream.append(END)
-        tokens = np.array(stream, np.int32)
-        del stream
-        key_of = np.array([BEGIN_KEY, END_KEY, *(xxhash.xxh3_64_intdigest(w) for w in number)], np.uint64)
+        words, which, edges = coded_words(pa.array(texts, pa.string()))
+        sizes = np.diff(edges)
+        self.starts = np.cumsum(sizes + 2) - (sizes + 2)
+        tokens = np.full(len(which) + 2 * len(texts), END, np.int32)
+        tokens[np.arange(len(which)) + 2 * np.repeat(np.arange(len(texts)), sizes) + 1] = which + 2
+        tokens[self.starts] = BEGIN
+        key_of = np.array([BEGIN_KEY, END_KEY, *(xxhash.xxh3_64_intdigest(w) for w in words)], np.uint64)
         self.real = tokens != BEGIN  # the begin mark is a history, never predicted
-        self.starts = np.array(starts, np.int64)
         self.doc = (np.cumsum(~self.real) - 1).astype(np.int32)
         keys = word_keys = key_of[tokens]
         self.keys, self.which = [], []
@@ -252,8 +246,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, fold: int = 7, held: in
     source = asked(docs, (crc_mod(F.col("doc_id"), fold) == held).cast("int"))
     answers = cut(answered(requests(source, order, many_buckets(source)), total_counts, ANSWER))
     sums = np.zeros((order, SUMS), np.int64)  # a hundred numbers for each length, whatever the corpus
-    for r in answers.where("sums is not null").select("kind", F.posexplode("sums")).groupBy("kind", "pos").agg(F.sum("col").alias("n")).collect():
-        sums[r.kind - 1, r.pos] = r.n
+    for r in answers.where("sums is not null").groupBy("kind").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(SUMS)]).alias("n")).collect():
+        sums[r.kind - 1] = r.n
     answers = answers.drop("sums")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
