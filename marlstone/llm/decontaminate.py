@@ -32,9 +32,9 @@ from .common import U64, block_ids, blocks, coded_words, cut, drop, few_or_joine
 #: Offsets that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
 WINDOW, AGREE, MASKED = 16, 0.8, 12
-#: Bits of the bitmap, as powers of two, and its bits for a hash.
-LEAST_BITS, MOST_BITS, ROOM = 20, 26, 16
-FEW = 500_000
+#: Bits of the bitmap, as powers of two, its bits for a hash, and the places of a hash in it.
+LEAST_BITS, MOST_BITS, ROOM, PROBES = 24, 26, 32, 3
+FEW, STEP = 500_000, 19
 SEED = "kind int, key long, item long, at int"
 NEAR = "region long, doc_id long, text_key long, start long, words binary, kinds array<int>, keys array<long>, ats array<long>"
 FOUND = "doc_id long, text_key long, item long, matched long, compared long, doc_start long, item_start long"
@@ -106,14 +106,22 @@ def seeded(items: DataFrame) -> DataFrame:
 
 
 def bitmap(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """Which leading bits the hashes have; of ``2 ** MOST_BITS`` bits at most, however many hashes there are."""
-    n = rows.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * n).bit_length()))
-    slot = F.shiftrightunsigned("key", 64 - bits)
-    words = rows.select((slot / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    """A Bloom filter of the hashes; of ``2 ** MOST_BITS`` bits at most, however many hashes there are."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (ROOM * rows.count()).bit_length()))
+    slots = F.explode(F.array(*[F.shiftrightunsigned(F.shiftleft("key", STEP * k), 64 - bits) for k in range(PROBES)]))
+    words = rows.select(slots.alias("slot")).select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy()] = words["m"].to_numpy()
-    return bits, out
+    return bits, out.view(np.uint64)
+
+
+def in_bitmap(h: np.ndarray, bits: int, held: np.ndarray) -> np.ndarray:
+    """The places of the hashes that the filter lets through."""
+    at = np.arange(len(h))
+    for k in range(PROBES):
+        slot = h[at] << U64(STEP * k) >> U64(64 - bits)
+        at = at[(held[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) > 0]
+    return at
 
 
 def neighbourhoods(docs: DataFrame, kinds: list[int], filter_: tuple[int, np.ndarray]) -> DataFrame:
@@ -129,9 +137,7 @@ def neighbourhoods(docs: DataFrame, kinds: list[int], filter_: tuple[int, np.nda
             places, kind_of, key_of = [], [], []
             for kind in kinds:
                 h = seeds(words, kind)
-                slot = h >> U64(64 - bits)
-                may = ((held[(slot >> U64(6)).astype(np.int64)].view(np.uint64) >> (slot & U64(63))) & U64(1)) > 0
-                at = np.nonzero(may)[0]
+                at = in_bitmap(h, bits, held)
                 at = at[at + offsets(kind)[-1] < last[at]]
                 places.append(at), kind_of.append(np.full(len(at), kind, np.int32)), key_of.append(h[at].view(np.int64))
             at = np.concatenate([np.zeros(0, np.int64), *places])
