@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, blocks, cut, drop, few_or_joined, fresh, mixed, trim
+from .common import U64, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed, trim
 from .components import components, extended
 
 SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
@@ -53,22 +53,20 @@ ODD = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 def shingles(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     """The distinct 63-bit shingle values of each text, in order."""
-    number: dict[bytes, int] = {}
-    new = number.setdefault
-    rows = [np.array([new(w, len(number)) for w in ascii_words(t)], np.int64) for t in texts]
-    key_of = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-    out = []
-    for row in rows:
-        if not len(row):
-            out.append(np.zeros(0, np.int64))
-            continue
-        keys = key_of[row]
-        size = min(words, len(row))
-        h = np.full(len(row) - size + 1, size, np.uint64)
+    distinct, which, edges = coded_words(pa.array(texts, pa.string()))
+    if not len(which):
+        return [np.zeros(0, np.int64)] * len(texts)
+    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)[which]
+
+    def hashed(part: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(max(0, len(part) - size + 1), size, np.uint64)
         for k in range(size):
-            h = mixed(h * ODD[0] + keys[k : len(keys) - size + 1 + k])
-        out.append(np.unique(h >> U64(1)).astype(np.int64))
-    return out
+            h = mixed(h * ODD[0] + part[k : k + len(h)])
+        return (h >> U64(1)).astype(np.int64)
+
+    whole = hashed(keys, words)
+    bounds = zip(edges.tolist(), edges[1:].tolist())
+    return [np.unique(whole[a : b - words + 1] if b - a >= words else hashed(keys[a:b], b - a)[: b - a]) for a, b in bounds]
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
