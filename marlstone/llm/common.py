@@ -58,6 +58,14 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches have a few megabytes at most; workers and executors hold several at a time."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("b")) <= BLOCK_BYTES:
+        conf.set(name, f"{BLOCK_BYTES}b")
+    return docs
+
+
 def fresh(name: str, taken) -> str:
     """A column name like ``name`` that is not taken, whatever the case of its letters."""
     taken = {c.lower() for c in taken}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_ids, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed
+from .common import U64, block_ids, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed, small_batches
 
 #: Offsets that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
@@ -193,7 +193,7 @@ def verified(candidates: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Alignments of texts and distinct items, and the ids of the items; nothing if no item has words."""
-    names, items = distinct_items(benchmark)
+    names, items = distinct_items(small_batches(benchmark))
     rows = cut(seeded(items))
     kinds = sorted(r.kind for r in rows.select("kind").distinct().collect())  # a few masks and lengths
     if not kinds:

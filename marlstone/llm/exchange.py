@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_ids, blocks, partitions
+from .common import block_ids, blocks, partitions, small_batches
 
 PAYLOAD = "block long, checksum long, docs binary, lengths binary, flags binary, texts binary"
 NO_DOC = np.iinfo(np.int64).min
@@ -87,7 +87,7 @@ def numbered(batches: Iterator[pa.RecordBatch], limit: int):
 
 def asked(docs: DataFrame, flag=None) -> DataFrame:
     """The columns that ``numbered`` takes: an id, a text and a flag."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(flag if flag is not None else F.lit(0), F.lit(0)).cast("int").alias("flag"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(flag if flag is not None else F.lit(0), F.lit(0)).cast("int").alias("flag"))
 
 
 def payload(source: DataFrame, limit: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, crc_mod, mixed
+from .common import U64, blocks, crc_mod, mixed, small_batches
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 START = "▁"
@@ -187,7 +187,7 @@ def sample_counts(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFr
 def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> tuple[Pieces, list[str], np.ndarray]:
     """The model; each language's words, those of the bounded sample, are learnt in one task."""
     pieces = Pieces.load(vocabulary)
-    training = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
+    training = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     counted = sample_counts(training, sample_docs)
     if counted is None:
         return pieces, [], np.zeros((len(pieces.keys), 0))

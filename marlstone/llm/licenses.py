@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows
+from .common import byte_rows, small_batches
 
 NOTICES = "doc_id long, path string, own string, own_score double, share double"
 THRESHOLD, WHOLE, MOSTLY = 0.55, 0.75, 0.5
@@ -189,7 +189,7 @@ def notices(files: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "own", "own_score", "share"])
 
-    own = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.when(F.col("text").rlike(f"(?i){TRIGGER}"), F.col("text")).alias("text"))
+    own = small_batches(files).select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.when(F.col("text").rlike(f"(?i){TRIGGER}"), F.col("text")).alias("text"))
     return own.mapInArrow(find, NOTICES)
 
 

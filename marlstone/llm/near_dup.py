@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed, trim
+from .common import U64, blocks, coded_words, cut, drop, few_or_joined, fresh, mixed, small_batches, trim
 from .components import components, extended
 
 SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
@@ -263,7 +263,7 @@ def prefix_pairs(items: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Id and set size of all rows, and the component of each document with shingles (columns node, component)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = cut(sketches(texts, words))
     by = ["n_shingles", "s1", "s2"]
     sizes = cut(made.select("doc_id", *by))

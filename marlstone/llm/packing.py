@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks, partitions
+from .common import blocks, partitions, small_batches, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -34,7 +34,7 @@ TIED, BAR = 100, "7"
 #: Marks that part words but are not part of a contraction.
 MARKS = b".,;:!?|%$#&*"
 #: Bytes of text that are encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 3_000_000
 
 
 def public_vocabulary(name: str) -> str:
@@ -149,10 +149,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(vocabulary).encode_all
+        own = encoder(vocabulary)
         for batch, _ in blocks(batches, limit=TOGETHER):
             out: tuple[list, ...] = ([], [], [], [], [])
-            ids, edges = encode_all(batch.column("text"))
+            ids, edges = own.encode_all(batch.column("text"))
             for doc, first, last in zip(batch.column("doc_id").to_pylist(), edges, edges[1:]):
                 for k, at in enumerate(range(first, last + 1, size)):
                     part = ids[at : min(last, at + size)]
@@ -161,8 +161,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int =
                     for column, value in zip(out, (doc, k, at - first, len(part) + ended, check)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        own.older = {}  # the worker may wait long for its next task
+        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(cut_up, PIECES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(cut_up, PIECES)
 
 
 class OpenBins:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mixed, partitions
+from .common import U64, mixed, partitions, small_batches
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 CHAIN, DISTANCE = 2, 1
@@ -102,7 +102,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), "text")
+    keyed = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), "text")
     shares = [i / parts for i in range(1, parts)]
     splitters = sorted(set(keyed.agg(F.percentile_approx("k", shares, 100 * parts).alias("s")).first().s or [])) if shares else []
 

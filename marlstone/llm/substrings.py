@@ -18,9 +18,9 @@ anchors at equal places.  So only suffixes at anchors are looked at:
 
 Order is by (doc_id, start); equal ids go by their place in the input.
 
-Defined results: a null text is empty; texts of fewer than 100 bytes keep everything; a null id comes
-first and is returned as null; repeated rows are later copies and lose whatever the first has; further
-columns are ignored.
+Defined results: a null text is empty; texts of fewer than 100 bytes keep everything; texts of any length are
+looked at as a whole; a null id comes first and is returned as null; repeated rows are later copies and lose
+whatever the first has; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, cut, mixed, partitions
-from .exchange import NO_DOC, answered, asked, bucket_slices, checksum, numbered, pack_keys, pack_numbers, payload, unpack_keys, unpack_numbers, unpack_payload
+from .exchange import NO_DOC, answered, asked, bucket_slices, checksum, many_buckets, numbered, pack_keys, pack_numbers, payload, unpack_keys, unpack_numbers, unpack_payload
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 REQUEST = "bucket int, block long, checksum long, kind int, keys binary, contexts binary, docs binary"
@@ -44,7 +44,7 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM
 #: Suffixes with one lead that a task sorts; more are compared by aggregation.
 HEAVY = 20_000
-BLOCK, CHUNK, PLACE = 3_000_000, 1 << 16, 28
+BLOCK, CHUNK, PLACE = 3_000_000, 1 << 16, 17
 ONCE, REPEATED, SEVERAL = 0, 1, 2
 BASE = 0x9E3779B97F4A7C15
 SIGN = U64(1 << 63)
@@ -64,8 +64,6 @@ class Anchors:
         self.offsets = np.cumsum(self.lengths) - self.lengths
         whole = np.frombuffer(b"".join(texts), np.uint8)
         n = len(whole)
-        if n >> PLACE:
-            raise ValueError("a block of over 256 MB of text")
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for base in range(0, max(0, n - WINDOW + 1), CHUNK):
             stop = min(n, base + CHUNK + WINDOW - 1)
@@ -76,11 +74,11 @@ class Anchors:
             count = stop - base - WINDOW + 1
             full = sums[64][:count] * power(36) + sums[32][64 : 64 + count] * power(4) + sums[4][96 : 96 + count]
             gram = mixed(sums[GRAM])
-            least = (gram >> U64(PLACE) << U64(PLACE)) | np.arange(base, base + len(gram), dtype=np.uint64)
+            least = (gram >> U64(PLACE) << U64(PLACE)) | np.arange(len(gram), dtype=np.uint64)
             for size in (1, 2, 4, 8, 16, 32):
                 least = np.minimum(least[:-size], least[size:])
             least = np.minimum(least[: -(REACH + 1 - 64)], least[REACH + 1 - 64 :])[:count]
-            place = (least & U64((1 << PLACE) - 1)).astype(np.int64)
+            place = (least & U64((1 << PLACE) - 1)).astype(np.int64) + base
             start = np.arange(base, base + count)
             inside = start + WINDOW <= (self.offsets + self.lengths)[np.searchsorted(self.offsets, start, "right") - 1]
             place = np.where(inside, place, -1)
@@ -339,7 +337,7 @@ def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     parts = partitions(spark)
     source = asked(docs)
     blocks = payload(source, BLOCK)
-    answers = answered(requests(source, parts), tell_apart, ANSWER)
+    answers = answered(requests(source, many_buckets(source)), tell_apart, ANSWER)
     found = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sort_out, FOUND))
     suffixes = found.where("kind = 1")
     crowded = suffixes.groupBy("lead").count().where(F.col("count") > heavy).select("lead")
