@@ -21,6 +21,7 @@ CATEGORIES = {
     "monetary": ("dollar", "$", "cent", "cost", "price", "pay", "charge", "fee", "earn", "wage", "salary", "discount", "spend", "budget", "afford"),
     "percentage": ("percent", "%", "percentage", "out of 100", "per cent", "discount", "tax", "tip", "interest"),
 }
+# Order of the categories, words and patterns that the features look for.
 CATEGORY_ORDER = ("percentage", "monetary", "time", "rate", "counting", "ratio", "logic", "arithmetic")
 STEP_WORDS = ("then", "after", "also", "each", "total", "remaining", "left", "more", "less", "how many", "how much", "per")
 NAMING = ("how many", "how much", "find", "we need", "what is", "total")
@@ -49,12 +50,19 @@ def has(text: Column, word: str, word_boundaries: bool = False) -> Column:
     return F.contains(text, F.lit(word))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def category_type(question: Column, word_boundaries: bool = False) -> Column:
-    low = F.lower(question)
-    found = F.lit("arithmetic")
-    for name, words in CATEGORIES.items():
-        found = F.when(reduce(lambda a, b: a | b, [has(low, w, word_boundaries) for w in words]), name).otherwise(found)
-    return found
+    def found(low: Column) -> Column:
+        kind = F.lit("arithmetic")
+        for name, words in CATEGORIES.items():
+            kind = F.when(reduce(lambda a, b: a | b, [has(low, w, word_boundaries) for w in words]), name).otherwise(kind)
+        return kind
+
+    return once(F.lower(question), found)
 
 
 def keyword_hits(question: Column, category: Column) -> Column:
@@ -118,7 +126,7 @@ def richness(question: Column) -> Column:
     low, n = F.lower(question), F.length(question)
     by_length = F.when(n < 40, F.lit(0.3)).when(n <= 200, F.lit(1.0)).otherwise(F.greatest(F.lit(0.4), F.lit(1.0) - (n - 200) / F.lit(500.0)))
     numbers = F.least(F.lit(1.0), F.regexp_count(question, F.lit(WHOLE_NUMBER)) / F.lit(5.0))
-    hits = reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in STEP_WORDS])
+    hits = once(low, lambda text: reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in STEP_WORDS]))
     return F.round(F.lit(0.35) * by_length + F.lit(0.35) * numbers + F.lit(0.30) * F.least(F.lit(1.0), hits / F.lit(3.0)), 4)
 
 

@@ -1,7 +1,8 @@
 """Attempts rendered from orders and their lines, each with a known kind of fault.
 
-An order is a question about its lines (a quantity and a small price each); its solution lists the
-products and their sum.  ``o_orderkey % 8`` picks what is wrong with the trace.
+An order is a question about all its lines (a quantity and a small price each); its solution lists the
+products and their sum.  ``o_orderkey % 8`` picks what is wrong with the trace.  An order without lines
+is an attempt with an empty solution.
 """
 
 from __future__ import annotations
@@ -9,17 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_LINES = 7
-
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's priority, id and its first lines in order."""
+    """An order's priority, id and its lines in order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     q, price = F.col("l_quantity").cast("int"), (1 + F.col("l_partkey") % 97).cast("int")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), rank.alias("rn"), q.alias("q"), price.alias("p")).where(F.col("rn") <= MOST_LINES)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), rank.alias("rn"), q.alias("q"), price.alias("p"))
     grouped = lines.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rn", "q", "p"))).alias("lines"))
-    return orders.join(grouped, "key")
+    none = F.array().cast(grouped.schema["lines"].dataType)
+    return orders.join(grouped, "key", "left").withColumn("lines", F.coalesce("lines", none))
 
 
 def product(line: Column) -> Column:
@@ -60,7 +60,7 @@ def trace(kind: Column, lines: Column) -> Column:
 
     def worked(shown: Column, results: Column, last: Column) -> Column:
         parts = F.concat(shown, F.array(text(F.array_join(results.cast("array<string>"), " + "), " = ", last)))
-        return F.array_join(parts, "\n")
+        return F.when(n > 0, F.array_join(parts, "\n")).otherwise("")
 
     plain = F.transform(lines, lambda x: step(x, product(x)))
     results = F.transform(lines, product)
@@ -102,6 +102,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(items(spark, sf_dir), F.col("key") % 8)
 
 
-def second_attempts(spark: SparkSession, sf_dir: str, divisor: int) -> DataFrame:
-    """Attempts of a retry: those whose key the divisor divides come out without fault."""
-    return rendered(items(spark, sf_dir), F.when(F.col("key") % divisor == 0, 0).otherwise(F.col("key") % 8))
+def second_attempts(spark: SparkSession, sf_dir: str, divisor: int, queue: DataFrame) -> DataFrame:
+    """Attempts of a retry of a queue (id): those whose key the divisor divides come out without fault."""
+    tried = queue.select(F.substring("id", 4, 20).cast("long").alias("key"))
+    return rendered(items(spark, sf_dir).join(tried, "key", "left_semi"), F.when(F.col("key") % divisor == 0, 0).otherwise(F.col("key") % 8))

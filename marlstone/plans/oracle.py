@@ -13,8 +13,9 @@ kinds as (
   union all select o_orderkey, o_orderpriority, 'clean', 0 from orders),
 ln as (
   select key, variant, priority, k, rn, q, p, q * p as r, count(*) over w as n, sum(q * p) over w as t, sum((q + 1) * p) over w as t7
-  from ranked join kinds using (key) where rn <= 7 window w as (partition by key, variant)),
-head as (select distinct key, variant, priority, k, n, t, t7 from ln),
+  from ranked join kinds using (key) window w as (partition by key, variant)),
+head as (select key, variant, priority, k, count(rn) as n, coalesce(sum(q * p), 0) as t, coalesce(sum((q + 1) * p), 0) as t7
+  from kinds left join ranked using (key) group by all),
 shown as (
   select key, variant, k, rn, 0 as copy, case when k = 7 then q + 1 else q end as q, p,
          case when k = 1 and rn = n then r + 7 when k = 7 then (q + 1) * p else r end as c
@@ -26,11 +27,13 @@ terms as (
 ends as (
   select key, variant, priority, k, n, t,
          case k when 1 then t + 7 when 2 then t + 1 when 3 then t + 3 when 4 then t + 5 when 7 then t7 else t end as answer,
-         case when k in (0, 4, 5, 6) then t when k = 1 then t + 7 when k = 7 then t7 end as summed
+         case when n = 0 then null when k in (0, 4, 5, 6) then t when k = 1 then t + 7 when k = 7 then t7 end as summed
   from head),
+left_side as (select key, variant, string_agg(v, ' + ' order by rn) as l from terms group by all),
+tail as (select key, variant, length(l) <= 49 as whole, regexp_replace(substr(l, greatest(1, length(l) - 48)), '^[^0-9]+', '') as l from left_side),
 eqs as (
   select key, variant, rn, q, p, c, (q * p = c) as is_true from shown
-  union all select key, variant, 99, null, null, summed, true from ends where summed is not null and n >= 2),
+  union all select key, variant, 1000000, null, null, summed, whole from ends join tail using (key, variant) where summed is not null and n >= 2 and not regexp_matches(l, '^0[0-9]')),
 vals as (
   select key, variant, q as v from shown union select key, variant, p from shown union select key, variant, c from shown
   union select key, variant, v from terms union select key, variant, summed from ends where summed is not null
@@ -50,7 +53,7 @@ grounded as (
   from asked a left join vals v on v.key = a.key and v.variant = a.variant and v.v = a.v group by all),
 step_rows as (
   select key, variant, copy * 10 + rn + 1000 as line, [cast(q as varchar), cast(p as varchar), cast(c as varchar)] as toks from shown
-  union all select e.key, e.variant, 9999, list_append(list(cast(t.v as varchar) order by t.rn), cast(any_value(e.summed) as varchar))
+  union all select e.key, e.variant, 100000000, list_append(list(cast(t.v as varchar) order by t.rn), cast(any_value(e.summed) as varchar))
   from ends e join terms t using (key, variant) where e.summed is not null group by e.key, e.variant
   union all select key, variant, 1, [] from ends where k = 3),
 step_n as (select key, variant, count(*) as n_steps from step_rows group by all),
@@ -68,11 +71,11 @@ dups as (
       from normed a join normed b on a.key = b.key and a.variant = b.variant and a.tok = b.tok and b.line < a.line group by all)
     where cos > 0.9 group by all) group by all),
 sig as (
-  select key, variant, priority, k, e.n as n_checkpoints, e_hits / e.n::double as E, a_hits / e.n::double as A, s_hits / e.n::double as E_struct, s_hits / e.n::double as A_struct,
-    n_found / n_asked::double as G, e.n - e_hits as misses, coalesce(n_equations, 0) as n_equations, coalesce(n_true / n_equations::double, 0) as V,
+  select key, variant, priority, k, e.n as n_checkpoints, coalesce(e_hits / e.n::double, 0) as E, coalesce(a_hits / e.n::double, 0) as A, coalesce(s_hits / e.n::double, 0) as E_struct, coalesce(s_hits / e.n::double, 0) as A_struct,
+    coalesce(n_found / n_asked::double, 1) as G, e.n - coalesce(e_hits, 0) as misses, coalesce(n_equations, 0) as n_equations, coalesce(n_true / n_equations::double, 0) as V,
     coalesce(n_equations - n_true, 0) as bad_eqs, last_c = answer as coherent, answer = t as correct, cast(answer as double) as final_answer, cast(t as double) as gold_answer,
     coalesce(n_steps, 0) as n_steps, case when coalesce(n_steps, 0) < 2 then 1.0 else 1 - coalesce(n_dup, 0) / (n_steps - 1)::double end as R
-  from ends e join gold using (key, variant) join grounded using (key, variant)
+  from ends e left join gold using (key, variant) left join grounded using (key, variant)
   left join eq_sum using (key, variant) left join step_n using (key, variant) left join dups using (key, variant)),
 labelled as (
   select *, case when correct and misses = 0 and bad_eqs = 0 and coalesce(coherent, false) and R >= 0.6::double then 'GOOD' when correct then 'MEDIUM_CORRECT'

@@ -40,9 +40,18 @@ def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
     return rows.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
 
 
+def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored first attempts, for one reader that needs no filter on what was scored."""
+    return score(source.attempts(spark, sf_dir)).withColumn("category", Q.category_type(F.col("question")))
+
+
 def first_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored first attempts; several parts of a query read them, so they are staged."""
-    return staged(score(source.attempts(spark, sf_dir)).withColumn("category", Q.category_type(F.col("question"))))
+    """The same without their texts, staged: a filter would be moved below the scoring and repeat it."""
+    return staged(scored_attempts(spark, sf_dir).drop("question", "gold_solution", "trace", "trace_scored"))
+
+
+def typed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.typed_failures(first_tries(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- scored attempts
@@ -52,22 +61,22 @@ DOUBLES = ("E", "V", "R", "A", "G", "E_struct", "A_struct")
 
 @query(scored("select " + ", ".join(f"round({c}, 6) as {c}" if c in DOUBLES else c for c in SIGNAL_COLUMNS) + " from first_tries"))
 def score_signals(spark, sf_dir):
-    return rounded(first_tries(spark, sf_dir).select(*SIGNAL_COLUMNS))
+    return rounded(scored_attempts(spark, sf_dir).select(*SIGNAL_COLUMNS))
 
 
 @query(scored("select label, count(*) as n from first_tries group by label"))
 def label_histogram(spark, sf_dir):
-    return first_tries(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    return scored_attempts(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(scored("select coalesce(diagnosis, 'GOOD') as ftype, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from first_tries group by 1"))
 def diagnosis_histogram(spark, sf_dir):
-    return diagnosis_counts(first_tries(spark, sf_dir))
+    return diagnosis_counts(scored_attempts(spark, sf_dir))
 
 
 @query(scored("select category, count(*) filter (correct) as correct, count(*) as total, round(avg(correct::int), 4) as acc from first_tries group by category"))
 def category_accuracy(spark, sf_dir):
-    return A.by_category(first_tries(spark, sf_dir))
+    return A.by_category(scored_attempts(spark, sf_dir))
 
 
 TYPED_SQL = "typed as (select * from first_tries where not correct and diagnosis in ('NR', 'ST', 'SM', 'CE'))"
@@ -75,7 +84,7 @@ TYPED_SQL = "typed as (select * from first_tries where not correct and diagnosis
 
 @query(scored(f", {TYPED_SQL} select category as r, diagnosis as c, grouping_id(category, diagnosis)::int as level, count(*) as n from typed group by cube (category, diagnosis)").replace(" , typed as", ", typed as"))
 def category_failure_crosstab(spark, sf_dir):
-    return A.crosstab_totals(A.typed_failures(first_tries(spark, sf_dir)), "category", "diagnosis")
+    return A.crosstab_totals(typed_failures(spark, sf_dir), "category", "diagnosis")
 
 
 @query(
@@ -99,7 +108,7 @@ from stat"""
     ).replace(" , typed as", ", typed as")
 )
 def chi_square_gate(spark, sf_dir):
-    return rounded(stats.gate(A.typed_failures(first_tries(spark, sf_dir)), "category", "diagnosis", "eval_index"))
+    return rounded(stats.gate(typed_failures(spark, sf_dir), "category", "diagnosis", "eval_index"))
 
 
 @query(
@@ -154,7 +163,7 @@ def outcome_notes(spark, sf_dir):
 
 @query(scored("select cast(floor((key - 1) / 1000) as bigint) as batch, count(*) as n, count(*) filter (correct) as correct, round(avg(E), 6) as mean_e, round(avg(V), 6) as mean_v, round(avg(G), 6) as mean_g from first_tries group by 1"))
 def batch_report(spark, sf_dir):
-    return rounded(A.batches(first_tries(spark, sf_dir), "eval_index", 1000)).withColumn("batch", F.col("batch").cast("long"))
+    return rounded(A.batches(scored_attempts(spark, sf_dir), "eval_index", 1000)).withColumn("batch", F.col("batch").cast("long"))
 
 
 @query(scored("select id, count(*) over w as seen, (count(*) filter (correct) over w) as solved from first_tries window w as (partition by category order by key)"))
@@ -163,15 +172,18 @@ def running_accuracy(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- retries
-def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of retries of what was not good, with what they changed."""
-    first = first_tries(spark, sf_dir).where("label != 'GOOD'")
+def retries(spark: SparkSession, sf_dir: str, first: DataFrame | None = None) -> DataFrame:
+    """Two rounds of retries of what was not good, with what they changed; only what is retried is scored again."""
+    first = (first_tries(spark, sf_dir) if first is None else first).where("label != 'GOOD'")
     origin = F.when(F.col("label") == L.BAD_WRONG, "BAD").otherwise("MEDIUM")
     queue = first.select("id", origin.alias("origin"), F.col("label").alias("prev_label"), F.col("diagnosis").alias("prev_diagnosis"), F.col("correct").alias("before"))
-    one, two = (staged(score(source.second_attempts(spark, sf_dir, k)).select("id", "label", "correct")) for k in (3, 5))
-    r1 = queue.join(one, "id").withColumn("iter", F.lit(1)).withColumn("newly_correct", F.col("correct") & ~F.col("before"))
+
+    def again(tried: DataFrame, divisor: int) -> DataFrame:
+        return staged(score(source.second_attempts(spark, sf_dir, divisor, tried)).select("id", "label", "correct"))
+
+    r1 = staged(queue.join(again(queue, 3), "id").withColumn("iter", F.lit(1)).withColumn("newly_correct", F.col("correct") & ~F.col("before")))
     left = r1.where("label != 'GOOD'").select("id", "origin", "prev_label", "prev_diagnosis", (F.col("before") | F.col("correct")).alias("before"))
-    r2 = left.join(two, "id").withColumn("iter", F.lit(2)).withColumn("newly_correct", F.col("correct") & ~F.col("before"))
+    r2 = left.join(again(left, 5), "id").withColumn("iter", F.lit(2)).withColumn("newly_correct", F.col("correct") & ~F.col("before"))
     return staged(r1.unionByName(r2).withColumn("became_good", F.col("label") == "GOOD"))
 
 
@@ -216,8 +228,9 @@ from first_tries f left join retries r on r.id = f.id group by f.id, f.correct,
     )
 )
 def final_outcomes(spark, sf_dir):
-    first = first_tries(spark, sf_dir).select(F.lit("pass1").alias("phase"), "id", "correct", "label", F.lit(None).cast("boolean").alias("newly_correct"), F.lit(None).cast("boolean").alias("became_good"), F.col("eval_index").alias("line_no"))
-    again = retries(spark, sf_dir).select(F.lit("retry").alias("phase"), "id", "correct", "label", "newly_correct", "became_good", (F.lit(1 << 40) + F.col("iter")).alias("line_no"))
+    tried = first_tries(spark, sf_dir)
+    first = tried.select(F.lit("pass1").alias("phase"), "id", "correct", "label", F.lit(None).cast("boolean").alias("newly_correct"), F.lit(None).cast("boolean").alias("became_good"), F.col("eval_index").alias("line_no"))
+    again = retries(spark, sf_dir, tried).select(F.lit("retry").alias("phase"), "id", "correct", "label", "newly_correct", "became_good", (F.lit(1 << 40) + F.col("iter")).alias("line_no"))
     return A.final_outcomes(first.unionByName(again))
 
 
@@ -306,10 +319,11 @@ def entropy_modal(spark, sf_dir):
 SAMPLES_SQL = "select user_id as item, row_number() over (partition by user_id order by ts, event_id) as pos, floor(value) % 5 as answer, (user_id % 5)::double as gold from events"
 
 
-def samples(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+    """Events as samples of their user; the first ``k`` where a query is about k samples."""
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), pos.alias("pos"), (F.floor("value") % 5).cast("double").alias("answer"), (F.col("user_id") % 5).cast("double").alias("gold"))
-    return rows.where(F.col("pos") <= k).withColumn("correct", F.col("answer") == F.col("gold"))
+    return (rows if k is None else rows.where(F.col("pos") <= k)).withColumn("correct", F.col("answer") == F.col("gold"))
 
 
 @query(
@@ -319,11 +333,11 @@ i as (select item, min_by(correct, pos) as first, bool_or(correct) as anyc, any_
 select count(*) as n, round(avg(first::int), 6) as acc_at_1, round(avg((coalesce(abs(vote - gold) < 1e-6, false))::int), 6) as majority_at_k, round(avg(anyc::int), 6) as pass_at_k from i left join b using (item)"""
 )
 def pass_at_k(spark, sf_dir):
-    return rounded(A.stability_accuracy(samples(spark, sf_dir)))
+    return rounded(A.stability_accuracy(samples(spark, sf_dir, 8)))
 
 
 @query(
-    f"""with s as (select * from ({SAMPLES_SQL}) where pos <= 8), v as (select item, answer, count(*) as n, min(pos) as f from s where answer is not null group by all)
+    f"""with s as ({SAMPLES_SQL}), v as (select item, answer, count(*) as n, min(pos) as f from s where answer is not null group by all)
 select distinct s.item, b.answer as vote, b.n as votes from s left join (select *, row_number() over (partition by item order by n desc, f) as k from v) b on b.item = s.item and b.k = 1"""
 )
 def majority_vote(spark, sf_dir):
@@ -380,10 +394,10 @@ def retrieve_3stage(spark, sf_dir):
 
 @query(
     """select a.label as category, a.vec_id as i, b.vec_id as j, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)), 6) as cos
-from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id where list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)) > 0.9"""
+from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id where list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)) > 0.3"""
 )
 def pairwise_similarity(spark, sf_dir):
-    return rounded(retrieve.pairwise(vectors(spark, sf_dir), "category", "vec_id").where("cos > 0.9"))
+    return rounded(retrieve.pairwise(vectors(spark, sf_dir), "category", "vec_id").where("cos > 0.3"))
 
 
 # ---------------------------------------------------------------- questions and texts
@@ -525,7 +539,7 @@ def chat_turns(spark, sf_dir):
 
 @query()
 def retry_prompts(spark, sf_dir):
-    rows = first_tries(spark, sf_dir)
+    rows = staged(scored_attempts(spark, sf_dir))
     pool = rows.where("label = 'GOOD'").select("question", "trace", F.col("eval_index").alias("pos"), F.struct("V", "n_equations", "n_steps", "n_checkpoints").alias("signals"))
     own = seeds.allotted(questions(spark, sf_dir)).where("strategy_id = 2").select("question", F.lit("").alias("trace"), F.col("original_index").alias("pos"))
     queue = rows.where("label != 'GOOD'").select("id", "question", "diagnosis")
@@ -543,7 +557,7 @@ def redundancy_tfidf(spark, sf_dir):
 def feature_probe(spark, sf_dir):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    rows = A.typed_failures(first_tries(spark, sf_dir))
+    rows = A.typed_failures(staged(scored_attempts(spark, sf_dir).select("id", "question", "diagnosis", "correct")))
     found = Q.question_features(F.col("question"))
     rows = rows.select("id", "diagnosis", *[c.alias(n) for n, c in found.items()])
     kinds = ["category_type", "main_operation", "complexity"]
