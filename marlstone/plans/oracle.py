@@ -97,6 +97,19 @@ cat as (
 first_tries as (select s.*, category from scored s join cat using (key) where variant = 'first')
 """
 
+#: Questions and traces of the first attempts as texts, after ``SCORED``.
+TEXTS = """asked_items as (
+  select key, string_agg(q || case priority when '1-URGENT' then ' boxes at $' || p when '2-HIGH' then ' rounds of ' || p || ' minutes' when '3-MEDIUM' then ' trips of ' || p || ' miles'
+    when '4-NOT SPECIFIED' then ' bags of ' || p || ' beads' else ' rows of ' || p || ' pins' end, ', ' order by rn) as items from ln where variant = 'first' group by key),
+trace_lines as (select key, list(q || ' * ' || p || ' = ' || c order by copy, rn) as ls from shown where variant = 'first' group by key),
+texts as (
+  select e.key, priority, e.n, 'p1_' || lpad(cast(e.key as varchar), 8, '0') as id,
+    case priority when '1-URGENT' then 'A shop buys ' || coalesce(items, '') || '. What is the total cost?' when '2-HIGH' then 'A job has ' || coalesce(items, '') || '. Find the full duration.'
+      when '3-MEDIUM' then 'A van goes ' || coalesce(items, '') || ' at constant speed. Find the full distance.' when '4-NOT SPECIFIED' then 'How many beads are in ' || coalesce(items, '') || '?'
+      else 'A box holds ' || coalesce(items, '') || '. Ignore the percent sign.' end as question,
+    case when k = 3 then 'We think about it and guess.' else array_to_string(list_concat(coalesce(ls, []), case when summed is not null then [l || ' = ' || summed] else [] end), chr(10)) end || chr(10) || '#### ' || answer as trace
+  from ends e left join asked_items using (key) left join trace_lines using (key) left join left_side s on s.key = e.key and s.variant = 'first' where e.variant = 'first')"""
+
 
 def scored(select: str) -> str:
     return f"with {SCORED} {select}"

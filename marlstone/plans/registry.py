@@ -16,7 +16,7 @@ from ..operators import prompts, retrieve, retry, route, seeds, stats
 from ..operators.score import diagnosis_counts, score
 from ..sources.tables import staged
 from . import attempts as source
-from .oracle import scored
+from .oracle import SCORED, TEXTS, scored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -517,20 +517,57 @@ def retry_queue(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- prompts
+PROMPT_SQL = (
+    f"with {SCORED}, {TEXTS}, "
+    + """ex as (select priority, key, question, trace, row_number() over (partition by priority order by key) as place from texts where key % 8 = 0 and n > 0),
+p as (select t.id, t.question, t.key % 17 as strategy_id, t.n, c.category, e1, e2 from texts t join cat c using (key)
+  join (select * from ex where place = 1) e1 on e1.priority = t.priority join (select * from ex where place = 2) e2 on e2.priority = t.priority)
+"""
+)
+
+
+def prompt_sql() -> str:
+    """The prompt of a strategy in SQL, from the strategies' table; ``e1`` and ``e2`` are the examples."""
+    block = " || ".join(f"'Example {i}:\nQuestion: ' || e{i}.question || '\nSolution: ' || e{i}.trace || '\n\n'" for i in (1, 2))
+    shows = {
+        "": "''", "seeds": block, "retrieved": block,
+        "first": "'Example:\nQuestion: ' || e1.question || '\nSolution: ' || e1.trace || '\n\n'",
+        "worked": "'Worked example:\nQuestion: ' || e1.question || '\nFull solution:\n' || e1.trace || '\n\nApply the same approach:\n\n'",
+        "answer": "'[Example — answer is ' || regexp_extract(e1.trace, '#### ([0-9]+)', 1) || ', question: ' || e1.question || ']\n\n'",
+    }
+    hint = "'[Problem type: ' || upper(category) || ' | Complexity: ' || case when n <= 3 then 'simple' when n <= 5 then 'medium' else 'complex' end || ']\n\n'"
+
+    def spelt(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def of(plan: prompts.Strategy) -> str:
+        return " || ".join([spelt(prompts.HEADER), hint if plan.hint else "''", spelt(plan.before), shows[plan.shows], spelt(plan.between), "'Question: '", "question", spelt(plan.gap + plan.cue)])
+
+    return "(case strategy_id " + " ".join(f"when {sid} then {of(plan)}" for sid, plan in prompts.STRATEGIES.items()) + " end)"
+
+
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with two examples: the first ones without fault of their kind of question."""
     rows = source.attempts(spark, sf_dir)
-    example = F.struct(F.col("question").alias("question"), F.col("trace").alias("trace"))
-    return rows.select("id", "question", F.array(example, example).alias("examples"), Q.categorize(F.col("question")).alias("category"), (F.col("eval_index") % 17).alias("strategy_id"))
+    place = F.row_number().over(Window.partitionBy("priority").orderBy("eval_index"))
+    first = rows.where("eval_index % 8 = 0 and gold_answer > 0").select("priority", "eval_index", "question", "trace").withColumn("place", place).where("place <= 2")
+    examples = first.groupBy("priority").agg(F.array_sort(F.collect_list(F.struct("place", "question", "trace"))).alias("examples"))
+    return rows.join(F.broadcast(examples), "priority").select("id", "question", "examples", Q.categorize(F.col("question")).alias("category"), (F.col("eval_index") % 17).alias("strategy_id"))
 
 
-@query()
+@query(PROMPT_SQL + f"select id, strategy_id, md5({prompt_sql()}) as prompt_md5, ((length({prompt_sql()}) - length(replace({prompt_sql()}, 'Question:', ''))) // 9 - 1)::int as shots, true as has_header from p")
 def prompt_render(spark, sf_dir):
     rows = prompt_rows(spark, sf_dir)
     text = prompts.prompt_for(F.col("strategy_id"), F.col("question"), F.col("examples"), F.col("category"))
     return rows.select("id", "strategy_id", F.md5(text).alias("prompt_md5"), *[c.alias(n) for n, c in prompts.prompt_stats(text).items()])
 
 
-@query()
+@query(
+    PROMPT_SQL
+    + f"""select id, pos::int as pos, case when pos = 0 then 'system' when pos % 2 = 1 then 'user' else 'assistant' end as role,
+  (case pos when 0 then {len(prompts.HEADER.strip()) + 1 + len('Verify each computation.')} when 1 then length(e1.question) when 2 then length(e1.trace) when 3 then length(e2.question) when 4 then length(e2.trace) else length(question) end)::int as n_chars
+from p, range(6) r(pos)"""
+)
 def chat_turns(spark, sf_dir):
     rows = prompt_rows(spark, sf_dir)
     turns = prompts.chat_turns(prompts.prompt(2, F.col("question"), F.col("examples"), F.col("category")), F.lit("Verify each computation."))
@@ -546,7 +583,25 @@ def retry_prompts(spark, sf_dir):
     return retry.retry_prompts(queue, retry.positives(pool, own, "typed"), "typed").select("id", "ftype", "typed_positives", F.md5("prompt").alias("prompt_md5"), "extra_system")
 
 
-@query()
+REDUNDANCY_SQL = r"""with l as (
+  select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '####')) as kept from conversations),
+s as (
+  select conv_id, turn, kept, list_filter(list_transform(string_split(regexp_replace(coalesce(kept[1], ''), '([.!?])SPACE+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as alone from l),
+steps as (select conv_id, turn, case when len(kept) = 1 and len(alone) > 1 then alone else kept end as steps from s),
+ln as (select conv_id, turn, len(steps) as n, unnest(steps) as step, generate_subscripts(steps, 1) as i from steps),
+tf as (select conv_id, turn, n, i, tok, count(*) as tf from (select conv_id, turn, n, i, unnest(regexp_extract_all(lower(step), '[\p{L}\p{N}_]{2,}')) as tok from ln) group by all),
+w as (select tf.*, tf * (ln((1 + n) / (1 + count(*) over (partition by conv_id, turn, tok))::double) + 1) as w from tf),
+u as (select *, w / sqrt(sum(w * w) over (partition by conv_id, turn, i)) as u from w),
+cos as (select a.conv_id, a.turn, a.i, b.i as j, sum(a.u * b.u) as cos from u a join u b on a.conv_id = b.conv_id and a.turn = b.turn and a.tok = b.tok and b.i < a.i group by all),
+best as (select conv_id, turn, i, max(cos) as best, sum(cos) as total from cos group by all),
+agg as (select conv_id, turn, max(best) as top, sum(total) as total, count(*) filter (best > 0.9::double) as repeated from best group by all)
+select conv_id, turn, len(steps)::int as n_steps, round(case when len(steps) < 2 then 1.0 else greatest(0, 1 - coalesce(top, 0)) end, 6) as max,
+  round(case when len(steps) < 2 then 1.0 else greatest(0, 1 - coalesce(total, 0) / (len(steps) * (len(steps) - 1) / 2)) end, 6) as mean_pairwise,
+  round(case when len(steps) < 2 then 1.0 else 1 - coalesce(repeated, 0) / (len(steps) - 1)::double end, 6) as dup_fraction
+from steps left join agg using (conv_id, turn)""".replace("SPACE", SPACE)
+
+
+@query(REDUNDANCY_SQL)
 def redundancy_tfidf(spark, sf_dir):
     steps = E.split_steps(F.col("text"))
     rows = table(spark, sf_dir, "conversations")
