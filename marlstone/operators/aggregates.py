@@ -183,3 +183,10 @@ def method_table(rows: DataFrame) -> DataFrame:
     """Accuracy of each method over the ids it evaluated, last row per id."""
     last = rows.groupBy("method", "id").agg(F.max_by("correct", "line_no").alias("correct"))
     return last.groupBy("method").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct")).withColumn("acc", F.round(F.col("correct") / F.col("n"), 4)).orderBy(F.desc("acc"), "method")
+
+
+def first_with_vote(samples: DataFrame, group: str, answer: str, order: str) -> DataFrame:
+    """The first sample of each group that gave the commonest answer, and how many agree; none where nobody voted."""
+    voted = majority_vote(samples, group, answer, order).where("vote is not null")
+    agreeing = samples.join(voted, group).where(F.col(answer) == F.col("vote"))
+    return agreeing.groupBy(group).agg(F.min(order).alias("first_pos"), F.first("vote").alias("vote"), F.first("votes").alias("votes"))

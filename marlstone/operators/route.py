@@ -73,3 +73,8 @@ def find_item(quality: DataFrame, errors: DataFrame, item_id: str) -> DataFrame:
     if found.isEmpty():
         raise LookupError(f"no item with id {item_id}")
     return found
+
+
+def with_prefix(rows: DataFrame, prefix: str) -> DataFrame:
+    """The rows whose id begins with a prefix."""
+    return rows.where(F.startswith("id", F.lit(prefix)))

@@ -621,3 +621,73 @@ def feature_probe(spark, sf_dir):
     rows = OneHotEncoder(inputCols=indexed, outputCols=[f"{k}_v" for k in kinds], dropLast=False).fit(rows).transform(rows)
     rows = VectorAssembler(inputCols=[f"{k}_v" for k in kinds] + [n for n in found if n not in kinds], outputCol="features").transform(rows)
     return stats.probe(rows.select("id", "diagnosis", "features"), "diagnosis", "id", max_iter=30)
+
+
+# ---------------------------------------------------------------- reports and logs
+def event_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", (F.col("value") > 50).alias("correct"), "value")
+
+
+@query(on_retries("select id from first_tries where correct union select id from retries where newly_correct"))
+def solved_ids(spark, sf_dir):
+    tried = first_tries(spark, sf_dir)
+    return A.solved_ids(tried.where("correct"), retries(spark, sf_dir, tried).where("newly_correct"))
+
+
+@query("select user_id as id, event_id, value > 50 as correct, value > 50 and not coalesce(bool_or(value > 50) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), false) as newly_correct from events")
+def first_solves(spark, sf_dir):
+    return A.first_solves(event_attempts(spark, sf_dir), "event_id").drop("value")
+
+
+@query("select user_id as id, event_id, value > 50 as correct from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def last_rows(spark, sf_dir):
+    return A.last_rows(event_attempts(spark, sf_dir).drop("value"), "id", "event_id")
+
+
+@query("select count(*) as generations, sum(user_id)::bigint as tokens, round(sum(value) / count(*), 4) as sec_per_gen, round(sum(value) / count(*) * 7473 / 3600, 4) as projected_gpu_h from events")
+def generation_cost(spark, sf_dir):
+    return rounded(A.cost(table(spark, sf_dir, "events").select(F.col("value").alias("gen_seconds"), F.col("user_id").alias("gen_tokens"))), 4)
+
+
+@query(f"with {ALLOT_SQL} select strategy_id, " + ", ".join(f"count(*) filter (category_type = '{c}') as {c}" for c in Q.CATEGORY_ORDER) + " from a group by strategy_id")
+def seed_category_counts(spark, sf_dir):
+    return seeds.category_counts(seeds.allotted(questions(spark, sf_dir)))
+
+
+@query(scored("select case when correct then 'CORRECT' else coalesce(diagnosis, 'UNCLASSIFIED') end as rating, count(*) as n from first_tries group by 1"))
+def sample_ratings(spark, sf_dir):
+    rating = L.sample_label(F.col("correct"), F.col("label"), F.col("diagnosis"))
+    return first_tries(spark, sf_dir).groupBy(rating.alias("rating")).agg(F.count("*").alias("n"))
+
+
+@query(ORACLE_SQL["fleiss_kappa"].replace("select round(kappa, 6) as kappa,", "select case when kappa is null then 'UNDEFINED' when kappa < 0.2 then 'UNSTABLE' when kappa < 0.4 then 'WEAKLY STABLE' else 'STABLE' end as verdict, round(kappa, 6) as kappa,"))
+def stability_verdict(spark, sf_dir):
+    return fleiss_kappa(spark, sf_dir).withColumn("verdict", L.stability_verdict(F.col("kappa")))
+
+
+EXTRACTION_SQL = """select count(*) as n, count(*) as has_hash, count(*) filter (not correct and E >= 0.8::double) as high_e_wrong,
+  count(*) filter (not correct and exists (select 1 from vals v where v.key = f.key and v.variant = 'first' and v.v = f.gold_answer)) as gold_present_wrong from first_tries f"""
+
+
+@query(scored(EXTRACTION_SQL))
+def extraction_report(spark, sf_dir):
+    return A.extraction_report(score(source.attempts(spark, sf_dir), explain=True))
+
+
+@query(scored(f", x as ({EXTRACTION_SQL}), c as (select count(*) filter (label = 'GOOD') as pool from first_tries) select array_to_string(list_filter([case when gold_present_wrong / n::double > 0.08 then 'EXTRACTION' end, case when (n - has_hash) / n::double > 0.5 then 'FORMAT' end, case when pool < 0.03 * n then 'POOL STARVATION' end], lambda x: x is not null), ',') as flags from x, c").replace(" , x as", ", x as"))
+def health_report(spark, sf_dir):
+    rows = score(source.attempts(spark, sf_dir), explain=True)
+    counts = A.extraction_report(rows).join(F.broadcast(rows.agg(F.count_if(F.col("label") == L.GOOD).alias("pool"))))
+    return counts.select(F.array_join(L.health_flags(F.col("n"), F.col("gold_present_wrong"), F.col("n") - F.col("has_hash"), F.col("pool")), ",").alias("flags"))
+
+
+@query(f"""with s as ({SAMPLES_SQL}), v as (select item, answer, count(*) as n, min(pos) as f from s where answer is not null group by all)
+select item, f as first_pos, answer as vote, n as votes from (select *, row_number() over (partition by item order by n desc, f) as k from v) where k = 1""")
+def vote_winner(spark, sf_dir):
+    return A.first_with_vote(samples(spark, sf_dir), "item", "answer", "pos")
+
+
+@query("select 'p1_' || lpad(cast(o_orderkey as varchar), 8, '0') as id from orders where starts_with('p1_' || lpad(cast(o_orderkey as varchar), 8, '0'), 'p1_0000')")
+def id_prefix(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("p1_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("id"))
+    return route.with_prefix(rows, "p1_0000")
