@@ -32,3 +32,28 @@ def test_pipeline_of_odd_rows(spark, odd_documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == odd_documents.columns
+        assert docs.count() <= odd_documents.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() > 0
+
+
+def test_run_matches_brute_force(spark):
+    """The documents that come out, and their tokens, by brute force on what each stage got."""
+    import corpus_pipeline
+    import test_near_dup
+    import test_rest
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    told = [(r.doc_id, r.text) for r in corpus_pipeline.identify_language(spark, docs, sf).collect()]
+    first = {d for d, (_, c) in test_near_dup.brute(told, 5, 80).items() if c == d}
+    left = [(d, t) for d, t in told if d in first]
+    bad = {d for d, _ in test_rest.brute_overlaps(left, bench)}
+    clean = {d: t for d, t in left if d not in bad}
+    redacted = {r.doc_id: r.text for r in corpus_pipeline.redact_personal_data(spark, spark.createDataFrame(list(clean.items()), "doc_id long, text string"), sf).collect()}
+    sizes = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+    assert set(sizes) == set(clean) and len(clean) < len(told)
+    assert all(sizes[d] == len(test_rest.ids_of(t)) for d, t in list(redacted.items())[:40])
