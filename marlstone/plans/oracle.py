@@ -33,7 +33,7 @@ left_side as (select key, variant, string_agg(v, ' + ' order by rn) as l from te
 tail as (select key, variant, regexp_replace(substr(l, greatest(1, length(l) - 48)), '^[^0-9]+', '') as l from left_side),
 eqs as (
   select key, variant, rn, q, p, c, (q * p = c) as is_true from shown
-  union all select key, variant, 1000000, null, null, summed, abs(list_sum(list_transform(string_split(l, ' + '), lambda x: x::bigint)) - summed) <= 1e-4::double * summed from ends join tail using (key, variant) where summed is not null and n >= 2 and not regexp_matches(l, '^0[0-9]')),
+  union all select key, variant, 1000000, null, null, summed, abs(list_sum(list_transform(string_split(l, ' + '), lambda x: x::bigint)) - summed) <= 1e-4::double * summed from ends join tail using (key, variant) where summed is not null and n >= 2 and not regexp_matches(l, '^0+[1-9]')),
 vals as (
   select key, variant, q as v from shown union select key, variant, p from shown union select key, variant, c from shown
   union select key, variant, v from terms union select key, variant, summed from ends where summed is not null
