@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import statistics as P
 from ..functions import steps as E
 from ..functions import text as T
 from ..operators import aggregates as A
-from ..operators import prompts, retrieve, retry, route, seeds, stats
+from ..operators import prompts, retrieve, retry, route, runs, seeds, stats
 from ..operators.score import diagnosis_counts, score
 from ..sources.tables import staged
 from . import attempts as source
@@ -691,3 +693,149 @@ def vote_winner(spark, sf_dir):
 def id_prefix(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("p1_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("id"))
     return route.with_prefix(rows, "p1_0000")
+
+
+# ---------------------------------------------------------------- runs
+def replayed(spark: SparkSession, sf_dir: str, faultless) -> runs.Generate:
+    """A generator that replays rendered attempts: the one without fault where ``faultless`` (of key and place) holds.
+
+    It answers only if the prompt holds the question.
+    """
+    rows = source.items(spark, sf_dir)
+    known = source.rendered(rows, F.col("key") % 8).select("id", F.col("trace").alias("usual__"))
+    right = source.rendered(rows, F.lit(0)).select("id", F.col("trace").alias("right__"))
+
+    def generate(asked: DataFrame) -> DataFrame:
+        key = F.substring("id", 4, 20).cast("long")
+        each = F.transform(F.sequence(F.lit(0), F.col("num_return_sequences") - 1), lambda i: F.when(faultless(key, i), F.col("right__")).otherwise(F.col("usual__")))
+        joined = asked.join(known, "id").join(right, "id")
+        return joined.withColumn("traces", F.when(F.contains("prompt", F.col("question")), each)).drop("usual__", "right__")
+
+    return generate
+
+
+def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of the default strategy, staged: every method and round reads them."""
+    own = seeds.allotted(questions(spark, sf_dir)).where("strategy_id = 2")
+    return staged(own.select("question", F.lit("").alias("trace"), F.col("original_index").alias("pos")))
+
+
+METHOD_SQL = ", m(method, sid, again) as (values " + ", ".join(f"('{name}', {sid}, {str(again).lower()})" for name, (sid, again) in runs.METHODS.items()) + ")"
+
+
+@query(
+    scored(
+        METHOD_SQL + """, tries as (select method, case when sid = 16 then correct or key % 2 = 0 else correct or (key + sid) % 4 = 0 end or (again and key % 3 = 0) as ok from first_tries, m)
+select method, count(*) filter (ok) as correct, count(*) as n, round(avg(ok::int), 4) as accuracy from tries group by method"""
+    )
+)
+def baseline_methods(spark, sf_dir):
+    def faultless(key, i):
+        return F.when(F.col("num_return_sequences") > 1, (key + i) % 2 == 0).when(F.col("temperature") == 0.8, key % 3 == 0).otherwise((key + F.col("strategy_id")) % 4 == 0)
+
+    problems, own = source.attempts(spark, sf_dir).drop("trace", "priority"), run_seeds(spark, sf_dir)
+    generate = replayed(spark, sf_dir, faultless)
+    tries = [runs.run_method(problems, method, own, generate) for method in runs.METHODS]
+    return runs.compared(reduce(lambda a, b: a.unionByName(b), tries))
+
+
+SAMPLED_SQL = """, s as (select key, id, s.s as sample, correct or (key + s.s) % 4 = 0 as ok, (key + s.s) % 4 = 0 as swapped,
+  case when correct or (key + s.s) % 4 = 0 then 'CORRECT' else coalesce(diagnosis, 'UNCLASSIFIED') end as rating, case when (key + s.s) % 4 = 0 then gold_answer else final_answer end as answer, gold_answer as gold
+  from first_tries, range(1, 4) s(s))"""
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three samples of each attempt's problem."""
+    problems = source.attempts(spark, sf_dir).drop("trace", "priority")
+    generate = replayed(spark, sf_dir, lambda key, i: (key + F.col("sample")) % 4 == 0)
+    return runs.run_samples(problems, 2, 3, 0.7, run_seeds(spark, sf_dir), generate)
+
+
+@query(scored(SAMPLED_SQL + " select id, count(*) filter (ok) as n_correct, string_agg(rating, ',' order by sample) as ratings, count(*)::int as k from s group by id"))
+def run_samples(spark, sf_dir):
+    rows = runs.sample_records(sampled(spark, sf_dir))
+    right = F.size(F.filter("samples", lambda s: s["correct"])).cast("long")
+    return rows.select("id", right.alias("n_correct"), F.array_join(F.transform("samples", lambda s: s["rating"]), ",").alias("ratings"), "k")
+
+
+def fleiss_sql(name: str, table: str) -> str:
+    return f"""{name}_c as (select id, rating, count(*) as n from {table} group by all), {name}_i as (select id, sum(n) as s, sum(n * n) as q from {name}_c group by id having sum(n) >= 2),
+{name}_m as (select rating, sum(n) as n from {name}_c where id in (select id from {name}_i) group by rating),
+{name} as (select (po - pe) / (1 - pe) as kappa, items from (select avg((q - s) / (s * (s - 1))::double) as po, count(*) as items from {name}_i), (select sum(power(n / (select sum(n) from {name}_m)::double, 2)) as pe from {name}_m))"""
+
+
+@query(
+    scored(
+        SAMPLED_SQL + f""", wrong as (select * from s where not ok), {fleiss_sql("whole", "s")}, {fleiss_sql("typed", "wrong")},
+j as (select x.rating as a, y.rating as b, count(*) as n from s x join s y using (key) where x.sample = 1 and y.sample = 2 group by all),
+jt as (select sum(n)::double as n, sum(n) filter (a = b) as same from j),
+je as (select sum(x.n * y.n) as chance from (select a, sum(n) as n from j group by a) x join (select b, sum(n) as n from j group by b) y on x.a = y.b),
+co as (select (same / n - chance / (n * n)) / (1 - chance / (n * n)) as kappa from jt, je),
+q as (select id, rating, n / 3.0::double as share from whole_c), per as (select id, max(share) as top, sum(-share * log2(share)) as bits, count(*) = 1 as same from q group by id),
+v as (select key, answer, count(*) as n, min(sample) as f from s where answer is not null group by all), b as (select key, answer as vote from v qualify row_number() over (partition by key order by n desc, f) = 1),
+i as (select key, bool_or(ok) filter (sample = 1) as first, bool_or(ok) as any_ok, any_value(gold) as gold from s group by key),
+acc as (select avg(first::int) as a1, avg(coalesce(abs(vote - gold) < 1e-6, false)::int) as mk, avg(any_ok::int) as pk from i left join b using (key))
+select count(*) as n_questions, round(avg(top), 6) as mean_modal_share, round(avg(bits), 6) as mean_entropy_bits, count(*) filter (same) as all_samples_agree, round(any_value(whole.kappa), 6) as kappa_full_space,
+  round(any_value(typed.kappa), 6) as kappa_failure_type, any_value(typed.items) as n_questions_with_2plus_wrong, round(any_value(co.kappa), 6) as cohen_kappa_s1_vs_s2, round(any_value(a1), 6) as accuracy_at_1,
+  round(any_value(mk), 6) as majority_at_k, round(any_value(pk), 6) as pass_at_k,
+  case when any_value(typed.kappa) < 0.2 then 'UNSTABLE' when any_value(typed.kappa) < 0.4 then 'WEAKLY STABLE' when any_value(typed.kappa) is null then 'UNDEFINED' else 'STABLE' end as verdict from per, whole, typed, co, acc"""
+    )
+)
+def run_stability(spark, sf_dir):
+    rows = sampled(spark, sf_dir).select("id", "sample", "rating", "correct", "final_answer", "gold_answer")
+    return rounded(runs.stability_summary(staged(rows)))
+
+
+RUN_SQL = """, clean as (select key, label, diagnosis, correct from scored where variant = 'clean'), f as (select * from first_tries),
+r1 as (select f.key, f.id, case when f.label = 'BAD_WRONG' then 'BAD' else 'MEDIUM' end as origin, f.label as prev_label, f.diagnosis as prev_diagnosis, f.correct as solved,
+  case when f.key % 3 = 0 then c.label else f.label end as label, case when f.key % 3 = 0 then c.diagnosis else f.diagnosis end as diagnosis, case when f.key % 3 = 0 then c.correct else f.correct end as correct from f join clean c using (key) where f.label <> 'GOOD'),
+r2 as (select r.key, r.id, r.origin, r.label as prev_label, r.diagnosis as prev_diagnosis, r.solved or r.correct as solved,
+  case when f.key % 5 = 0 then c.label else f.label end as label, case when f.key % 5 = 0 then c.diagnosis else f.diagnosis end as diagnosis, case when f.key % 5 = 0 then c.correct else f.correct end as correct from r1 r join f using (key) join clean c using (key) where r.label <> 'GOOD'),
+run as (select 'pass1' as phase, id, null::int as iter, null as origin, null as prev_label, null as prev_diagnosis, label, diagnosis, correct, null::boolean as newly_correct, null::boolean as became_good from f
+  union all select 'retry', id, 1, origin, prev_label, prev_diagnosis, label, diagnosis, correct, correct and not solved, label = 'GOOD' from r1
+  union all select 'retry', id, 2, origin, prev_label, prev_diagnosis, label, diagnosis, correct, correct and not solved, label = 'GOOD' from r2)"""
+
+
+def whole_run(spark: SparkSession, sf_dir: str) -> runs.Run:
+    """First tries and two rounds of typed retries, in which every third and then every fifth comes out without fault."""
+    problems = source.attempts(spark, sf_dir).drop("trace", "priority")
+
+    def generate(asked: DataFrame) -> DataFrame:
+        turn = F.col("iter") if "iter" in asked.columns else F.lit(0)
+        return replayed(spark, sf_dir, lambda key, i: F.when(turn == 1, key % 3 == 0).when(turn == 2, key % 5 == 0).otherwise(False))(asked)
+
+    return runs.full_run(problems, 2, generate, run_seeds(spark, sf_dir))
+
+
+@query(scored(RUN_SQL + " select * from run"))
+def full_run(spark, sf_dir):
+    return whole_run(spark, sf_dir).results.select("phase", "id", "iter", "origin", "prev_label", "prev_diagnosis", "label", "diagnosis", "correct", "newly_correct", "became_good")
+
+
+@query(
+    scored(
+        RUN_SQL + """ select count(*) filter (phase = 'pass1') as n_problems, count(*) filter (phase = 'pass1' and correct) as pass1_correct, count(*) filter (newly_correct) as recovered_by_retry, count(*) as generations,
+  count(*) filter (label = 'GOOD') as final_pool_size, round(count(*) filter (phase = 'pass1' and correct) / count(*) filter (phase = 'pass1')::double, 4) as pass1_accuracy,
+  count(*) filter ((phase = 'pass1' and correct) or newly_correct) as final_correct, round(count(*) filter ((phase = 'pass1' and correct) or newly_correct) / count(*) filter (phase = 'pass1')::double, 4) as final_accuracy from run"""
+    )
+)
+def full_run_summary(spark, sf_dir):
+    return runs.run_summary(whole_run(spark, sf_dir)).drop("approx_tokens")
+
+
+@query(scored("select category as r, case when correct then 'CORRECT' else coalesce(diagnosis, 'UNCLASSIFIED') end as c, count(*) as n from first_tries group by all"))
+def category_outcomes(spark, sf_dir):
+    rating = L.sample_label(F.col("correct"), F.col("label"), F.col("diagnosis"))
+    return stats.crosstab(scored_attempts(spark, sf_dir).withColumn("outcome", rating), "category", "outcome")
+
+
+@query(
+    r"""with d as (select conv_id || '-' || turn as id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from conversations),
+t as (select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from d), c as (select id, term, count(*) as tf from t group by all),
+v as (select term, count(*) as df from c group by term order by sum(tf) desc, term limit 512),
+w as (select id, term, tf * (ln((1 + (select count(*) from d)) / (1 + df)::double) + 1) as w from c join v using (term))
+select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w"""
+)
+def text_weights(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return rounded(retrieve.text_weights(rows, "id", "text"))

@@ -110,6 +110,19 @@ def one_document(row: DataFrame) -> str:
     return json.dumps(json.loads(row.select(F.to_json(F.struct("*")).alias("j")).first().j), indent=2)
 
 
+def kept(spark: SparkSession, folder: str, parameters: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written once for each set of parameters and read from then on."""
+    name = "-".join(f"{k}={parameters[k]}" for k in sorted(parameters)) or "all"
+    path = f"{folder}/{re.sub(r'[^A-Za-z0-9=._-]', '_', name)}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def generated(prompts: DataFrame, generate: Callable, schema: str) -> DataFrame:
     """Traces from an external generator: a function from an iterator of pandas frames to the same."""
     return prompts.mapInPandas(generate, schema)
