@@ -697,19 +697,19 @@ def id_prefix(spark, sf_dir):
 
 # ---------------------------------------------------------------- runs
 def replayed(spark: SparkSession, sf_dir: str, faultless) -> runs.Generate:
-    """A generator that replays rendered attempts: the one without fault where ``faultless`` (of key and place) holds.
+    """A generator that replays rendered attempts: the one without fault where ``faultless`` (of the table asked, key and place) holds.
 
     It answers only if the prompt holds the question.
     """
     rows = source.items(spark, sf_dir)
-    known = source.rendered(rows, F.col("key") % 8).select("id", F.col("trace").alias("usual__"))
+    usual = source.rendered(rows, F.col("key") % 8).select("id", F.col("trace").alias("usual__"))
     right = source.rendered(rows, F.lit(0)).select("id", F.col("trace").alias("right__"))
+    known = staged(usual.join(right, "id"))
 
     def generate(asked: DataFrame) -> DataFrame:
         key = F.substring("id", 4, 20).cast("long")
-        each = F.transform(F.sequence(F.lit(0), F.col("num_return_sequences") - 1), lambda i: F.when(faultless(key, i), F.col("right__")).otherwise(F.col("usual__")))
-        joined = asked.join(known, "id").join(right, "id")
-        return joined.withColumn("traces", F.when(F.contains("prompt", F.col("question")), each)).drop("usual__", "right__")
+        each = F.transform(F.sequence(F.lit(0), F.col("num_return_sequences") - 1), lambda i: F.when(faultless(asked, key, i), F.col("right__")).otherwise(F.col("usual__")))
+        return asked.join(known, "id").withColumn("traces", F.when(F.contains("prompt", F.col("question")), each)).drop("usual__", "right__")
 
     return generate
 
@@ -730,7 +730,7 @@ select method, count(*) filter (ok) as correct, count(*) as n, round(avg(ok::int
     )
 )
 def baseline_methods(spark, sf_dir):
-    def faultless(key, i):
+    def faultless(asked, key, i):
         return F.when(F.col("num_return_sequences") > 1, (key + i) % 2 == 0).when(F.col("temperature") == 0.8, key % 3 == 0).otherwise((key + F.col("strategy_id")) % 4 == 0)
 
     problems, own = source.attempts(spark, sf_dir).drop("trace", "priority"), run_seeds(spark, sf_dir)
@@ -747,7 +747,7 @@ SAMPLED_SQL = """, s as (select key, id, s.s as sample, correct or (key + s.s) %
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three samples of each attempt's problem."""
     problems = source.attempts(spark, sf_dir).drop("trace", "priority")
-    generate = replayed(spark, sf_dir, lambda key, i: (key + F.col("sample")) % 4 == 0)
+    generate = replayed(spark, sf_dir, lambda asked, key, i: (key + F.col("sample")) % 4 == 0)
     return runs.run_samples(problems, 2, 3, 0.7, run_seeds(spark, sf_dir), generate)
 
 
@@ -800,10 +800,11 @@ def whole_run(spark: SparkSession, sf_dir: str) -> runs.Run:
     """First tries and two rounds of typed retries, in which every third and then every fifth comes out without fault."""
     problems = source.attempts(spark, sf_dir).drop("trace", "priority")
 
-    def generate(asked: DataFrame) -> DataFrame:
+    def faultless(asked, key, i):
         turn = F.col("iter") if "iter" in asked.columns else F.lit(0)
-        return replayed(spark, sf_dir, lambda key, i: F.when(turn == 1, key % 3 == 0).when(turn == 2, key % 5 == 0).otherwise(False))(asked)
+        return F.when(turn == 1, key % 3 == 0).when(turn == 2, key % 5 == 0).otherwise(False)
 
+    generate = replayed(spark, sf_dir, faultless)
     return runs.full_run(problems, 2, generate, run_seeds(spark, sf_dir))
 
 
