@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lm, near_dup, oracle, packing, pii, spotsigs, substrings, url_filter
+from . import clusters, decontaminate, language_id, licenses, lm, merkle, near_dup, oracle, packing, pii, spotsigs, substrings, url_filter, warc
 from .common import table
 from .packing import public_vocabulary
 
@@ -52,6 +52,18 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("target_uri", "intact")
+
+
+def op13_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_near_dup": op2_near_dup,
@@ -63,5 +75,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
     "op10_substrings": op10_substrings,
+    "op11_merkle": op11_merkle,
+    "op12_warc": op12_warc,
+    "op13_cluster": op13_cluster,
 }
-ORACLE_SQL: dict[str, str] = {"op2_near_dup": oracle.NEAR_DUP}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": oracle.NEAR_DUP, "op11_merkle": oracle.MERKLE, "op12_warc": oracle.WARC, "op13_cluster": oracle.CLUSTERS}
