@@ -74,24 +74,30 @@ def nearest(rows: np.ndarray, centroids: np.ndarray, order: np.ndarray) -> tuple
     return which, best
 
 
-def spread(vectors: DataFrame) -> np.ndarray:
+def totals(parts: DataFrame) -> dict[int, list]:
+    """The sums of the tasks' rows of figures (cluster, figures), a row for each cluster."""
+    each = parts.select("cluster", F.posexplode("figures").alias("place", "x")).groupBy("cluster", "place").agg(F.sum("x").alias("x"))
+    found = each.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("all"))
+    return {r.cluster: [x.x for x in r["all"]] for r in found.collect()}  # a row for each centroid
+
+
+def figures(rows: list[tuple[int, list]], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.list_(kind))], ["cluster", "figures"])
+
+
+def spread(vectors: DataFrame, size: int) -> np.ndarray:
     """The dimensions, those of largest variance first."""
-    size = SIZE if (first := vectors.first()) is None else len(first.v)
 
     def moments(batches):
         n, sums, squares = 0, np.zeros(size), np.zeros(size)
         for batch in batched(batches):
             rows = matrix(batch).astype(np.float64)
             n, sums, squares = n + len(rows), sums + rows.sum(axis=0), squares + (rows * rows).sum(axis=0)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([squares.tolist()], pa.list_(pa.float64()))], ["n", "s", "q"])
+        yield figures([(0, [float(n), *sums, *squares])], pa.float64())
 
-    parts = vectors.select("v").mapInArrow(moments, "n long, s array<double>, q array<double>")
-    row = parts.agg(F.sum("n").alias("n"), *[F.sum(F.get(c, i)).alias(f"{c}{i}") for c in "sq" for i in range(size)]).first()
-    if not row.n:
-        return np.arange(size)
-    mean = np.array([row[f"s{i}"] for i in range(size)]) / row.n
-    return np.argsort(-(np.array([row[f"q{i}"] for i in range(size)]) / row.n - mean * mean), kind="stable")
+    n, *x = totals(vectors.select("v").mapInArrow(moments, "cluster int, figures array<double>"))[0]
+    mean, square = np.array(x[:size]) / n, np.array(x[size:]) / n
+    return np.argsort(mean * mean - square, kind="stable")
 
 
 def first_centroids(vectors: DataFrame, k: int, seed: str) -> np.ndarray:
@@ -111,14 +117,11 @@ def moved(vectors: DataFrame, centroids: np.ndarray, order: np.ndarray) -> np.nd
             n += np.bincount(which, minlength=k)
             for c in np.unique(which):
                 total[c] += rows[which == c].sum(axis=0)
-        used = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used], pa.int64()), pa.array(total[used].tolist(), pa.list_(pa.int64()))], ["cluster", "n", "s"])
+        yield figures([(int(c), [n[c], *total[c]]) for c in np.nonzero(n)[0]], pa.int64())
 
-    parts = vectors.select("v").mapInArrow(sums, "cluster int, n long, s array<long>")
-    found = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", i)).alias(f"s{i}") for i in range(size)])
     out = centroids.copy()
-    for r in found.collect():  # a row for each centroid
-        out[r.cluster] = [r[f"s{i}"] // r.n for i in range(size)]
+    for c, (n, *x) in totals(vectors.select("v").mapInArrow(sums, "cluster int, figures array<long>")).items():
+        out[c] = [s // n for s in x]
     return out
 
 
@@ -137,7 +140,7 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed
     centroids = first_centroids(kept, k, seed)
     if not len(centroids):
         return kept.selectExpr("vec_id", "0 cluster", "0L distance"), centroids
-    order = spread(kept)
+    order = spread(kept, size)
     for _ in range(rounds):
         before, centroids = centroids, moved(kept, centroids, order)
         if (before == centroids).all():  # the rounds that are left would change nothing
