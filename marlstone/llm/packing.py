@@ -12,6 +12,7 @@ once each; an empty table gives no rows; further columns of the input are ignore
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import blocks, partitions, small_batches, trim
+from .common import blocks, cut, small_batches, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -35,6 +37,8 @@ TIED, BAR = 100, "7"
 MARKS = b".,;:!?|%$#&*"
 #: Bytes of text that are encoded together.
 TOGETHER = 3_000_000
+#: Sequences that one task packs, about.
+FILLED_TOGETHER = 16_384
 
 
 def public_vocabulary(name: str) -> str:
@@ -43,6 +47,11 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def normal(text: str) -> str:
+    """The text as the vocabulary's normaliser leaves it: some letters become a letter and a mark that is none."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text).lower()
+
+
 class WordEncoder(dict):
     """UTF-8 words to little-endian 32-bit ids, with a second generation of words that may be forgotten; white space always parts tokens in this vocabulary."""
 
@@ -73,22 +82,22 @@ class WordEncoder(dict):
         return found
 
     def learn(self, words: list[bytes]) -> None:
-        """Add words; marks after a last letter are tokens of their own, so such a word needs its stem alone."""
+        """Add words; marks after what is a letter when normalised are tokens of their own, so such a word needs its stem alone."""
         letters: dict[bytes, str] = {}
         others: dict[bytes, str] = {}
         cut = []
         for w in words:
             text = w.decode("utf-8", "replace")
-            if text.isalpha():
+            if text.isalpha() and normal(text).isalpha():
                 letters[w] = text
                 continue
             stem = w.rstrip(MARKS)
             bare = text[: len(text) - (len(w) - len(stem))]
-            if len(stem) < len(w) and bare[-1:].isalpha():
+            if len(stem) < len(w) and normal(bare)[-1:].isalpha():
                 marks = w[len(stem) :]
                 cut.append((w, stem, marks))
                 if stem not in self:
-                    (letters if bare.isalpha() else others)[stem] = bare
+                    (letters if bare.isalpha() and normal(bare).isalpha() else others)[stem] = bare
                 if marks not in self:
                     others[marks] = marks.decode()
             else:
@@ -206,9 +215,12 @@ def pack(pieces: DataFrame, size: int = 4096, open_bins: int = 2048, parts: int
     """Give each piece a sequence and a place there.
 
     Each part of the pieces is packed by itself, longest first; only the last bins of a part stay
-    partly empty, so few large parts waste least.  A row of a piece has about 50 bytes.
+    partly empty.  So the number of parts depends on what there is to pack, and on nothing else: a part has
+    ``FILLED_TOGETHER`` sequences, some 300,000 pieces of about 50 bytes.
     """
-    parts = parts or max(1, partitions(pieces.sparkSession) // 8)
+    if parts is None:
+        pieces = cut(pieces)
+        parts = max(1, (pieces.agg(F.sum("length").alias("n")).first().n or 0) // (size * FILLED_TOGETHER))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, bins = TaskContext.get().partitionId() << 36, OpenBins(size, open_bins)
