@@ -3,6 +3,10 @@
 The grammar is + - * / // ** with the usual precedence, unary signs and parentheses.  Anything else -
 two numbers side by side, a call, a stray point, a leading zero, division by zero - has no value, except
 0/0, which is not a number.  Powers beyond ``MOST_BITS`` bits have no value either.
+
+``value_of`` is the evaluator as a column: one fold over the tokens of an expression with a stack of open
+parentheses, so that it stays in the JVM.  Whole numbers are exact up to 38 digits and floats beyond.
+``evaluate`` gives the value of one text in Python, with fractions; tests compare the two.
 """
 
 from __future__ import annotations
@@ -11,9 +15,10 @@ import math
 import re
 from fractions import Fraction
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import once
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.\d*|\.\d+)|(\d+)|(\*\*|//|[-+*/()]))")
 MOST_BITS, DEEPEST = 4096, 64
@@ -113,16 +118,144 @@ def evaluate(text: str) -> float | None:
         return None
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def evaluate_all(expressions: pd.Series) -> pd.Series:
-    """Values of the expressions of each row; null where there is none."""
-    known: dict[str, float | None] = {}
+# ------------------------------------------------------------ as columns
+# A number is a whole one and its float; the whole one is null if it has a fraction or over 38 digits, both are null if there is no value.
+_NUMBER = "struct<n:decimal(38,0),x:double>"
+# What is open in a parenthesis: the sum so far and the sign of what is added next, the product so far and what
+# comes between it and the next factor, and the signed numbers of that factor, each the power of the one before.
+_FRAME = f"struct<total:{_NUMBER},minus:boolean,product:{_NUMBER},by:string,tower:array<struct<negative:boolean,value:{_NUMBER}>>,negative:boolean>"
+_STATE = f"struct<stack:array<{_FRAME}>,wants:boolean,fine:boolean>"
+TOKEN = r"[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+|\*\*|//|[-+*/()]"
+
+
+def _number(n: Column, x: Column) -> Column:
+    """``x`` counts where there is no whole number."""
+    return once(n.cast("decimal(38,0)"), lambda whole: F.struct(whole.alias("n"), F.coalesce(whole.cast("double"), x).alias("x")))
+
+
+def _read(token: Column) -> Column:
+    whole = F.when(token.rlike("^(?:0+|[1-9][0-9]*)$"), token.try_cast("decimal(38,0)"))
+    return _number(whole, F.when(~token.rlike("^0+[1-9][0-9]*$"), token.try_cast("double")))
+
+
+def _negated(v: Column) -> Column:
+    return F.struct((-v["n"]).cast("decimal(38,0)").alias("n"), (-v["x"]).alias("x"))
+
+
+def _sum(a: Column, minus: Column, b: Column) -> Column:
+    """``a`` with ``b`` added or taken away; ``b`` signed if there is no ``a``."""
+
+    def with_sign(b: Column) -> Column:
+        return F.when(a.isNull(), b).otherwise(_number(F.try_add(a["n"], b["n"]), a["x"] + b["x"]))
+
+    return once(F.when(minus, _negated(b)).otherwise(b), with_sign)
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    whole = F.when((b["n"] != 0) & (F.try_mod(a["n"], b["n"]) == 0), F.try_divide(a["n"], b["n"]).cast("decimal(38,0)"))
+    x = F.when((b["x"] == 0) & (a["x"] == 0), F.lit(math.nan)).when(b["x"] != 0, a["x"] / b["x"])
+    return _number(whole, x)
+
+
+def _floored(a: Column, b: Column) -> Column:
+    rest = F.pmod(a["n"], b["n"])
+    down = F.when((rest > 0) & (b["n"] < 0), rest + b["n"]).otherwise(rest)  # has the sign of b
+    part = F.try_divide(a["x"], b["x"])
+    whole = F.when(a["n"].isNotNull() & b["n"].isNotNull(), F.try_divide(a["n"] - down, b["n"])).when(~F.isnan(part), F.floor(part).cast("decimal(38,0)"))
+    return _number(F.when(b["x"] != 0, whole), F.lit(None).cast("double"))
+
+
+def _power(a: Column, b: Column) -> Column:
+    bits = F.when(a["n"].isNotNull() & b["n"].isNotNull() & (a["n"] != 0), F.abs(b["x"]) * (F.floor(F.log2(F.abs(a["x"]))) + 1))
+
+    def bounded(x: Column) -> Column:
+        good = ~F.isnan(x) & (F.abs(x) != float("inf")) & (F.coalesce(bits, F.lit(0)) <= MOST_BITS)
+        whole = F.when(a["n"].isNotNull() & b["n"].isNotNull() & (b["n"] >= 0) & (F.abs(x) < 2.0**53), F.round(x, 0).cast("decimal(38,0)"))
+        return F.struct(F.when(good, whole).alias("n"), F.when(good, x).alias("x"))
+
+    return once(F.pow(a["x"], b["x"]), bounded)
+
+
+def _factor(tower: Column) -> Column:
+    """The value of a factor: powers from the right, a sign after its number's power."""
+    def onto(above: Column, t: Column) -> Column:
+        raised = F.when(above.isNull(), t["value"]).otherwise(_power(t["value"], above))
+        return once(raised, lambda v: F.when(t["negative"], _negated(v)).otherwise(v))
+
+    many = F.aggregate(F.reverse(tower), F.lit(None).cast(_NUMBER), onto)
+    only = F.get(tower, 0)
+    return F.when(F.size(tower) == 1, F.when(only["negative"], _negated(only["value"])).otherwise(only["value"])).otherwise(many)
+
+
+def _product(f: Column) -> Column:
+    """The product so far with the open factor."""
+
+    def times(b: Column) -> Column:
+        a, by = f["product"], f["by"]
+        return F.when(a.isNull(), b).when(by == "*", _number(F.try_multiply(a["n"], b["n"]), a["x"] * b["x"])).when(by == "/", _quotient(a, b)).otherwise(_floored(a, b))
+
+    return once(_factor(f["tower"]), times)
+
+
+def _closed(f: Column) -> Column:
+    """The value of a parenthesis."""
+    return once(_product(f), lambda p: _sum(f["total"], f["minus"], p))
+
+
+def _frame(total=None, minus=None, product=None, by=None, tower=None, negative=None) -> Column:
+    none, no = F.lit(None).cast(_NUMBER), F.lit(False)
+    empty = F.array().cast(f"array<struct<negative:boolean,value:{_NUMBER}>>")
+    given = (none if total is None else total, no if minus is None else minus, none if product is None else product, F.lit(None).cast("string") if by is None else by, empty if tower is None else tower, no if negative is None else negative)
+    return F.struct(*[c.alias(n) for c, n in zip(given, ("total", "minus", "product", "by", "tower", "negative"))]).cast(_FRAME)
+
+
+def _step(s: Column, token: Column) -> Column:
+    stack, wants = s["stack"], s["wants"]
+    depth = F.size(stack)
+    top, below = F.element_at(stack, -1), F.slice(stack, 1, depth - 1)
+
+    def state(frames: Column, wants: bool) -> Column:
+        return F.struct(frames.alias("stack"), F.lit(wants).alias("wants"), F.lit(True).alias("fine")).cast(_STATE)
+
+    def replaced(frame: Column, wants: bool, under: Column = below) -> Column:
+        return state(F.concat(under, F.array(frame)), wants)
+
+    def with_value(f: Column, v: Column, under: Column) -> Column:
+        entry = F.array(F.struct(f["negative"].alias("negative"), v.alias("value")))
+        return replaced(_frame(f["total"], f["minus"], f["product"], f["by"], F.concat(f["tower"], entry)), False, under)
+
+    def of(f: Column) -> Column:
+        signed = _frame(f["total"], f["minus"], f["product"], f["by"], f["tower"], f["negative"] != (token == "-"))
+        summed = _frame(_closed(f), token == "-")
+        multiplied = _frame(f["total"], f["minus"], _product(f), token)
+        outer = F.element_at(stack, -2)
+        return (
+            F.when(~s["fine"], s)
+            .when(wants & token.rlike("^[.0-9]"), with_value(f, _read(token), below))
+            .when(wants & (token == "("), state(F.concat(stack, F.array(_frame())), True))
+            .when(wants & token.isin("+", "-"), replaced(signed, True))
+            .when(~wants & (token == ")") & (depth > 1), with_value(outer, _closed(f), F.slice(stack, 1, depth - 2)))
+            .when(~wants & (token == "**"), replaced(f, True))
+            .when(~wants & token.isin("*", "/", "//"), replaced(multiplied, True))
+            .when(~wants & token.isin("+", "-"), replaced(summed, True))
+            .otherwise(F.struct(stack.alias("stack"), wants.alias("wants"), F.lit(False).alias("fine")).cast(_STATE))
+        )
+
+    return once(top, of)
+
+
+def value_of(expression: Column) -> Column:
+    """The value of an expression; null if it has none."""
+    strange = F.regexp_replace(expression, rf"{TOKEN}|\s", "") != ""
+    tokens = F.regexp_extract_all(expression, F.lit(TOKEN), F.lit(0))
+    start = F.struct(F.array(_frame()).alias("stack"), F.lit(True).alias("wants"), F.lit(True).alias("fine")).cast(_STATE)
+
+    def result(s: Column) -> Column:
+        return F.when(s["fine"] & ~s["wants"] & (F.size(s["stack"]) == 1), _closed(F.get(s["stack"], 0))["x"])
+
+    return F.when(expression.isNotNull() & ~strange, F.get(F.transform(F.array(F.aggregate(tokens, start, _step)), result), 0))
 
-    def value(text):
-        if text is None:
-            return None
-        if text not in known:
-            known[text] = evaluate(text)
-        return known[text]
 
-    return expressions.map(lambda row: None if row is None else [value(t) for t in row])
+def evaluate_all(expressions) -> Column:
+    """Values of the expressions of an array; null where there is none."""
+    return F.transform(expressions, value_of)

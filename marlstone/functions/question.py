@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import all_of
-from .text import strip
+from .text import once, strip
 
 # Keywords of each category; the last category with a hit counts.
 CATEGORIES = {
@@ -50,11 +50,6 @@ def has(text: Column, word: str, word_boundaries: bool = False) -> Column:
     return F.contains(text, F.lit(word))
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is read."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def category_type(question: Column, word_boundaries: bool = False) -> Column:
     def found(low: Column) -> Column:
         kind = F.lit("arithmetic")

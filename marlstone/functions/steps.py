@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import WS, lines, strip
+from .text import WS, lines, once, strip
 
 SENTENCE = rf"(?<=[.!?]){WS}+"
 VARIANTS = ("max", "mean_pairwise", "dup_fraction")
@@ -62,12 +60,57 @@ def redundancy_of(steps: list[str], variant: str, threshold: float) -> float:
     return max(0.0, 1.0 - (most if variant == "max" else total / (n * (n - 1) / 2)))
 
 
+def step_terms(step: Column) -> Column:
+    """The terms of a step: words of two characters or more, in lower case."""
+    return F.regexp_extract_all(F.lower(step), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x["w"] * F.aggregate(b, F.lit(0.0), lambda found, y: F.when(y["t"] == x["t"], y["w"]).otherwise(found)))
+
+
+def _kinds(bags: Column) -> Column:
+    """The distinct bags of terms in order of first place: how often each occurs, and its TF-IDF unit vector over all bags."""
+
+    def weight(bag: Column, term: Column) -> Column:
+        tf = F.size(F.filter(bag, lambda x: x == term))
+        df = F.size(F.filter(bags, lambda b: F.array_contains(b, term)))
+        return tf * (F.log((1 + F.size(bags)) / (1 + df)) + 1)
+
+    def unit(entries: Column) -> Column:
+        norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+        return once(norm, lambda length: F.transform(entries, lambda e: F.struct(e["t"].alias("t"), (e["w"] / length).alias("w"))))
+
+    def kind(bag: Column) -> Column:
+        entries = F.transform(F.array_distinct(bag), lambda t: F.struct(t.alias("t"), weight(bag, t).alias("w")))
+        return F.struct(F.size(F.filter(bags, lambda b: b == bag)).alias("n"), once(entries, unit).alias("unit"))
+
+    return F.transform(F.array_distinct(F.filter(bags, lambda b: F.size(b) > 0)), kind)
+
+
 def redundancy(steps: Column, variant: str = "dup_fraction", threshold: float = 0.90) -> Column:
+    """1 less the repetition among the steps of a trace, by cosines of TF-IDF vectors fitted on these steps.
+
+    Equal steps are compared once, so the work grows with the square of the different steps of one
+    trace; ``operators.redundancy`` does the same for texts of any length by joins.
+    """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; one of {VARIANTS}")
 
-    @F.pandas_udf(T.DoubleType())
-    def score(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: redundancy_of([] if r is None else list(r), variant, threshold))
+    def earlier(kinds: Column, i: Column) -> Column:
+        return F.slice(kinds, 1, i)
+
+    def compared(kinds: Column) -> Column:
+        n = F.size(steps)
+        copies = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + k["n"] - 1)
+        best = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: F.greatest(acc, _dot(k["unit"], o["unit"]))))
+        if variant == "dup_fraction":
+            repeated = F.size(F.filter(best, lambda b: b > threshold)) + (copies if threshold < 1 else 0)
+            return 1.0 - repeated / (n - 1)
+        if variant == "max":
+            return F.greatest(F.lit(0.0), 1.0 - F.when(copies > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(best), F.lit(0.0))))
+        across = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: acc + o["n"] * _dot(k["unit"], o["unit"])) * k["n"] + k["n"] * (k["n"] - 1) / 2)
+        return F.greatest(F.lit(0.0), 1.0 - F.aggregate(across, F.lit(0.0), lambda acc, x: acc + x) / (n * (n - 1) / 2))
 
-    return score(steps)
+    bags = F.transform(steps, lambda s: F.array_sort(step_terms(s)))
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) < 2, F.lit(1.0)).otherwise(once(bags, lambda b: once(_kinds(b), compared)))

@@ -39,7 +39,7 @@ def parsed(attempts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             "steps__": split_steps(F.col("trace_scored"), p.step_split_sentences),
         }
     )
-    rows = rows.withColumns({"lhs__": evaluate_all("lhs__"), "R": redundancy(F.col("steps__"), p.r_variant, p.dup_sim_threshold)})
+    rows = rows.withColumns({"lhs__": evaluate_all(F.col("lhs__")), "R": redundancy(F.col("steps__"), p.r_variant, p.dup_sim_threshold)})
     return rows.withColumn("eqs__", N.equations(F.col("trace_scored"), F.col("lhs__"), p.equation_tol)).withColumn("checkpoints__", F.transform("terms__", lambda t: t["result"]))
 
 

@@ -7,19 +7,26 @@ is an attempt with an empty solution.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's priority, id and its lines in order."""
+    """An order's priority, id and its lines in order.
+
+    Lines and orders are dealt by key to as many parts as shuffles have, and stay there: rendering and
+    scoring make rows much longer than they are here, so parts are not joined, nor the lines broadcast.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     q, price = F.col("l_quantity").cast("int"), (1 + F.col("l_partkey") % 97).cast("int")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), rank.alias("rn"), q.alias("q"), price.alias("p"))
-    grouped = lines.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rn", "q", "p"))).alias("lines"))
+    place = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), F.struct(*place, q.alias("q"), price.alias("p")).alias("line"))
+    grouped = lines.repartition(parts, "key").groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("sorted"))
+    numbered = F.transform("sorted", lambda x, i: F.struct((i + 1).alias("rn"), x["q"].alias("q"), x["p"].alias("p")))
+    grouped = grouped.select("key", numbered.alias("lines"))
     none = F.array().cast(grouped.schema["lines"].dataType)
-    return orders.join(grouped, "key", "left").withColumn("lines", F.coalesce("lines", none))
+    return orders.repartition(parts, "key").join(grouped.hint("merge"), "key", "left").withColumn("lines", F.coalesce("lines", none))
 
 
 def product(line: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions import statistics as P
 from ..functions import steps as E
 from ..functions import text as T
 from ..operators import aggregates as A
-from ..operators import prompts, retrieve, retry, route, runs, seeds, stats
+from ..operators import prompts, redundancy, retrieve, retry, route, runs, seeds, stats
 from ..operators.score import diagnosis_counts, score
 from ..sources.tables import staged
 from . import attempts as source
@@ -605,9 +605,35 @@ from steps left join agg using (conv_id, turn)""".replace("SPACE", SPACE)
 
 @query(REDUNDANCY_SQL)
 def redundancy_tfidf(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", E.split_steps(F.col("text")).alias("steps"))
+    sizes = rows.select("conv_id", "turn", F.size("steps").alias("n_steps"))
+    return rounded(sizes.join(redundancy.redundancy(rows, ["conv_id", "turn"], "steps"), ["conv_id", "turn"]))
+
+
+@query(REDUNDANCY_SQL)
+def redundancy_in_row(spark, sf_dir):
+    """The same without a join, as scoring computes it."""
     steps = E.split_steps(F.col("text"))
-    rows = table(spark, sf_dir, "conversations")
-    return rounded(rows.select("conv_id", "turn", F.size(steps).alias("n_steps"), *[E.redundancy(steps, v).alias(v) for v in E.VARIANTS]))
+    rows = table(spark, sf_dir, "conversations").withColumn("steps", steps)
+    return rounded(rows.select("conv_id", "turn", F.size("steps").alias("n_steps"), *[E.redundancy(F.col("steps"), v).alias(v) for v in E.VARIANTS]))
+
+
+STEP_PAIRS_SQL = (
+    REDUNDANCY_SQL.replace("conv_id, turn", "doc_id").replace("a.doc_id = b.doc_id and a.turn = b.turn", "a.doc_id = b.doc_id").replace("a.conv_id = b.conv_id and a.turn = b.turn", "a.doc_id = b.doc_id").replace("a.conv_id, a.turn", "a.doc_id").replace("from conversations", "from documents")
+    .partition("cos as (")[0]
+    + """bag as (select doc_id, i, md5(string_agg(tok || ' ' || tf, ' ' order by tok)) as bag from tf group by all),
+kind as (select doc_id, min(i) as i, count(*) as copies from bag group by doc_id, bag),
+ku as (select u.doc_id, u.i, tok, u.u from u join kind using (doc_id, i))
+select a.doc_id, (a.i - 1)::int as i, (b.i - 1)::int as j, round(sum(a.u * b.u), 6) as cos from ku a join ku b on a.doc_id = b.doc_id and a.tok = b.tok and b.i < a.i group by all having sum(a.u * b.u) > 0.8"""
+)
+
+
+@query(STEP_PAIRS_SQL)
+def step_pairs(spark, sf_dir):
+    """Pairs of unlike steps of each document that are nearly the same."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", E.split_steps(F.col("text")).alias("steps"))
+    weights = redundancy.unit_weights(redundancy.step_kinds(rows, ["doc_id"], "steps"), ["doc_id"])
+    return rounded(redundancy.step_pairs(weights, ["doc_id"], 0.8))
 
 
 @query()
