@@ -2,7 +2,11 @@
 
 Everything is built-in expressions: the n-grams of host and path are hashed to a fixed number of
 buckets, and the score is the sum of their weights.  The weights come from ``pyspark.ml`` on a small
-labelled URL table, in the same buckets.
+labelled URL table, in the same buckets: addresses written by hand, and ``MADE`` made by rule.  A made
+address has a host and a path drawn apart, of the same forms for both labels; what is blocked has words of
+``BAD`` in either or both, what is allowed has common words or syllables that mean nothing.  Two of
+``HELD`` made addresses are not trained on; the intercept is lowered until at most ``FALSE_BLOCKS`` of the allowed ones
+among them are blocked, so an address that the model knows nothing of is let through.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, has no
 n-grams and is allowed; rules with an empty host fit nothing; of rules of one length the first listed
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BUCKETS, GRAMS = 1 << 14, (3, 4, 5)
+BUCKETS, GRAMS = 1 << 16, (3, 4, 5)
 PENALTY, ROUNDS = 0.002, 60
 
 # The labelled URL table that the classifier is trained on, written by hand from what such
@@ -52,6 +56,20 @@ ALLOWED = (
     "https://www.bookshop.test/history/middle-ages", "http://bakery.invalid/opening-hours", "https://knitting.patterns.test/scarf", "http://woodwork.workshop.invalid/joints",
     "https://family.genealogy.test/surnames/b", "http://www.philosophy.invalid/essays/reason",
 )
+# Words of addresses to block, and of others.
+BAD = (
+    "casino", "poker", "slots", "jackpot", "roulette", "betting", "sportsbook", "bingo", "lotto", "blackjack", "viagra", "cialis", "pharmacy", "pills", "tramadol", "steroids", "weightloss", "enhancement",
+    "xxx", "porn", "sex", "nude", "escort", "webcam", "hot-singles", "adult-dating", "payday-loans", "cash-advance", "no-credit-check", "debt-relief", "get-rich", "earn-money", "bitcoin-doubler", "free-btc", "forex-robot",
+    "crypto-giveaway", "replica", "rolex", "fake-handbags", "outlet-sale", "free-iphone", "you-won", "claim-prize", "account-verify", "login-confirm", "crack", "keygen", "warez", "torrents", "serial", "backlinks", "link-farm",
+    "buy-followers", "buy-likes", "bulk-email", "spam", "popup-ads", "click-farm", "essay-writing", "win-big", "free-spins", "bonus-code",
+)
+COMMON = (
+    "library", "museum", "school", "university", "physics", "history", "garden", "recipes", "travel", "weather", "news", "gazette", "parliament", "health", "clinic", "music", "orchestra", "theatre", "gallery", "railway", "airport",
+    "maps", "zoo", "birds", "tides", "chess", "books", "bakery", "knitting", "wood", "family", "philosophy", "journal", "research", "papers", "wiki", "forum", "docs", "code", "project", "tracker", "package", "course", "lecture",
+    "calendar", "contact", "about", "article", "topic", "category", "tag", "archive", "product", "service", "team", "city", "river", "mountain", "sport", "football", "market", "office", "studio", "design", "photo", "video", "radio",
+    "science", "nature", "energy", "water", "house", "kitchen", "hotel", "farm", "village", "church", "bank", "law", "press", "review", "story", "kids", "games", "cars", "bike", "ocean", "forest", "winter", "summer",
+)
+MADE, HELD, FALSE_BLOCKS = 6000, 4, 0.02
 LABELLED = (*((url, 1) for url in BLOCKED), *((url, 0) for url in ALLOWED))
 #: Rules of the query: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -82,14 +100,72 @@ def buckets_of(host, path):
     return F.when((host == "") & (path == ""), F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(*found)))
 
 
-def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
-    """Bucket weights and intercept."""
+def made_urls(spark: SparkSession, n: int = MADE):
+    """``n`` addresses by rule (i, url, label), half of them to block; row i is the same in every session."""
+    i = F.col("id")
+
+    def draw(name: str, of: int):
+        return F.pmod(F.xxhash64(F.lit(name), i), F.lit(of)).cast("int")
+
+    def pick(name: str, options):
+        return F.get(F.array(*map(F.lit, options)), draw(name, len(options)))
+
+    def syllables(name: str):
+        some = F.concat(*[F.concat(pick(f"{name}c{k}", ("b", "br", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "sh", "t", "th", "tr", "v", "w", "z")), pick(f"{name}v{k}", ("a", "e", "i", "o", "u", "ai", "ou", "en", "on", "ti"))) for k in range(4)])
+        return F.substring(some, F.lit(1), 3 + draw(f"{name}n", 7))
+
+    def plain(name: str):
+        return F.when(draw(f"{name}k", 5) < 3, syllables(name)).otherwise(pick(f"{name}w", COMMON))
+
+    def either(name: str, bad):
+        joined = F.concat(pick(f"{name}b", BAD), F.when(draw(f"{name}j", 3) == 0, F.concat(F.lit("-"), plain(f"{name}x"))).otherwise(F.lit("")))
+        before = F.concat(F.when(draw(f"{name}p", 4) == 0, F.concat(plain(f"{name}y"), F.lit("-"))).otherwise(F.lit("")), joined)
+        return F.when(bad, before).otherwise(F.concat(plain(f"{name}o"), F.when(draw(f"{name}q", 4) == 0, F.concat(F.lit("-"), plain(f"{name}r"))).otherwise(F.lit(""))))
+
+    bad, where = i % 2 == 1, draw("where", 3)  # bad words in the host, in the path or in both
+    host = F.concat(
+        pick("front", ("", "", "www.", "www.", "m.", "blog.", "shop.", "news.", "en.", "cdn.", "my.")), either("host", bad & (where != 1)),
+        F.when(draw("second", 2) == 0, pick("domain", (".example", ".sample", ".site", ".web"))).otherwise(F.lit("")), pick("top", (".com", ".net", ".org", ".info", ".test", ".invalid")),
+    )
+    number = draw("number", 9999).cast("string")
+    word = either("path", bad & (where != 0))
+    path = (
+        F.when(bad & (where != 0), F.concat(pick("in", ("/", "/en/", "/de/", "/p/", "/2021/03/")), word, pick("out", ("", "/", ".html", "/page"))))
+        .when(draw("form", 4) == 0, F.concat(pick("lang", ("/en/", "/de/", "/fr/", "/es/", "/a/", "/item/", "/")), number, pick("ending", ("", ".html", "/"))))
+        .when(draw("form", 4) == 1, F.concat(F.lit("/"), word, F.lit("/"), number))
+        .when(draw("form", 4) == 2, F.concat(pick("in2", ("/en/", "/", "/2019/11/")), word, pick("out2", ("", "/", ".html"))))
+        .otherwise(pick("short", ("", "/", "/index.html", "/about")))
+    )
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("i"), F.concat(pick("scheme", ("http://", "https://")), host, path).alias("url"), bad.cast("double").alias("label"))
+
+
+def train(spark: SparkSession, labelled=LABELLED, made: int = MADE) -> tuple[list[float], float]:
+    """Bucket weights and intercept; an address is blocked if its logit is not negative."""
     table = F.array(*[F.struct(F.lit(url).alias("url"), F.lit(float(label)).alias("label")) for url, label in labelled])
-    rows = spark.range(1).select(F.explode(table).alias("r")).select("r.label", "r.url")
-    own = rows.select("label", buckets_of(*parts(F.col("url"))).cast("array<string>").alias("own"))
+    by_hand = spark.range(1).select(F.explode(table).alias("r")).select(F.lit(None).cast("long").alias("i"), "r.url", "r.label")
+    rows = by_hand.unionByName(made_urls(spark, made))
+    held = F.coalesce(F.col("i") % HELD == 0, F.lit(False)) | F.coalesce(F.col("i") % HELD == 1, F.lit(False))
+    own = rows.select("label", held.alias("held"), buckets_of(*parts(F.col("url"))).cast("array<string>").alias("own"))
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "own", "features").setBinary(True).transform(own)
-    model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False).fit(vectors.select("label", "features"))
-    return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
+    model = LogisticRegression(maxIter=ROUNDS, regParam=PENALTY, standardization=False).fit(vectors.where("not held").select("label", "features"))
+    weights, intercept = [float(x) for x in model.coefficients.toArray()], float(model.intercept)
+    if not made:
+        return weights, intercept
+    known = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    logit = F.aggregate(F.col("own"), F.lit(intercept), lambda total, b: total + F.element_at(known, b.cast("int") + 1))
+    allowed = own.where("held and label = 0").agg(F.percentile(logit, 1 - FALSE_BLOCKS).alias("edge")).first().edge
+    return weights, intercept - max(0.0, allowed + 1e-9)
+
+
+_trained: dict[str, tuple[list[float], float]] = {}
+
+
+def trained(spark: SparkSession) -> tuple[list[float], float]:
+    """The model, trained once an application: its labelled table is always the same."""
+    key = spark.sparkContext.applicationId
+    if key not in _trained:
+        _trained[key] = train(spark)
+    return _trained[key]
 
 
 def rule_for(host, path, rules=RULES):
@@ -116,4 +192,4 @@ def judge(pages: DataFrame, model: tuple[list[float], float], rules=RULES, id_co
 
 
 def filter_urls(pages: DataFrame) -> DataFrame:
-    return judge(pages, train(pages.sparkSession))
+    return judge(pages, trained(pages.sparkSession))

@@ -50,6 +50,31 @@ def test_sequences_are_gapless_and_full(documents, odd_documents, no_documents):
     assert packing.pack_documents(no_documents).count() == 0
 
 
+def test_letters_before_marks_are_those_of_the_tokenizer():
+    """Letters that become a letter and a mark when normalised, and others, alone and before each mark."""
+    from tokenizers import Tokenizer
+
+    odd = "\u0130\u0958\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0b5c\u0b5d"
+    letters = odd + "".join(chr(c) for c in range(0x41, 0x3000, 7) if chr(c).isalpha())
+    words = [w + c + m for c in letters for w in ("", "gazetes") for m in ("", *packing.MARKS.decode(), ".\"", "?!")]
+    own, whole = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    got = own.values([w.encode() for w in words])
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(words, add_special_tokens=False)]
+    assert [w for w, a, b in zip(words, got, want) if a != b] == []
+
+
+def test_the_number_of_sequences_does_not_depend_on_the_shuffle_setting(spark, documents):
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for parts in ("4", "200", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            made.add(packing.pack_documents(documents).agg(F.count_distinct("sequence_id"), F.sum("length")).first()[:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ((sequences, total),) = made
+    assert sequences <= -(-total // 4096) + 1
+
+
 def test_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (4, 7, 8, 6, 3)] == [(0, 0), (1, 0), (2, 0), (0, 4), (1, 7)]
@@ -360,6 +385,40 @@ def test_the_labelled_urls_are_none_of_the_pages(spark):
     assert not {u for u, _ in url_filter.LABELLED} & urls and not {u.split("://")[1].partition("/")[2] for u, _ in url_filter.LABELLED} & paths
 
 
+def test_scores_are_sums_over_hashed_ngrams(spark):
+    import xxhash
+
+    weights, intercept = url_filter.trained(spark)
+
+    def bucket(kind, gram):
+        h = xxhash.xxh64_intdigest(gram.encode(), seed=xxhash.xxh64_intdigest(kind.encode(), seed=42))
+        return h % url_filter.BUCKETS
+
+    def score(host, path):
+        seen = {bucket(k, t[i : i + n]) for k, t in (("h", f"^{host}$"), ("p", f"{path}$")) for n in url_filter.GRAMS for i in range(len(t) - n + 1)}
+        return 1 / (1 + np.exp(-(intercept + sum(weights[b] for b in seen)))) if host or path else 0.0
+
+    urls = [u for u, _ in HELD_OUT] + ["http://x", "http://é.ü/ñandú", "http://a/b/a/b/a/b/a/b", "http:///p"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (weights, intercept), rules=()).collect()
+    for r in got:
+        want = score(r.host, r.path)
+        assert r.block_score == pytest.approx(want, abs=2e-6) and (r.verdict == "block") == (want >= 0.5)
+
+
+def test_neutral_addresses_pass_and_others_are_found(spark):
+    """Addresses made by rule beyond those of the training, and hosts of syllables of another kind."""
+    model = url_filter.trained(spark)
+    made = url_filter.made_urls(spark, 12_000).where("i >= 6000").select(F.col("i").alias("page_id"), "url", "label")
+    rates = dict(url_filter.judge(made, model, rules=()).join(made, "page_id").groupBy("label").agg(F.avg((F.col("verdict") == "block").cast("double"))).collect())
+    assert rates[0.0] < 0.02 and rates[1.0] > 0.85
+    strange = [f"http://{a}{b}{c}.{d}/{e}/{n}" for n, (a, b, c) in enumerate(itertools.product(["qu", "xel", "ny", "org", "mam", "tth"], ["zor", "ib", "ull", "ence", "ath"], ["a", "ers", "ok", "ix"])) for d in ("com", "example.net") for e in ("en", "item")]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(strange)), "page_id long, url string"), model, rules=())
+    assert got.where("verdict = 'block'").count() < 0.05 * len(strange)
+    for sf in ("sf0.01", "sf0.1"):
+        free = url_filter.filter_urls(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).where("rule is null")
+        assert free.where("verdict = 'block'").count() < 0.05 * free.count()
+
+
 def test_urls_of_odd_rows(spark):
     schema = "page_id long, url string, HOST int, block_score string, own string, found int"
     rows = [(1, "http://it's.test/a'b", 1, "x", "y", 2), (1, "http://it's.test/a'b", 1, "x", "y", 2), (2, "http://" + "a" * 50_000 + "/" + "é" * 50_000, None, None, None, None), (None, "http://com/", 0, "", "", 0), (3, "://", 0, "", "", 0)]
