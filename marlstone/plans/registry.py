@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arith
 from ..functions import numeric as N
 from ..functions import question as Q
 from ..functions import rules as L
@@ -14,10 +15,11 @@ from ..functions import statistics as P
 from ..functions import steps as E
 from ..functions import text as T
 from ..operators import aggregates as A
-from ..operators import prompts, redundancy, retrieve, retry, route, runs, seeds, stats
+from ..operators import extract, prompts, redundancy, retrieve, retry, route, runs, seeds, stats
 from ..operators.score import diagnosis_counts, score
 from ..sources.tables import staged
 from . import attempts as source
+from . import hard
 from .oracle import SCORED, TEXTS, scored
 
 QUERIES: dict = {}
@@ -866,3 +868,87 @@ select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight
 def text_weights(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     return rounded(retrieve.text_weights(rows, "id", "text"))
+
+
+# ---------------------------------------------------------------- what traces say, as rows
+def hard_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as scoring reads them."""
+    return hard.traces(spark, sf_dir).withColumn("trace", T.normalize_math(F.col("trace")))
+
+
+@query(hard.said("select key, line, 0 as place, round(a, 6) as a, c::double as c, abs(a - c) <= 1e-4 * greatest(1, abs(a), abs(c)) as is_true, operands::double[] as operands, ops from said where a is not null"))
+def equation_rows(spark, sf_dir):
+    rows = extract.equation_rows(hard_traces(spark, sf_dir), "trace", "key", "line")
+    return rounded(rows.drop("raw"))
+
+
+@query(hard.said("select distinct key, line, row, round(x, 6) as value from said, unnest(vals) as v(x)").replace("select distinct key, line, row,", "select key, line, value from (select distinct key, line, row,") + ")")
+def value_rows(spark, sf_dir):
+    return rounded(extract.value_rows(hard_traces(spark, sf_dir), "trace", "key", "line").drop("place"))
+
+
+@query(hard.said("select key, line, 0 as place, round(g_result, 6)::double as result, g_operands::double[] as operands, [g_op] as ops from said"))
+def checkpoint_rows(spark, sf_dir):
+    return rounded(extract.checkpoint_rows(hard_traces(spark, sf_dir), "gold_solution", "key", "line").drop("raw"))
+
+
+@query(hard.said("select key, line, (unnest(range(1, len(steps) + 1)) - 1)::int as place, unnest(steps) as step from said"))
+def step_rows(spark, sf_dir):
+    return extract.step_rows(hard_traces(spark, sf_dir), "trace", "key", "line")
+
+
+@query(hard.said("select key, line, kind, round(answer, 6)::double as answer from said"))
+def answer_rungs(spark, sf_dir):
+    return rounded(hard_traces(spark, sf_dir).select("key", "line", "kind", N.final_answer(F.col("trace")).alias("answer")))
+
+
+HARD_SIGNALS = """select key, line, kind, hit::int::double as E, coalesce(true_eq, false)::int::double as V, coalesce(abs(c - g_result) <= 1e-6 * greatest(1, abs(c), abs(g_result)), false)::int::double as A,
+  coalesce(by_struct, false)::int::double as E_struct, coalesce(by_struct and list_contains(ops, g_op), false)::int::double as A_struct, (a is not null)::int as n_equations, len(steps)::int as n_steps,
+  case when a is not null and answer is not null then abs(c - answer) <= 1e-6 * greatest(1, abs(c), abs(answer)) end as coherent, coalesce(answer = r, false) as correct
+from (select *, true_eq and abs(c - g_result) <= 1e-6 * greatest(1, abs(c), abs(g_result)) and operands = g_operands as by_struct
+  from (select *, abs(a - c) <= 1e-4 * greatest(1, abs(a), abs(c)) as true_eq, len(list_filter(vals, lambda v: abs(v - g_result) <= 1e-6 * greatest(1, abs(v), abs(g_result)))) > 0 as hit from said))"""
+
+
+@query(hard.said(HARD_SIGNALS))
+def hard_signals(spark, sf_dir):
+    return score(hard.traces(spark, sf_dir)).select("key", "line", "kind", "E", "V", "A", "E_struct", "A_struct", "n_equations", "n_steps", "coherent", "correct")
+
+
+@query(hard.said("select key, line, round(g_result, 6)::double as wanted, round(x, 6)::double as near from (select distinct row, key, line, g_result, x from said, unnest(vals) as v(x)) where abs(x - g_result) <= 0.01 * greatest(1, abs(x), abs(g_result))"))
+def matched_values(spark, sf_dir):
+    """Checkpoints with the values of their trace that are within a hundredth, by a band join of two tables."""
+    rows = hard_traces(spark, sf_dir).withColumn("row", F.monotonically_increasing_id())
+    rows = staged(rows.select("row", "key", "line", "trace", "gold_solution"))
+    wanted = extract.checkpoint_rows(rows, "gold_solution", "row", "key", "line").select("row", "key", "line", F.col("result").alias("value"))
+    return rounded(extract.matched_values(extract.value_rows(rows, "trace", "row", "key", "line"), wanted, 0.01, "row", "key", "line").drop("row"))
+
+
+@query("select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and abs(c_acctbal - s_acctbal) <= 0.02 * greatest(1, abs(c_acctbal), abs(s_acctbal))")
+def near_balances(spark, sf_dir):
+    """Customers and suppliers of one nation whose balances are within a fiftieth of each other."""
+    mine = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("value"))
+    theirs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_acctbal").alias("value"))
+    close = extract.matched_values(theirs.select("nation", "value").distinct(), mine.select("nation", "value").distinct(), 0.02, "nation")
+    found = close.join(mine.withColumnRenamed("value", "wanted"), ["nation", "wanted"]).join(theirs.withColumnRenamed("value", "near"), ["nation", "near"])
+    return found.select("c_custkey", "s_suppkey")
+
+
+EXPRESSIONS = {
+    "(q + p) * d - q / 4": "(q + p) * d - q / 4.0::double", "-(q - p) ** 2": "-power(q - p, 2)", "q // 7 + -p // 3": "floor(q / 7.0::double) + floor(-p / 3.0::double)",
+    "q - p - d * (p - (q + 2))": "q - p - d * (p - (q + 2))", "2 ** (d % 3)": "null", "q / (p - p)": "null", "q p": "null", "((q))": "q", ".5 * q + 1.25": "0.5::double * q + 1.25::double", "q / p / 2": "q / p::double / 2",
+    "0q + 1": "null", "q * 1000000007 * 998244353 - q * 1000000007 * 998244353 + p": "p",
+}
+
+
+@query(
+    f"with {hard.HARD} select key, line, k::int as k, round(case k " + " ".join(f"when {k} then {sql}" for k, sql in enumerate(EXPRESSIONS.values())) + f" end, 6)::double as value from said, range({len(EXPRESSIONS)}) t(k)"
+)
+def expression_values(spark, sf_dir):
+    """Arithmetic of many forms made from the numbers of each line, and its value."""
+    spelt = []
+    for form in EXPRESSIONS:
+        for name in "qpd":
+            form = form.replace(name, f"|{name}|")
+        spelt.append(F.concat(*[F.col(x).cast("string") if x in "qpd" and x else F.lit(x) for x in form.split("|")]))
+    rows = hard.lines(spark, sf_dir).select("key", "line", F.posexplode(F.array(*spelt)).alias("k", "expression"))
+    return rounded(rows.select("key", "line", "k", arith.value_of(F.col("expression")).alias("value")))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from marlstone.functions import rules as L
 from marlstone.functions import statistics as P
 from marlstone.functions import steps as E
 from marlstone.functions import text as T
-from marlstone.functions.arith import evaluate
+from marlstone.functions.arith import evaluate, value_of
+from marlstone.operators import extract, redundancy
 from marlstone.params import DEFAULTS, Params
 
 
@@ -179,3 +181,65 @@ def test_questions(spark):
 
 def test_snapshot_has_scalars_only():
     assert DEFAULTS.snapshot()["g_min"] == 0.5 and "z" in DEFAULTS.snapshot()
+
+
+# ------------------------------------------------------------ expressions and redundancy as columns
+EDGES = ["1+2", "12 * 50/60", "2**3**2", "-2**2", "2**-1", "-(2)**2", "2*-3**2", "7//2", "-7//2", "7//-2", "-321//(-210)//-15", "7.5//2", "0/0", "1/0", "0//0", "0*7.16/0//458", "012", "00", "1.2.3", "5 .", "2 3", "2(3)"]
+EDGES += ["((1+2)*3)", "(1+2", "1+2)", "()", "+", "--3", "2**0.5", "(-8)**(1/3)", "0**-1", "10/4*2", "99999999999999999999*99999999999999999999", "2**5000", "1e5", "3 boxes", "5-3-2", "8/2/2", "48-24", "12 * 50/60", "(1/100)*50", ".5+.5", "5.", "6/(3-3)", ""]
+
+
+def test_native_values_are_those_of_fractions(spark):
+    rng = random.Random(1)
+
+    def made(depth):
+        if not depth or rng.random() < 0.3:
+            return str(rng.choice([rng.randrange(20), rng.randrange(1000), round(rng.random() * 10, 2)]))
+        kind = rng.randrange(8)
+        return f"({made(depth - 1)})" if kind == 6 else f"-{made(depth - 1)}" if kind == 7 else made(depth - 1) + rng.choice([" + ", "-", "*", "/", "//"]) + made(depth - 1)
+
+    parts = ["1", "2", "12", "0.5", "7", "0", "+", "-", "*", "/", "**", "//", "(", ")", " "]
+    texts = EDGES + [made(4) for _ in range(300)] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", value_of(F.col("t")).alias("v")).collect()
+    for r in got:
+        want = evaluate(r.t)
+        if want is None or math.isnan(want):
+            assert r.v is None if want is None else math.isnan(r.v), r.t
+        else:
+            assert r.v == pytest.approx(want, rel=1e-12), r.t
+    assert spark.range(1).select(value_of(F.lit(None).cast("string")).alias("v")).first().v is None
+
+
+def test_native_redundancy_and_its_joins(spark):
+    rng = random.Random(2)
+    words = "12 24 36 total cost the box of pins is x 7 Ünï_code été ten".split()
+    rows = [[], ["a b"], ["1", "2"], ["12 34", "12 34"], ["12 34", "34 12"], ["", ""], ["!!", "12"], ["12", "12", "12", "!!"]]
+    rows += [[" ".join(rng.choice(words) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(9))] for _ in range(150)]
+    rows.append([f"line {i % 40} of {i % 7} items" for i in range(400)])
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, steps array<string>")
+    joined = {r.id: r for r in redundancy.redundancy(df, ["id"], "steps").collect()}
+    in_row = {r.id: r for r in df.where("size(steps) < 100").select("id", *[E.redundancy(F.col("steps"), v).alias(v) for v in E.VARIANTS]).collect()}
+    for i, steps in enumerate(rows):
+        for v in E.VARIANTS:
+            want = E.redundancy_of(steps, v, 0.9)
+            assert joined[i][v] == pytest.approx(want, abs=1e-9), (steps[:5], v)
+            assert i not in in_row or in_row[i][v] == pytest.approx(want, abs=1e-9)
+
+
+def test_pairs_of_steps_above_a_threshold(spark):
+    rng = random.Random(3)
+    rows = [(i, [" ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randrange(1, 6))) for _ in range(12)]) for i in range(30)]
+    weights = redundancy.unit_weights(redundancy.step_kinds(spark.createDataFrame(rows, "id int, steps array<string>"), ["id"], "steps"), ["id"])
+    every = {(r.id, r.i, r.j): r.cos for r in redundancy.pairs_sharing(weights, ["id"]).collect()}
+    for threshold in (0.5, 0.9):
+        got = {(r.id, r.i, r.j): r.cos for r in redundancy.step_pairs(weights, ["id"], threshold).collect()}
+        assert got == pytest.approx({k: v for k, v in every.items() if v > threshold})
+
+
+def test_band_join_finds_what_is_close(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 1e-9, -1e-9, 1.0, -1.0, 0.999999, 1.000001, 1e12, float("inf"), float("-inf"), float("nan"), None] + [rng.choice([-1, 1]) * 10 ** rng.uniform(-8, 6) for _ in range(150)]
+    for tol in (1e-6, 0.01, 0.3):
+        near = [v * (1 + rng.uniform(-2, 2) * tol) + rng.uniform(-2, 2) * tol if v is not None and abs(v) < 1e300 else v for v in values]
+        a, b = (spark.createDataFrame([("k", v) for v in x], "key string, value double") for x in (values, near))
+        got = sorted((r.wanted, r.near) for r in extract.matched_values(a, b, tol, "key").collect())
+        assert got == sorted((x, y) for x in near for y in values if x is not None and y is not None and math.isclose(x, y, rel_tol=tol, abs_tol=tol))
