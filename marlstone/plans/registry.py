@@ -404,6 +404,36 @@ def pairwise_similarity(spark, sf_dir):
     return rounded(retrieve.pairwise(vectors(spark, sf_dir), "category", "vec_id").where("cos > 0.3"))
 
 
+KNN_TEXTS_SQL = r"""with w as (select doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from documents),
+t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w), c as (select doc_id, term, count(*) as tf from t group by all),
+pool as (select * from c where doc_id % 2 = 1), pt as (select term, sum(tf) as total, count(*) as df from pool group by term), n as (select count(*) as n from documents where doc_id % 2 = 1),
+keys as (select doc_id as q, lang from documents where doc_id % 100 = 0), asked as (select doc_id as q, term, tf from c where doc_id % 100 = 0),
+x as (select q, term, 0 as own from keys, pt union all select q, term, tf from asked),
+y as (select q, x.term, sum(own) as tf, any_value(coalesce(total, 0)) + sum(own) as total, any_value(coalesce(df, 0)) + (sum(own) > 0)::int as df from x left join pt on pt.term = x.term group by q, x.term),
+v as (select q, term, tf, ln((2 + n) / (1 + df)::double) + 1 as idf from (select *, row_number() over (partition by q order by total desc, term) as r from y), n where r <= 512),
+qn as (select q, sqrt(sum(tf * idf * tf * idf)) as norm from v group by q),
+d as (select v.q, doc_id, sum(v.tf * idf * p.tf * idf) as dot, sqrt(sum(p.tf * idf * p.tf * idf)) as norm from v join pool p on p.term = v.term group by all),
+s as (select k.q, w.doc_id, coalesce(case when d.norm * qn.norm > 0 then d.dot / (d.norm * qn.norm) end, 0) as cos, k.lang = w.lang as same
+  from keys k join w on w.doc_id % 2 = 1 left join d on d.q = k.q and d.doc_id = w.doc_id left join qn on qn.q = k.q),
+r as (select q, doc_id, case when same then least(1, cos + 0.15) else cos end as score from s)
+select q as query_id, doc_id as cand_id, round(score, 6) as score, row_number() over (partition by q order by score desc, doc_id)::int as rank from r qualify rank <= 3"""
+
+
+def text_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stated queries - every id that 100 divides - and the documents of odd ids as what they are compared with."""
+    rows = table(spark, sf_dir, "documents")
+    queries = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"), F.col("lang").alias("category"))
+    return queries, rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("cand_id"), F.col("text").alias("question"), F.col("lang").alias("category"), F.col("doc_id").alias("pos"))
+
+
+@query(KNN_TEXTS_SQL)
+def knn_texts(spark, sf_dir):
+    """The nearest texts of each query, in vectors fitted on all candidates and the query itself."""
+    queries, pool = text_pool(spark, sf_dir)
+    index = staged(retrieve.postings(pool, "cand_id", "question"))
+    return rounded(retrieve.nearest_texts(queries, pool, index, 3).select("query_id", "cand_id", "score", "rank"))
+
+
 # ---------------------------------------------------------------- questions and texts
 TYPE_SQL = "case " + " ".join(f"when {' or '.join(f'''contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')''' for w in Q.CATEGORIES[name])} then '{name}'" for name in reversed(Q.CATEGORIES)) + " else 'arithmetic' end"
 RICH_SQL = (
@@ -934,7 +964,7 @@ def near_balances(spark, sf_dir):
 
 
 EXPRESSIONS = {
-    "(q + p) * d - q / 4": "(q + p) * d - q / 4.0::double", "-(q - p) ** 2": "-power(q - p, 2)", "q // 7 + -p // 3": "floor(q / 7.0::double) + floor(-p / 3.0::double)",
+    "(q + p) * d - q / 4": "(q + p) * d - q / 4.0::double", "-(q - p) ** 2": "0 - power(q - p, 2)", "q // 7 + -p // 3": "floor(q / 7.0::double) + floor(-p / 3.0::double)",
     "q - p - d * (p - (q + 2))": "q - p - d * (p - (q + 2))", "2 ** (d % 3)": "null", "q / (p - p)": "null", "q p": "null", "((q))": "q", ".5 * q + 1.25": "0.5::double * q + 1.25::double", "q / p / 2": "q / p::double / 2",
     "0q + 1": "null", "q * 1000000007 * 998244353 - q * 1000000007 * 998244353 + p": "p",
 }
