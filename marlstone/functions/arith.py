@@ -220,24 +220,25 @@ def _step(s: Column, token: Column) -> Column:
     def replaced(frame: Column, wants: bool, under: Column = below) -> Column:
         return state(F.concat(under, F.array(frame)), wants)
 
-    def with_value(f: Column, v: Column, under: Column) -> Column:
-        entry = F.array(F.struct(f["negative"].alias("negative"), v.alias("value")))
-        return replaced(_frame(f["total"], f["minus"], f["product"], f["by"], F.concat(f["tower"], entry)), False, under)
-
     def of(f: Column) -> Column:
+        return once(F.when(~wants & (token != "**"), _product(f)), lambda product: once(F.when(token.isin("+", "-", ")"), _sum(f["total"], f["minus"], product)), lambda closed: next_state(f, product, closed)))
+
+    def next_state(f: Column, product: Column, closed: Column) -> Column:
+        number = wants & token.rlike("^[.0-9]")
+        ends = ~wants & (token == ")") & (depth > 1)
+        outer, under = F.when(ends, F.element_at(stack, -2)).otherwise(f), F.slice(stack, 1, F.when(ends, depth - 2).otherwise(depth - 1))
+        entry = F.array(F.struct(outer["negative"].alias("negative"), F.when(ends, closed).otherwise(_read(token)).alias("value")))
+        with_value = _frame(outer["total"], outer["minus"], outer["product"], outer["by"], F.concat(outer["tower"], entry))
         signed = _frame(f["total"], f["minus"], f["product"], f["by"], f["tower"], f["negative"] != (token == "-"))
-        summed = _frame(_closed(f), token == "-")
-        multiplied = _frame(f["total"], f["minus"], _product(f), token)
-        outer = F.element_at(stack, -2)
+        summed, multiplied = _frame(closed, token == "-"), _frame(f["total"], f["minus"], product, token)
+        sign, operator = token.isin("+", "-"), ~wants & token.isin("*", "/", "//", "+", "-")
         return (
             F.when(~s["fine"], s)
-            .when(wants & token.rlike("^[.0-9]"), with_value(f, _read(token), below))
+            .when(number | ends, replaced(with_value, False, under))
             .when(wants & (token == "("), state(F.concat(stack, F.array(_frame())), True))
-            .when(wants & token.isin("+", "-"), replaced(signed, True))
-            .when(~wants & (token == ")") & (depth > 1), with_value(outer, _closed(f), F.slice(stack, 1, depth - 2)))
-            .when(~wants & (token == "**"), replaced(f, True))
-            .when(~wants & token.isin("*", "/", "//"), replaced(multiplied, True))
-            .when(~wants & token.isin("+", "-"), replaced(summed, True))
+            .when(wants & sign, replaced(signed, True))
+            .when(~wants & (token == "**"), state(stack, True))
+            .when(operator, replaced(F.when(sign, summed).otherwise(multiplied), True))
             .otherwise(F.struct(stack.alias("stack"), wants.alias("wants"), F.lit(False).alias("fine")).cast(_STATE))
         )
 

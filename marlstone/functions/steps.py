@@ -65,7 +65,8 @@ def step_terms(step: Column) -> Column:
     return F.regexp_extract_all(F.lower(step), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def _dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column) -> Column:
+    """Dot product of two lists of terms (t) with weights (w)."""
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x["w"] * F.aggregate(b, F.lit(0.0), lambda found, y: F.when(y["t"] == x["t"], y["w"]).otherwise(found)))
 
 
@@ -103,13 +104,13 @@ def redundancy(steps: Column, variant: str = "dup_fraction", threshold: float =
     def compared(kinds: Column) -> Column:
         n = F.size(steps)
         copies = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + k["n"] - 1)
-        best = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: F.greatest(acc, _dot(k["unit"], o["unit"]))))
+        best = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: F.greatest(acc, dot(k["unit"], o["unit"]))))
         if variant == "dup_fraction":
             repeated = F.size(F.filter(best, lambda b: b > threshold)) + (copies if threshold < 1 else 0)
             return 1.0 - repeated / (n - 1)
         if variant == "max":
             return F.greatest(F.lit(0.0), 1.0 - F.when(copies > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(best), F.lit(0.0))))
-        across = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: acc + o["n"] * _dot(k["unit"], o["unit"])) * k["n"] + k["n"] * (k["n"] - 1) / 2)
+        across = F.transform(kinds, lambda k, i: F.aggregate(earlier(kinds, i), F.lit(0.0), lambda acc, o: acc + o["n"] * dot(k["unit"], o["unit"])) * k["n"] + k["n"] * (k["n"] - 1) / 2)
         return F.greatest(F.lit(0.0), 1.0 - F.aggregate(across, F.lit(0.0), lambda acc, x: acc + x) / (n * (n - 1) / 2))
 
     bags = F.transform(steps, lambda s: F.array_sort(step_terms(s)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,21 @@ STOP_MARKERS = ("\nQuestion:", "\nQ:", "\nExample", "\nProblem:")
 CODE_FENCE = "\\begin{code}"
 
 
+_built: dict = {}
+
+
+def built(name, make):
+    """What ``make`` gives - columns that rest on names alone - made once an application: large expressions take
+    longer to put together than to run on a small table."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return make()
+    key = context.applicationId, name
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
 def once(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is read."""
     return F.get(F.transform(F.array(value), use), 0)

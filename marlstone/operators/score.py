@@ -9,7 +9,7 @@ from ..functions import numeric as N
 from ..functions import rules as L
 from ..functions.arith import evaluate_all
 from ..functions.steps import redundancy, split_steps
-from ..functions.text import normalize_math
+from ..functions.text import built, normalize_math
 from ..params import DEFAULTS, Params
 
 SIGNALS = ("E", "V", "R", "A", "G", "coherent", "correct", "final_answer", "misses", "bad_eqs", "n_steps", "n_checkpoints", "n_equations", "r_variant", "E_struct", "A_struct")
@@ -26,39 +26,48 @@ def how_many(items: Column, test) -> Column:
 
 def parsed(attempts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """What the signals are computed from, each text read once."""
-    trace, gold = F.coalesce("trace", F.lit("")), F.coalesce("gold_solution", F.lit(""))
-    if p.normalize_traces:
-        trace, gold = normalize_math(trace, p.vulgar_spacing), normalize_math(gold, p.vulgar_spacing)
-    rows = attempts.withColumn("trace_scored", trace).withColumn("gold_scored", gold)
-    rows = rows.withColumns(
-        {
+
+    def texts() -> dict[str, Column]:
+        trace, gold = F.coalesce("trace", F.lit("")), F.coalesce("gold_solution", F.lit(""))
+        if p.normalize_traces:
+            trace, gold = normalize_math(trace, p.vulgar_spacing), normalize_math(gold, p.vulgar_spacing)
+        return {"trace_scored": trace, "gold_scored": gold}
+
+    def parts() -> dict[str, Column]:
+        return {
             "values__": N.extract_values(F.col("trace_scored")),
             "question_values__": N.extract_values(F.coalesce("question", F.lit(""))),
             "terms__": N.gold_checkpoint_terms(F.col("gold_scored")),
             "lhs__": N.left_sides(F.col("trace_scored")),
             "steps__": split_steps(F.col("trace_scored"), p.step_split_sentences),
         }
-    )
-    rows = rows.withColumns({"lhs__": evaluate_all(F.col("lhs__")), "R": redundancy(F.col("steps__"), p.r_variant, p.dup_sim_threshold)})
-    return rows.withColumn("eqs__", N.equations(F.col("trace_scored"), F.col("lhs__"), p.equation_tol)).withColumn("checkpoints__", F.transform("terms__", lambda t: t["result"]))
+
+    def computed() -> dict[str, Column]:
+        return {"lhs__": evaluate_all(F.col("lhs__")), "R": redundancy(F.col("steps__"), p.r_variant, p.dup_sim_threshold)}
+
+    def stated() -> dict[str, Column]:
+        return {"eqs__": N.equations(F.col("trace_scored"), F.col("lhs__"), p.equation_tol), "checkpoints__": F.transform("terms__", lambda t: t["result"])}
+
+    for make in (texts, parts, computed, stated):
+        attempts = attempts.withColumns(built((make.__name__, p), make))
+    return attempts
 
 
 def signals(attempts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """``attempts`` (question, trace, gold_solution, gold_answer) with all signals and what they rest on."""
-    rows = parsed(attempts, p)
     tol = p.value_match_tol
-    eqs, values, checkpoints, terms = F.col("eqs__"), F.col("values__"), F.col("checkpoints__"), F.col("terms__")
-    n, n_eq = F.size(checkpoints), F.size(eqs)
-    true_eqs = F.filter(eqs, lambda e: e["is_true"])
 
-    def by_operands(g: Column, e: Column) -> Column:
-        return N.is_close(e["c"], g["result"], tol, tol) & (e["operands"] == g["operands"])
+    def first() -> dict[str, Column]:
+        eqs, values, checkpoints, terms = F.col("eqs__"), F.col("values__"), F.col("checkpoints__"), F.col("terms__")
+        n, n_eq = F.size(checkpoints), F.size(eqs)
+        true_eqs = F.filter(eqs, lambda e: e["is_true"])
+
+        def by_operands(g: Column, e: Column) -> Column:
+            return N.is_close(e["c"], g["result"], tol, tol) & (e["operands"] == g["operands"])
 
-    answer = N.final_answer(F.col("trace_scored"))
-    rows = rows.withColumns(
-        {
+        return {
             "hits__": how_many(checkpoints, lambda c: N.value_in(c, values, tol)),
-            "final_answer": answer,
+            "final_answer": N.final_answer(F.col("trace_scored")),
             "n_steps": F.size("steps__"),
             "n_checkpoints": n,
             "n_equations": n_eq,
@@ -70,17 +79,28 @@ def signals(attempts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             "A_struct": share(how_many(terms, lambda g: F.exists(true_eqs, lambda e: by_operands(g, e) & (F.size(F.array_except(g["ops"], e["ops"])) == 0))), n, 0),
             "r_variant": F.lit(p.r_variant),
         }
-    )
-    last = N.last(eqs)["c"]
-    coherent = F.when((F.size(eqs) > 0) & F.col("final_answer").isNotNull(), N.is_close(last, F.col("final_answer"), tol, tol))
-    return rows.withColumns({"E": share(F.col("hits__"), F.col("n_checkpoints"), 0), "misses": F.col("n_checkpoints") - F.col("hits__"), "coherent": coherent, "correct": N.is_correct(F.col("final_answer"), F.col("gold_answer"))})
+
+    def second() -> dict[str, Column]:
+        eqs = F.col("eqs__")
+        coherent = F.when((F.size(eqs) > 0) & F.col("final_answer").isNotNull(), N.is_close(N.last(eqs)["c"], F.col("final_answer"), tol, tol))
+        return {"E": share(F.col("hits__"), F.col("n_checkpoints"), 0), "misses": F.col("n_checkpoints") - F.col("hits__"), "coherent": coherent, "correct": N.is_correct(F.col("final_answer"), F.col("gold_answer"))}
+
+    rows = parsed(attempts, p)
+    for make in (first, second):
+        rows = rows.withColumns(built((make.__name__, p), make))
+    return rows
 
 
 def with_diagnosis(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    label = L.classify(*(F.col(c) for c in ("correct", "misses", "bad_eqs", "coherent", "R", "G")), p)
-    found = L.diagnose(*(F.col(c) for c in ("E", "V", "n_steps", "n_checkpoints", "G", "coherent", "n_equations")), p)
-    rows = rows.withColumn("label", label)
-    rows = rows.withColumn("found__", F.when(L.needs_diagnosis(F.col("label")), found))
+
+    def label() -> dict[str, Column]:
+        return {"label": L.classify(*(F.col(c) for c in ("correct", "misses", "bad_eqs", "coherent", "R", "G")), p)}
+
+    def found() -> dict[str, Column]:
+        return {"found__": F.when(L.needs_diagnosis(F.col("label")), L.diagnose(*(F.col(c) for c in ("E", "V", "n_steps", "n_checkpoints", "G", "coherent", "n_equations")), p))}
+
+    for make in (label, found):
+        rows = rows.withColumns(built((make.__name__, p), make))
     return rows.withColumns({"diagnosis": F.col("found__.ftype"), "diagnosis_reason": F.col("found__.reason"), "diagnosis_confidence": F.col("found__.confidence")})
 
 

@@ -608,7 +608,28 @@ def chat_turns(spark, sf_dir):
     return rows.select("id", F.posexplode(turns).alias("pos", "t")).select("id", "pos", "t.role", F.length("t.content").alias("n_chars"))
 
 
-@query()
+NAMING_SQL = "(" + " or ".join(f"contains(lower(question || ' ' || trace), '{w}')" for w in Q.NAMING) + ")"
+RETRY_SQL = (
+    f"with {SCORED}, {TEXTS}, {ALLOT_SQL}, "
+    + f"""pooled as (select t.key as pos, question, trace, V, n_equations, n_steps, n_checkpoints from first_tries join texts t using (key) where label = 'GOOD'),
+seeded as (select doc_id as pos, text as question, '' as trace from a join documents on doc_id = original_index where strategy_id = 2),
+kind(ftype) as (values ('NR'), ('SM'), ('CE'), ('ST'), ('UNCLASSIFIED')),
+fitting as (select ftype, 0 as prio, pos, question, trace from pooled, kind where case ftype when 'NR' then n_equations <= 2 and {NAMING_SQL}
+    when 'SM' then len(regexp_extract_all(question, '[0-9]+(?:[.][0-9]+)?')) >= 3 and n_equations <= 2 and {NAMING_SQL} when 'CE' then V >= 0.85::double and n_equations >= 1
+    when 'ST' then n_steps >= greatest(n_checkpoints, 1) else false end
+  union all select ftype, 1, pos, question, trace from seeded, kind where case ftype when 'NR' then {NAMING_SQL} when 'SM' then len(regexp_extract_all(question, '[0-9]+(?:[.][0-9]+)?')) >= 3 and {NAMING_SQL} else false end
+  union all select ftype, 2, pos, question, trace from seeded, kind),
+few as (select * from fitting qualify row_number() over (partition by ftype, prio order by pos) <= case prio when 0 then 8 else 16 end),
+once as (select *, min(prio) over (partition by ftype, question) as earliest, row_number() over (partition by ftype, question, prio order by pos) as seen from few),
+shown_to as (select *, row_number() over (partition by ftype order by prio, pos) as place from once where prio = 0 or (prio = earliest and seen = 1) qualify place <= 8),
+block as (select ftype, count(*) as n, string_agg('Example ' || place || ':\nQuestion: ' || question || '\nSolution: ' || trace || '\n\n', '' order by place) as text from shown_to group by ftype),
+queue as (select id, key, coalesce(diagnosis, 'UNCLASSIFIED') as ftype from first_tries where label <> 'GOOD')
+select queue.id, ftype, coalesce(block.n, 0)::int as typed_positives, md5('{prompts.HEADER.replace("'", "''")}' || coalesce(block.text, '') || 'Question: ' || question || '\nSolution:') as prompt_md5,
+  case ftype {" ".join(f"when '{k}' then '{v}'" for k, v in L.INSTRUCTION.items())} end as extra_system from queue join texts using (key) left join block using (ftype)"""
+)
+
+
+@query(RETRY_SQL)
 def retry_prompts(spark, sf_dir):
     rows = staged(scored_attempts(spark, sf_dir))
     pool = rows.where("label = 'GOOD'").select("question", "trace", F.col("eval_index").alias("pos"), F.struct("V", "n_equations", "n_steps", "n_checkpoints").alias("signals"))
@@ -982,3 +1003,60 @@ def expression_values(spark, sf_dir):
         spelt.append(F.concat(*[F.col(x).cast("string") if x in "qpd" and x else F.lit(x) for x in form.split("|")]))
     rows = hard.lines(spark, sf_dir).select("key", "line", F.posexplode(F.array(*spelt)).alias("k", "expression"))
     return rounded(rows.select("key", "line", "k", arith.value_of(F.col("expression")).alias("value")))
+
+
+# ---------------------------------------------------------------- a run whose prompts decide
+SHIPPED, PLACES, ROUNDS = ("crates", "lamps", "books", "tiles", "ropes", "coins", "chairs"), ("harbour", "station", "market", "castle", "valley"), 4
+
+
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A problem for each supplier."""
+    s = F.col("s_suppkey")
+    item, where = F.get(F.array(*map(F.lit, SHIPPED)), (s % 7).cast("int")), F.get(F.array(*map(F.lit, PLACES)), F.col("s_nationkey") % 5)
+    rows = table(spark, sf_dir, "supplier").select(s.alias("eval_index"), (2 + s % 41).alias("q"), (3 + 7 * s % 53).alias("p"), item.alias("item"), where.alias("place"))
+    text = source.text("Supplier ", F.col("eval_index"), " of the ", F.col("place"), " ships ", F.col("q"), " boxes of ", F.col("p"), " ", F.col("item"), ". How many ", F.col("item"), " are there?")
+    r = F.col("q") * F.col("p")
+    return rows.select(source.text("s", F.col("eval_index")).alias("id"), "eval_index", text.alias("question"), source.text("<<", F.col("q"), "*", F.col("p"), "=", r, ">>", r, "\n#### ", r).alias("gold_solution"), r.cast("double").alias("gold_answer"))
+
+
+def led_by_examples(asked: DataFrame) -> DataFrame:
+    """A generator that goes by its prompt: whether it calculates right depends on the supplier of the first example."""
+    own, shown = (F.regexp_extract(c, "Supplier ([0-9]+) of", 1).cast("long") for c in ("question", "prompt"))
+    q, p = (F.regexp_extract("question", f"{word} ([0-9]+) ", 1).cast("long") for word in ("ships", "boxes of"))
+    r = q * p + F.when((own + shown) % 3 == 0, 1).otherwise(0)
+    return asked.withColumn("traces", F.array(source.text(q, " * ", p, " = ", r, "\n#### ", r)))
+
+
+def led_sql(rounds: int) -> str:
+    """The rounds one after the other: each problem's nearest solved one of the rounds before, in vectors of these and itself."""
+    item, where = (f"[{', '.join(repr(x) for x in words)}]" for words in (SHIPPED, PLACES))
+    parts = [
+        f"""p as (select s_suppkey as s, 'Supplier ' || s_suppkey || ' of the ' || {where}[s_nationkey % 5 + 1] || ' ships ' || (2 + s_suppkey % 41) || ' boxes of ' || (3 + 7 * s_suppkey % 53) || ' ' || {item}[s_suppkey % 7 + 1] || '. How many ' || {item}[s_suppkey % 7 + 1] || ' are there?' as text from supplier)""",
+        f"b as (select ceil((max(s) + 1) / {rounds}.0)::bigint as size from p)",
+        f"k as (select s, text, {TYPE_SQL} as kind, s // size as turn, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as w from p, b)",
+        "c as (select s, term, count(*) as tf from (select s, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from k) group by all)",
+        "done0 as (select s, turn, (2 * s) % 3 <> 0 as ok from k where turn = 0)",
+    ]
+    for r in range(1, rounds):
+        parts.append(
+            f"""pool{r} as (select s from done{r - 1} where ok), post{r} as (select c.* from c join pool{r} using (s)), n{r} as (select count(*) as n from pool{r}),
+pt{r} as (select term, sum(tf) as total, count(*) as df from post{r} group by term), ask{r} as (select c.s as q, term, tf from c join k using (s) where turn = {r}),
+x{r} as (select q, term, 0 as own from (select distinct q from ask{r}), pt{r} union all select q, term, tf from ask{r}),
+y{r} as (select q, x.term, sum(own) as tf, any_value(coalesce(total, 0)) + sum(own) as total, any_value(coalesce(df, 0)) + (sum(own) > 0)::int as df from x{r} x left join pt{r} pt on pt.term = x.term group by q, x.term),
+v{r} as (select q, term, tf, ln((2 + n) / (1 + df)::double) + 1 as idf from (select *, row_number() over (partition by q order by total desc, term) as place from y{r}), n{r} where place <= 512),
+qn{r} as (select q, sqrt(sum(tf * idf * tf * idf)) as norm from v{r} group by q),
+d{r} as (select v.q, s, sum(v.tf * idf * p.tf * idf) as dot, sqrt(sum(p.tf * idf * p.tf * idf)) as norm from v{r} v join post{r} p on p.term = v.term group by all),
+s{r} as (select a.s as q, pool{r}.s, round(coalesce(d.dot / (d.norm * qn.norm), 0), 9) as cos, a.kind = e.kind as same from k a cross join pool{r} join k e on e.s = pool{r}.s left join d{r} d on d.q = a.s and d.s = pool{r}.s left join qn{r} qn on qn.q = a.s where a.turn = {r}),
+best{r} as (select q, s from s{r} qualify row_number() over (partition by q order by case when same then least(1, cos + 0.15) else cos end desc, s) = 1),
+done{r} as materialized (select * from done{r - 1} union all select k.s, turn, (k.s + coalesce(best{r}.s, k.s)) % 3 <> 0 from k left join best{r} on best{r}.q = k.s where turn = {r})"""
+        )
+    return f"with {', '.join(parts)} select 's' || s as id, ok as correct, case when ok then 'GOOD' else 'other' end as label from done{rounds - 1}"
+
+
+@query(led_sql(ROUNDS))
+def pool_run(spark, sf_dir):
+    """Four rounds of a run in which each round's pool decides what the next one's prompts show."""
+    problems = supplies(spark, sf_dir)
+    batch = problems.agg(F.ceil((F.max("eval_index") + 1) / ROUNDS).alias("n")).first().n
+    run = runs.full_run(problems, 13, led_by_examples, None, iterations=0, batch=batch, retrieval="knn")
+    return run.results.select("id", "correct", F.when(F.col("label") == L.GOOD, L.GOOD).otherwise("other").alias("label"))

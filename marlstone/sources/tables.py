@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -128,16 +130,37 @@ def generated(prompts: DataFrame, generate: Callable, schema: str) -> DataFrame:
     return prompts.mapInPandas(generate, schema)
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the shared folder and read back: what several consumers read is computed once,
-    and a lost executor costs no recomputation."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return folder
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back: what several consumers read is computed once,
+    and a lost executor costs no recomputation."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+class Growing:
+    """A staged table that grows by appended parts and is read as one: a part costs what it holds, and what was
+    read before an append does not change."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", None
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+        self.schema = rows.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
