@@ -53,21 +53,47 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     return rows.groupBy(batch).agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"), F.avg("E").alias("mean_e"), F.avg("V").alias("mean_v"), F.avg("G").alias("mean_g"))
 
 
+def sums_before(sums: DataFrame, keys: list[str], at: str, values: list[str], buckets: int, levels: int) -> DataFrame:
+    """``sums`` (keys, at, values), one row for each ``at``, with ``<value>_before``: the sums of all rows of lower ``at``.
+
+    A window holds ``buckets`` rows at most on all levels but the last: rows are summed by ranges of ``at``, these by ranges of ranges, and each level
+    is told by the one above what lies before it.
+    """
+    up = f"up{levels}__"
+    names = [f"{v}_before" for v in values]
+    before = Window.partitionBy(*keys, *([up] if levels else [])).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inner = [F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values]
+    if not levels:
+        return sums.withColumns(dict(zip(names, inner)))
+    own = sums.withColumn(up, F.floor(F.col(at) / buckets))
+    above = own.groupBy(*keys, up).agg(*[F.sum(v).alias(v) for v in values])
+    told = sums_before(above, keys, up, values, buckets, levels - 1).drop(*values)
+    told = told.select(*[F.col(c).alias(f"{c}_told") for c in [*keys, up]], *[F.col(n).alias(f"{n}_told") for n in names])
+    on = F.col(up) == F.col(f"{up}_told")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_told"))
+    joined = own.withColumns(dict(zip(names, inner))).join(told, on)
+    return joined.select(*sums.columns, *[(F.col(n) + F.col(f"{n}_told")).alias(n) for n in names])
+
+
 def running_accuracy(rows: DataFrame, order: str, group: str | None = None, buckets: int = 1024) -> DataFrame:
     """Accuracy up to each row, in order.
 
-    Sums of ranges of the order are taken first, so that no window covers the whole table.
+    Sums of ranges of the order are taken first, and sums of ranges of these, so that no window covers the
+    whole table, with or without a group.
     """
-    part = F.floor(F.col(order) / buckets)
     keys = [group] if group else []
-    own = rows.withColumn("part__", part)
+    own = rows.withColumn("part__", F.floor(F.col(order) / buckets))
     sums = own.groupBy(*keys, "part__").agg(F.count("*").alias("n__"), F.count_if("correct").alias("k__"))
-    before = Window.partitionBy(*keys).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "part__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("n0__"), F.coalesce(F.sum("k__").over(before), F.lit(0)).alias("k0__"))
+    sums = sums_before(sums, keys, "part__", ["n__", "k__"], buckets, 3).drop("n__", "k__")
+    told = sums.select(*[F.col(c).alias(f"{c}_told") for c in [*keys, "part__"]], "n___before", "k___before")
+    on = F.col("part__") == F.col("part___told")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_told"))
     inner = Window.partitionBy(*keys, "part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = own.join(sums, [*keys, "part__"])
-    joined = joined.withColumn("seen", F.col("n0__") + F.count("*").over(inner)).withColumn("solved", F.col("k0__") + F.sum(F.col("correct").cast("long")).over(inner))
-    return joined.withColumn("running_acc", F.col("solved") / F.col("seen")).drop("part__", "n0__", "k0__")
+    counted = own.withColumn("seen", F.count("*").over(inner)).withColumn("solved", F.sum(F.col("correct").cast("long")).over(inner))
+    joined = counted.join(told, on).withColumn("seen", F.col("n___before") + F.col("seen")).withColumn("solved", F.col("k___before") + F.col("solved"))
+    return joined.withColumn("running_acc", F.col("solved") / F.col("seen")).select(*rows.columns, "seen", "solved", "running_acc")
 
 
 def solved_ids(*tables: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from ..operators import aggregates as A
 from ..operators import extract, prompts, redundancy, retrieve, retry, route, runs, seeds, stats
 from ..operators.score import diagnosis_counts, score
 from ..sources.tables import staged
+from ..streaming import keyed
 from . import attempts as source
 from . import hard
 from .oracle import SCORED, TEXTS, scored
@@ -1060,3 +1062,26 @@ def pool_run(spark, sf_dir):
     batch = problems.agg(F.ceil((F.max("eval_index") + 1) / ROUNDS).alias("n")).first().n
     run = runs.full_run(problems, 13, led_by_examples, None, iterations=0, batch=batch, retrieval="knn")
     return run.results.select("id", "correct", F.when(F.col("label") == L.GOOD, L.GOOD).otherwise("other").alias("label"))
+
+
+# ---------------------------------------------------------------- state of streams
+@query("select case when turn % 3 = 0 then 'pool' when turn % 3 = 1 then 'medium' else 'bad' end as bucket, 'c' || conv_id as id, min(turn) as turn from conversations group by all")
+def stream_new_records(spark, sf_dir):
+    """The first record of each bucket and id, by a stream that keeps which it has seen."""
+    rows = keyed.table_stream(spark, sf_dir, "conversations")
+    named = F.when(F.col("turn") % 3 == 0, "pool").when(F.col("turn") % 3 == 1, "medium").otherwise("bad")
+    records = rows.select(named.alias("bucket"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "turn")
+    return keyed.drained(keyed.first_records(records, "turn"), uuid.uuid4().hex)
+
+
+@query(ORACLE_SQL["first_solves"])
+def stream_first_solves(spark, sf_dir):
+    """First solves of each id, by a stream that keeps which are solved; the table comes as one batch."""
+    rows = keyed.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", (F.col("value") > 50).alias("correct"))
+    return keyed.drained(keyed.first_solves(rows, "event_id"), uuid.uuid4().hex)
+
+
+@query(scored("select id, count(*) over w as seen, (count(*) filter (correct) over w) as solved from first_tries window w as (order by key)"))
+def running_accuracy_of_all(spark, sf_dir):
+    """Accuracy up to each attempt over one order of all."""
+    return A.running_accuracy(first_tries(spark, sf_dir), "eval_index", buckets=64).select("id", "seen", "solved")
