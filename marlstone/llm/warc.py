@@ -4,7 +4,7 @@ Writing.  Pages with equal payloads of at least ``LEAST`` bytes share one respon
 smallest id; the others are revisit records that refer to it.  A record is a row of Spark's text sink, whose line
 separator is the two line ends between records, so tasks write files of their own under its commit protocol.
 
-Reading.  Archives are split like any text, at two line ends and ``WARC/1.``, where a record may begin;
+Reading.  Archives are split like any text, at a line end and ``WARC/1.``, where a record may begin;
 payloads may hold the same bytes.  Each task tells where the candidates of its split lie and how long their
 headers say that they are, and so the offset of their successors.  Where each candidate's chain leaves its
 split (its *exit*) is found split by split; exits are pointers between splits, and pointer jumping over them
@@ -35,6 +35,9 @@ from pyspark.sql import functions as F
 from .common import byte_rows, cut, drop, few_or_joined, shared_folder, small_batches
 
 END, MAGIC = b"\r\n\r\n", b"WARC/1."
+#: What stands before the magic in the separator that texts are read by.  It is one character, as Hadoop's reader
+#: loses separators that begin with a part of themselves at the edges of splits.
+EDGE = b"\n"
 LEAST = 100
 #: Rows of a table that may be broadcast, of about 100 bytes each.
 FEW = 200_000
@@ -115,7 +118,7 @@ def same_splits(spark: SparkSession):
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """The texts between places where a record may begin, in the order of each split."""
-    text = small_batches(spark.read.option("lineSep", (END + MAGIC).decode()).text(path))
+    text = small_batches(spark.read.option("lineSep", (EDGE + MAGIC).decode()).text(path))
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), "value")
 
 
@@ -129,7 +132,7 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, b
             data = value if starts else MAGIC + value  # a file's first text follows no separator
             starts = False
             yield file, begin, local, data
-            local += len(data) + len(END)
+            local += len(data) + len(EDGE)
 
 
 def parsed_header(data: bytes) -> tuple[int, int, dict[str, str]] | None:
@@ -137,7 +140,10 @@ def parsed_header(data: bytes) -> tuple[int, int, dict[str, str]] | None:
     if not re.match(rb"WARC/1\.[01]\r\n", data):
         return None
     end = data.find(END)
-    end = len(data) if end < 0 else end  # then the separator that follows is the header's end
+    if end < 0 and data.endswith(END[:-1]):  # the last of its line ends is in the separator that follows
+        end = len(data) - len(END) + 1
+    if end < 0:
+        return None
     fields: dict[str, str] = {}
     for row in data[:end].split(b"\r\n")[1:]:
         name, colon, value = row.partition(b":")
@@ -174,7 +180,7 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for file, begin, local, data in placed(batches):
         head, size, fields = parsed_header(data) or (-1, -1, {})
-        whole = head >= 0 and head + size in (len(data), len(data) - len(END))  # a file's last one has its own end
+        whole = head >= 0 and len(data) - head - size in (len(END) - len(EDGE), len(END))  # a file's last one has all of its end
         rows.append((file, begin, local, len(data), head, size, *(described(data[head : head + size], fields) if whole else nothing)))
         if len(rows) >= 4096:
             yield table_of(rows, CHUNK)
@@ -235,7 +241,7 @@ def put_together(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
 
     def joined(part: pa.Table) -> pa.Table:
         part = part.sort_by("pos")
-        data = END.join(part["data"].to_pylist())
+        data = EDGE.join(part["data"].to_pylist())
         head, size, fields = parsed_header(data)
         return pa.Table.from_batches([table_of([(part["file"][0].as_py(), part["owner"][0].as_py(), size, *described(data[head : head + size], fields))], RECORD)])
 
@@ -249,7 +255,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     with same_splits(spark):
         seen = cut(chunks(spark, path).mapInArrow(candidates, CHUNK))
         by_file = Window.partitionBy("file")  # a row for each split
-        sizes = seen.groupBy("file", "begin").agg(F.sum(F.col("extent") + len(END)).alias("size"))
+        sizes = seen.groupBy("file", "begin").agg(F.sum(F.col("extent") + len(EDGE)).alias("size"))
         splits = cut(sizes.select("file", "begin", (F.sum("size").over(by_file.orderBy("begin")) - F.col("size")).alias("base"), F.count("*").over(by_file).alias("n")))
         rounds = max(0, (splits.agg(F.max("n").alias("n")).first().n or 0) - 1).bit_length()
         known = seen.join(splits.drop("n"), ["file", "begin"]).withColumn("pos", F.col("base") + F.col("local"))
