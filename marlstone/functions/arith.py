@@ -166,7 +166,8 @@ def _floored(a: Column, b: Column) -> Column:
 
 
 def _power(a: Column, b: Column) -> Column:
-    bits = F.when(a["n"].isNotNull() & b["n"].isNotNull() & (a["n"] != 0), F.abs(b["x"]) * (F.floor(F.log2(F.abs(a["x"]))) + 1))
+    size = F.when(a["n"] == 0, 1).otherwise(F.floor(F.log2(F.abs(a["x"]))) + 1)
+    bits = F.when(a["n"].isNotNull() & b["n"].isNotNull(), F.abs(b["x"]) * size)
 
     def bounded(x: Column) -> Column:
         good = ~F.isnan(x) & (F.abs(x) != float("inf")) & (F.coalesce(bits, F.lit(0)) <= MOST_BITS)
