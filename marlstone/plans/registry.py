@@ -1034,8 +1034,8 @@ def led_sql(rounds: int) -> str:
     item, where = (f"[{', '.join(repr(x) for x in words)}]" for words in (SHIPPED, PLACES))
     parts = [
         f"""p as (select s_suppkey as s, 'Supplier ' || s_suppkey || ' of the ' || {where}[s_nationkey % 5 + 1] || ' ships ' || (2 + s_suppkey % 41) || ' boxes of ' || (3 + 7 * s_suppkey % 53) || ' ' || {item}[s_suppkey % 7 + 1] || '. How many ' || {item}[s_suppkey % 7 + 1] || ' are there?' as text from supplier)""",
-        f"b as (select ceil((max(s) + 1) / {rounds}.0)::bigint as size from p)",
-        f"k as (select s, text, {TYPE_SQL} as kind, s // size as turn, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as w from p, b)",
+        f"b as (select min(s) as lo, ceil((max(s) + 1 - min(s)) / {rounds}.0)::bigint as size from p)",
+        f"k as (select s, text, {TYPE_SQL} as kind, (s - lo) // size as turn, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as w from p, b)",
         "c as (select s, term, count(*) as tf from (select s, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from k) group by all)",
         "done0 as (select s, turn, (2 * s) % 3 <> 0 as ok from k where turn = 0)",
     ]
@@ -1059,7 +1059,7 @@ done{r} as materialized (select * from done{r - 1} union all select k.s, turn, (
 def pool_run(spark, sf_dir):
     """Four rounds of a run in which each round's pool decides what the next one's prompts show."""
     problems = supplies(spark, sf_dir)
-    batch = problems.agg(F.ceil((F.max("eval_index") + 1) / ROUNDS).alias("n")).first().n
+    batch = problems.agg(F.ceil((F.max("eval_index") + 1 - F.min("eval_index")) / ROUNDS).alias("n")).first().n
     run = runs.full_run(problems, 13, led_by_examples, None, iterations=0, batch=batch, retrieval="knn")
     return run.results.select("id", "correct", F.when(F.col("label") == L.GOOD, L.GOOD).otherwise("other").alias("label"))
 
