@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import d
+from .text import once
 
 TERMS = 600
 
@@ -49,8 +51,15 @@ def binomial_p(few: Column, n: Column) -> Column:
     return F.when(n == 0, d(1)).otherwise(F.least(d(1), 2 * F.aggregate(counting(few), start, add, lambda acc: acc["sum"])))
 
 
+#: Up to here log factorials are tabled; beyond, the terms of Stirling's series that are used are exact to a double.
+TABLED = 256
+
+
 def log_factorial(n: Column) -> Column:
-    return F.aggregate(counting(n), d(0), lambda acc, i: acc + F.log(i.cast("double")))
+    x = F.greatest(n, F.lit(TABLED)).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    table = F.array(*[d(math.lgamma(i + 1)) for i in range(TABLED + 1)])
+    return F.when(n <= TABLED, F.get(table, n.cast("int"))).otherwise(series)
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -58,20 +67,28 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def fisher_p(a: Column, b: Column, c: Column, e: Column) -> Column:
-    """Two-sided exact p of the table [[a, b], [c, e]]."""
+    """Two-sided exact p of the table [[a, b], [c, e]]: one pass over the tables with the same margins, each by itself."""
     r1, r2, c1, n = a + b, c + e, a + c, a + b + c + e
     lo, hi = F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)
-    first = log_choose(r1, lo) + log_choose(r2, c1 - lo) - log_choose(n, c1)
-    start = F.struct(first.alias("log"), F.array(first).alias("all"))
 
-    def add(acc: Column, i: Column) -> Column:
-        x = lo + i - 1
-        step = acc["log"] + F.log((r1 - x).cast("double")) + F.log((c1 - x).cast("double")) - F.log((x + 1).cast("double")) - F.log((r2 - c1 + x + 1).cast("double"))
-        return F.struct(step.alias("log"), F.concat(acc["all"], F.array(step)).alias("all"))
+    def summed(margins: Column) -> Column:
+        def log_p(x: Column) -> Column:
+            cells = (x, margins["r1"] - x, margins["c1"] - x, margins["r2"] - margins["c1"] + x)
+            return margins["whole"] - reduce(lambda s, cell: s + log_factorial(cell), cells[1:], log_factorial(cells[0]))
+
+        def of(seen: Column) -> Column:
+            def add(acc: Column, x: Column) -> Column:
+                return acc + F.get(F.transform(F.array(log_p(x)), lambda p: F.when(p <= seen, F.exp(p)).otherwise(0.0)), 0)
+
+            return F.aggregate(F.sequence(margins["lo"], margins["hi"]), d(0), add)
+
+        # two tables of one probability differ by what sums of logs this large are rounded by
+        slack = F.greatest(d(math.log1p(1e-9)), F.abs(margins["whole"]) * 1e-14)
+        return once(log_p(margins["a"]) + slack, of)
 
-    logs = F.aggregate(counting(hi - lo), start, add, lambda acc: acc["all"])
-    seen = F.element_at(logs, (a - lo + 1).cast("int"))
-    return F.least(d(1), F.aggregate(F.filter(logs, lambda x: x <= seen + math.log1p(1e-9)), d(0), lambda acc, x: acc + F.exp(x)))
+    whole = log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(n - c1) - log_factorial(n)
+    given = F.struct(a.alias("a"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), lo.alias("lo"), hi.alias("hi"), whole.alias("whole"))
+    return F.least(d(1), once(given, summed))
 
 
 def log_gamma_half(k: Column) -> Column:
