@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from marlstone.functions import steps as E
 from marlstone.functions import text as T
 from marlstone.functions.arith import evaluate, value_of
 from marlstone.operators import extract, redundancy
+from marlstone.operators.score import score
 from marlstone.params import DEFAULTS, Params
 
 
@@ -243,3 +246,21 @@ def test_band_join_finds_what_is_close(spark):
         a, b = (spark.createDataFrame([("k", v) for v in x], "key string, value double") for x in (values, near))
         got = sorted((r.wanted, r.near) for r in extract.matched_values(a, b, tol, "key").collect())
         assert got == sorted((x, y) for x in near for y in values if x is not None and y is not None and math.isclose(x, y, rel_tol=tol, abs_tol=tol))
+
+
+def test_redundancy_of_nearly_equal_steps(spark):
+    """What the quick bound rules out has no pair above the threshold; labels need no operators of equations."""
+    steps = ["12 * 30 = 360", "12 * 30 = 361", "12 + 30 = 42 apples", "360 + 42 = 402", "we add 360 and 42", "we add 360 and 43", "so so so", "so so", "é 12 30 360", "?"]
+    lists = [list(c) for n in (2, 3, 4) for c in itertools.combinations(steps, n)] + [steps, steps * 2]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(lists)], "i int, steps array<string>").select("i", E.redundancy(F.col("steps")).alias("r")).collect()
+    assert all(r.r == pytest.approx(E.redundancy_of(lists[r.i], "dup_fraction", 0.9)) for r in got)
+    rows = spark.createDataFrame([("a", "2 * 3 = 6\n#### 6", "<<2*3=6>>6\n#### 6", 6.0)], "question string, trace string, gold_solution string, gold_answer double")
+    assert "[-+*/]," not in score(rows).select("label")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fisher_of_large_counts(spark):
+    """A million rows: before, every table with the margins was added to a list that was copied each time."""
+    at = time.time()
+    got = value(spark, P.fisher_p(*(F.lit(x).cast("long") for x in (150_300, 149_700, 349_700, 350_300))))
+    assert got == pytest.approx(0.191170, abs=1e-6) and time.time() - at < 60
+    assert value(spark, P.fisher_p(*(F.lit(x).cast("long") for x in (300, 300, 300, 300)))) == pytest.approx(1.0)
