@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,29 @@ def test_top_up_leaves_out_repeats(spark):
     a = spark.createDataFrame([(1, "x", 0), (1, "y", 1)], "query_id int, question string, pos int")
     b = spark.createDataFrame([(1, "y", 0), (1, "z", 1), (1, "w", 2)], "query_id int, question string, pos int")
     assert [r.question for r in retrieve.topped_up(a, b, k=3).orderBy("place").collect()] == ["x", "y", "z"]
+
+
+def test_blocks_of_pairs_and_texts_change_nothing(spark, monkeypatch):
+    """Small blocks and chunks give what one block gives; a vector that is null or has a null has no pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(50, "a", None), (51, "a", [1.0, None, 1.0, 1.0]), (52, None, [1.0] * 4), (53, "b", [1.0] * 3)]
+    table = spark.createDataFrame(rows, "i long, g string, vec array<double>")
+    want = {(r.g, r.i, r.j): r.cos for r in retrieve.pairwise(table, "g", "i").where("cos > 0.3").collect()}
+    for most in (4096, 7):
+        monkeypatch.setattr(retrieve, "VECTORS", most)
+        got = {(r.g, r.i, r.j): r.cos for r in retrieve.similar_pairs(table, "g", "i", 0.3).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    words = ["red", "blue", "box", "car", "sun", "sea"]
+    texts = [(i, " ".join(words[(i * j + j) % 6] for j in range(i % 5 + 1)), "xy"[i % 2] if i % 7 else None, i) for i in range(60)]
+    pool = spark.createDataFrame(texts, "cand_id long, question string, category string, pos long")
+    queries = pool.where("cand_id % 6 = 0").selectExpr("cand_id as query_id", "question", "category")
+    index = retrieve.postings(pool, "cand_id", "question")
+    found = []
+    for block, chunk in ((16_384, 32_768), (9, 4)):
+        monkeypatch.setattr(retrieve, "BLOCK", block)
+        monkeypatch.setattr(retrieve, "CHUNK", chunk)
+        best = retrieve.nearest_texts(queries, pool, index, 3)
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in plan
+        found.append(sorted(tuple(r) for r in best.select("query_id", "rank", "cand_id", "score").collect()))
+    assert found[0] == found[1] and len(found[0]) == 30
