@@ -15,10 +15,14 @@ from ..params import DEFAULTS, Params
 
 
 def rows_of(table: DataFrame, found: Column, *keys: str) -> DataFrame:
-    """``keys`` with ``place`` (from 0) and ``item`` for each element of an array of each row."""
+    """``keys`` with ``place`` (from 0) and ``item`` for each element of an array of each row.
+
+    Rows without any are dropped afterwards: a plain explode is given a filter on its array, which moves down to the scan
+    and reads every text once more there, with whatever the text is made of.
+    """
     named = table.select(*keys, found.alias("found__"))
-    function = table.sparkSession.tvf.posexplode(F.col("found__").outer()).toDF("place", "item")
-    return named.lateralJoin(function).select(*keys, "place", "item")
+    function = table.sparkSession.tvf.posexplode_outer(F.col("found__").outer()).toDF("place", "item")
+    return named.lateralJoin(function).where(F.col("place").isNotNull()).select(*keys, "place", "item")
 
 
 def value_rows(table: DataFrame, text: str, *keys: str) -> DataFrame:

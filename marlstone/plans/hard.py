@@ -15,9 +15,12 @@ from .attempts import text
 KINDS = 12
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The lines' numbers; ``dealt`` over as many parts as shuffles have: a file of one row group is one task, and what is read from texts costs far more than reading it."""
     q, p, d = F.col("l_quantity").cast("int"), (1 + F.col("l_partkey") % 97).cast("int"), F.round(F.col("l_discount") * 100).cast("int")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), q.alias("q"), p.alias("p"), d.alias("d"))
+    if dealt:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "line")
     return rows.withColumn("kind", ((7 * F.col("key") + F.col("line") + F.col("q")) % KINDS).cast("int"))
 
 
@@ -26,7 +29,7 @@ def hundredths(value: Column) -> Column:
     return F.concat(F.expr("d * p div 100").cast("string"), F.lit("."), F.lpad((value % 100).cast("string"), 2, "0"))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traces(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     q, p, d = F.col("q"), F.col("p"), F.col("d")
     r, part = q * p, hundredths(d * p)
     trace = [
@@ -50,7 +53,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = F.when(F.col("kind") == kind, t).otherwise(chosen)
         solution = F.when(F.col("kind") == kind, gold.get(kind, other)).otherwise(solution)
     question = text("Take ", q, " and ", p, ".")
-    return lines(spark, sf_dir).select("key", "line", "kind", "q", "p", "d", question.alias("question"), solution.alias("gold_solution"), r.cast("double").alias("gold_answer"), chosen.alias("trace"))
+    return lines(spark, sf_dir, dealt).select("key", "line", "kind", "q", "p", "d", question.alias("question"), solution.alias("gold_solution"), r.cast("double").alias("gold_answer"), chosen.alias("trace"))
 
 
 #: The same from the numbers: what each kind of trace says.
