@@ -63,7 +63,9 @@ def extract_values(text: Column) -> Column:
 
 def value_in(value: Column, pool: Column, tol: float) -> Column:
     same = F.coalesce(F.array_contains(pool, value), F.lit(False)) & ~F.isnan(value)
-    return same | F.exists(pool, lambda v: is_close(v, value, tol, tol))
+    # nothing farther away than this is close, and most values are
+    bound = F.greatest(F.abs(value), F.lit(1.0)) * (2 * tol)
+    return same | once(bound, lambda most: F.exists(pool, lambda v: (F.abs(v - value) <= most) & is_close(v, value, tol, tol)))
 
 
 def gold_checkpoints(solution: Column) -> Column:

@@ -9,10 +9,11 @@ from ..functions import numeric as N
 from ..functions import rules as L
 from ..functions.arith import evaluate_all
 from ..functions.steps import redundancy, split_steps
-from ..functions.text import built, normalize_math
+from ..functions.text import built, normalize_math, once
 from ..params import DEFAULTS, Params
 
 SIGNALS = ("E", "V", "R", "A", "G", "coherent", "correct", "final_answer", "misses", "bad_eqs", "n_steps", "n_checkpoints", "n_equations", "r_variant", "E_struct", "A_struct")
+RESTS_ON = ("E", "V", "coherent", "correct", "final_answer", "n_steps", "n_checkpoints", "n_equations")
 PARSED = ("trace_scored", "gold_scored", "values__", "question_values__", "checkpoints__", "terms__", "stated__", "lhs__", "sides__", "eqs__", "steps__")
 
 
@@ -114,6 +115,60 @@ def score(attempts: DataFrame, p: Params = DEFAULTS, explain: bool = False) -> D
     return rows if explain else rows.drop(*PARSED[2:], "gold_scored")
 
 
+def outcomes(attempts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Attempts with label and type, as ``score`` gives them, and what these always rest on (``RESTS_ON``).
+
+    R, G and the reasons cost more than all else and few rows need them: R tells only among correct traces without
+    any fault, G only among wrong ones that are close. They are valued where a rule asks, and are no columns here.
+    """
+
+    def texts() -> dict[str, Column]:
+        trace, gold = F.coalesce("trace", F.lit("")), F.coalesce("gold_solution", F.lit(""))
+        if p.normalize_traces:
+            trace, gold = normalize_math(trace, p.vulgar_spacing), normalize_math(gold, p.vulgar_spacing)
+        return {"trace_scored": trace, "gold_scored": gold}
+
+    def parts() -> dict[str, Column]:
+        return {
+            "values__": N.extract_values(F.col("trace_scored")),
+            "checkpoints__": N.checkpoint_results(F.col("gold_scored")),
+            "stated__": N.stated(F.col("trace_scored")),
+            "steps__": split_steps(F.col("trace_scored"), p.step_split_sentences),
+            "final_answer": N.final_answer(F.col("trace_scored")),
+        }
+
+    def valued() -> dict[str, Column]:
+        hits = how_many(F.col("checkpoints__"), lambda c: N.value_in(c, F.col("values__"), p.value_match_tol))
+        return {"sides__": N.sides(F.col("stated__"), evaluate_all(N.left_sides(F.col("stated__"))), p.equation_tol), "hits__": hits}
+
+    def counted() -> dict[str, Column]:
+        eqs, tol = F.col("sides__"), p.value_match_tol
+        right = how_many(eqs, lambda e: e["is_true"])
+        coherent = F.when((F.size(eqs) > 0) & F.col("final_answer").isNotNull(), N.is_close(N.last(eqs)["c"], F.col("final_answer"), tol, tol))
+        return {
+            "right__": right, "n_equations": F.size(eqs), "n_steps": F.size("steps__"), "n_checkpoints": F.size("checkpoints__"), "coherent": coherent,
+            "E": share(F.col("hits__"), F.size("checkpoints__"), 0), "correct": N.is_correct(F.col("final_answer"), F.col("gold_answer")),
+        }
+
+    def grounded() -> Column:
+        return once(N.extract_values(F.coalesce("question", F.lit(""))), lambda asked: share(how_many(asked, lambda v: N.value_in(v, F.col("values__"), p.value_match_tol)), F.size(asked), 1))
+
+    def label() -> dict[str, Column]:
+        r = redundancy(F.col("steps__"), p.r_variant, p.dup_sim_threshold)
+        found = L.classify(F.col("correct"), F.col("n_checkpoints") - F.col("hits__"), F.col("n_equations") - F.col("right__"), F.col("coherent"), r, grounded(), p)
+        return {"label": found, "V": share(F.col("right__"), F.col("n_equations"), 0)}
+
+    def kind() -> dict[str, Column]:
+        names = ("E", "V", "n_steps", "n_checkpoints", "coherent", "n_equations")
+        e, v, s, hat, coherent, n_eq = (F.col(c) for c in names)
+        return {"diagnosis": F.when(L.needs_diagnosis(F.col("label")), L.failure_type(e, v, s, hat, grounded(), coherent, n_eq, p))}
+
+    rows = attempts
+    for make in (texts, parts, valued, counted, label, kind):
+        rows = rows.withColumns(built((f"outcomes {make.__name__}", p), make))
+    return rows.select(*attempts.columns, *RESTS_ON, "label", "diagnosis")
+
+
 def signals_struct() -> Column:
     return F.struct(*(F.col(c) for c in SIGNALS)).alias("signals")
 
