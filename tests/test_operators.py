@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.question import CATEGORIES
 from marlstone.operators import aggregates, prompts, report, retrieve, retry, route, seeds, stats
-from marlstone.operators.score import score
+from marlstone.operators.score import RESTS_ON, outcomes, score
 from marlstone.plans import attempts, registry
 from marlstone.sources import tables
 from marlstone.streaming import scoring
@@ -205,3 +205,17 @@ def test_blocks_of_pairs_and_texts_change_nothing(spark, monkeypatch):
         assert "CoGroup" in plan
         found.append(sorted(tuple(r) for r in best.select("query_id", "rank", "cand_id", "score").collect()))
     assert found[0] == found[1] and len(found[0]) == 30
+
+
+def test_outcomes_are_those_of_scores(spark):
+    """The rows that need no R and G get the same label and type without them."""
+    rows = attempts.attempts(spark, SF).where("eval_index % 7 = 0")
+    light, whole = outcomes(rows), score(rows)
+    assert not {"R", "G", "diagnosis_reason"} & set(light.columns)
+    same = ["id", *RESTS_ON, "label", "diagnosis"]
+    assert sorted(map(str, light.select(*same).collect())) == sorted(map(str, whole.select(*same).collect()))
+
+
+def test_chat_turns_make_the_prompt_once(spark):
+    plan = registry.QUERIES["chat_turns"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\nSolution: , coalesce(") == 1
