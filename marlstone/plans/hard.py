@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .attempts import text
 
 KINDS = 12
+#: The kinds whose texts tell the percentage.
+DISCOUNTED = (0, 8, 9)
 
 
 def lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
@@ -30,6 +32,11 @@ def hundredths(value: Column) -> Column:
 
 
 def traces(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return spelt(lines(spark, sf_dir, dealt), "key", "line")
+
+
+def spelt(numbers: DataFrame, *kept: str) -> DataFrame:
+    """The texts that numbers (kind, q, p, d) make."""
     q, p, d = F.col("q"), F.col("p"), F.col("d")
     r, part = q * p, hundredths(d * p)
     trace = [
@@ -53,7 +60,7 @@ def traces(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
         chosen = F.when(F.col("kind") == kind, t).otherwise(chosen)
         solution = F.when(F.col("kind") == kind, gold.get(kind, other)).otherwise(solution)
     question = text("Take ", q, " and ", p, ".")
-    return lines(spark, sf_dir, dealt).select("key", "line", "kind", "q", "p", "d", question.alias("question"), solution.alias("gold_solution"), r.cast("double").alias("gold_answer"), chosen.alias("trace"))
+    return numbers.select(*kept, "kind", "q", "p", "d", question.alias("question"), solution.alias("gold_solution"), r.cast("double").alias("gold_answer"), chosen.alias("trace"))
 
 
 #: The same from the numbers: what each kind of trace says.
